@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm.audio import text_audio
+from tapeloom.llm.automaton import scan_digest
 from tapeloom.llm.shared import table
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_audio(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secrets": op4_secrets,
     "op7_audio": op7_audio,
 }
 
