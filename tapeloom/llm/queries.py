@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm.audio import text_audio
 from tapeloom.llm.automaton import scan_digest
+from tapeloom.llm.mixing import mix_query
+from tapeloom.llm.packing import pack_query
 from tapeloom.llm.shared import table
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_query(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_digest(table(spark, sf_dir, "documents"))
 
@@ -19,9 +25,15 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_audio(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
     "op4_secrets": op4_secrets,
     "op7_audio": op7_audio,
+    "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {}
