@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm.audio import text_audio
 from tapeloom.llm.automaton import scan_digest
+from tapeloom.llm.digest import edit_query
 from tapeloom.llm.mixing import mix_query
 from tapeloom.llm.packing import pack_query
 from tapeloom.llm.shared import table
@@ -17,6 +18,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(table(spark, sf_dir, "documents"))
 
 
+def op2_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_query(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_digest(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_digest": op2_digest,
     "op4_secrets": op4_secrets,
     "op7_audio": op7_audio,
     "op8_packing": op8_packing,
