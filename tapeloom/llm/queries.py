@@ -13,6 +13,7 @@ from tapeloom.llm.golay import simhash_query
 from tapeloom.llm.mixing import mix_query
 from tapeloom.llm.packing import pack_query
 from tapeloom.llm.shared import table
+from tapeloom.llm.toxicity import score
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_query(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_digest": op2_digest,
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_audio": op7_audio,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
