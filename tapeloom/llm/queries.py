@@ -10,6 +10,7 @@ from tapeloom.llm.audio import text_audio
 from tapeloom.llm.automaton import scan_digest
 from tapeloom.llm.digest import edit_query
 from tapeloom.llm.golay import simhash_query
+from tapeloom.llm.language import predict
 from tapeloom.llm.mixing import mix_query
 from tapeloom.llm.packing import pack_query
 from tapeloom.llm.shared import table
@@ -28,6 +29,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_query(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_digest": op2_digest,
     "op4_secrets": op4_secrets,
+    "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op7_audio": op7_audio,
     "op8_packing": op8_packing,
