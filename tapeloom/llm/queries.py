@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeloom.llm.audio import text_audio
 from tapeloom.llm.automaton import scan_digest
 from tapeloom.llm.digest import edit_query
+from tapeloom.llm import kneserney, toxicity
 from tapeloom.llm.golay import simhash_query
 from tapeloom.llm.language import predict
 from tapeloom.llm.mixing import mix_query
 from tapeloom.llm.packing import pack_query
 from tapeloom.llm.shared import table
-from tapeloom.llm.toxicity import score
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneserney.score(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_audio": op7_audio,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLES: dict[str, str] = {}
