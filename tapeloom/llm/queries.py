@@ -15,6 +15,7 @@ from tapeloom.llm.language import predict
 from tapeloom.llm.mixing import mix_query
 from tapeloom.llm.packing import pack_query
 from tapeloom.llm.shared import table
+from tapeloom.llm.template import extract
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op2_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_query(table(spark, sf_dir, "documents"))
 
 
+def op3_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_digest": op2_digest,
+    "op3_template": op3_template,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
