@@ -210,7 +210,7 @@ def _pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in EDIT_SCHEMA.split(", ")])
 
 
-def edit_query(documents: DataFrame, run_docs: int = 4000, max_runs: int = 65_536) -> DataFrame:
+def edit_query(documents: DataFrame, run_docs: int = 500, max_runs: int = 65_536, runs_a_task: int = 8) -> DataFrame:
     """Each text's digest, its edited text's, and how alike it is to that and to the next document's.
 
     Documents are dealt into runs of consecutive descending ids, whose bounds come from quantiles of the ids
@@ -233,5 +233,6 @@ def edit_query(documents: DataFrame, run_docs: int = 4000, max_runs: int = 65_53
     there = F.struct(F.col("run").alias("run"), F.lit(False).alias("guest"))
     places = F.when(F.col("to").isNull(), F.array(there)).otherwise(F.array(there, F.struct(F.col("to").alias("run"), F.lit(True).alias("guest"))))
     dealt = placed.select(F.explode(places).alias("place"), "doc_id", "text").select("place.run", "place.guest", "doc_id", "text")
-    dealt = dealt.repartition(max(1, len(starts)), "run").sortWithinPartitions("run", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    # a task holds several runs, so that hashing their numbers evens out
+    dealt = dealt.repartition(max(1, -(-len(starts) // runs_a_task)), "run").sortWithinPartitions("run", "guest", F.col("doc_id").desc_nulls_last(), "text")
     return dealt.mapInArrow(_edits, EDIT_SCHEMA)
