@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.textbuf import mix64, slices, span_hashes
 
 #: The most documents to fit on, and the longest text (in characters) among them.
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 5000
 SAMPLE_CHARS = 30_000
 BUCKETS = 1 << 20
 DIM = 8
@@ -96,27 +96,30 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
     """The folded table (a number for each bucket) and the bias, by AdaGrad on documents in a seeded order."""
     if len(np.unique(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), -60.0
-    rows, buckets, weights = [], [], []
-    for lo, hi, data, offs in slices(texts):
-        pairs = [np.concatenate(x) for x in zip(*subwords(data, offs), strict=True)]
-        pair, count = np.unique(pairs[0] * BUCKETS + pairs[1], return_counts=True)
-        row = pair // BUCKETS
-        size = np.bincount(row, count, minlength=hi - lo)
-        rows.append(row + lo)
-        buckets.append(pair % BUCKETS)
-        weights.append((count / size[row]).astype(np.float32))
-    row, bucket, weight = np.concatenate(rows), np.concatenate(buckets), np.concatenate(weights)
-    kept = np.bincount(bucket, minlength=BUCKETS)[bucket] >= max(2, len(labels) // MIN_SHARE)
-    row, bucket, weight = row[kept], bucket[kept], weight[kept]
+    parts, seen = [], np.zeros(BUCKETS, np.int32)
+    for lo, hi, data, offs in slices(texts, 1 << 18):
+        row, bucket = (np.concatenate(x) for x in zip(*subwords(data, offs), strict=True))
+        pair, count = np.unique(row * BUCKETS + bucket, return_counts=True)
+        row, bucket = pair // BUCKETS, pair % BUCKETS
+        weight = count / np.bincount(row, count, minlength=hi - lo)[row]
+        seen += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+        parts.append(((row + lo).astype(np.int32), bucket.astype(np.int32), weight.astype(np.float32)))
+    # what is in too few documents is left out before the parts are put together, to keep the driver small
+    common = seen >= max(2, len(labels) // MIN_SHARE)
+    for i, part in enumerate(parts):
+        parts[i] = tuple(x[common[part[1]]] for x in part)
+    row, bucket, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     if not len(row):
         return np.zeros(BUCKETS, np.float32), -60.0
-    used, bucket = np.unique(bucket, return_inverse=True)
+    place = np.cumsum(common) - 1
+    used, bucket = np.flatnonzero(common), place.astype(np.int32)[bucket]
     first = np.searchsorted(row, np.arange(len(labels) + 1))
     rng = np.random.default_rng(SEED)
     vectors = rng.normal(0, 1 / DIM, (len(used), DIM)).astype(np.float32)
     out = rng.normal(0, 1 / DIM, (DIM, 2)).astype(np.float32)
     bias = np.log(np.bincount(labels, minlength=2) / len(labels)).astype(np.float32)
-    seen_v, seen_o, seen_b = np.full(len(used), 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+    sum_v, sum_o, sum_b = np.full(len(used), 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(labels)))):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), BATCH):
@@ -136,15 +139,15 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
             grad = np.repeat(back, first[docs + 1] - first[docs], axis=0) * w[:, None]
             touched, which = np.unique(b, return_inverse=True)
             own = np.stack([np.bincount(which, grad[:, k], minlength=len(touched)) for k in range(DIM)], axis=1).astype(np.float32)
-            seen_v[touched] += (own * own).mean(1)
+            sum_v[touched] += (own * own).mean(1)
             vectors[touched] *= 1 - DECAY
-            vectors[touched] -= RATE * own / np.sqrt(seen_v[touched])[:, None]
+            vectors[touched] -= RATE * own / np.sqrt(sum_v[touched])[:, None]
             g = hidden.T @ p
-            seen_o += g * g
-            out -= RATE * g / np.sqrt(seen_o)
+            sum_o += g * g
+            out -= RATE * g / np.sqrt(sum_o)
             g = p.sum(0)
-            seen_b += g * g
-            bias -= 0.1 * RATE * g / np.sqrt(seen_b)
+            sum_b += g * g
+            bias -= 0.1 * RATE * g / np.sqrt(sum_b)
     table = np.zeros(BUCKETS, np.float32)
     table[used] = vectors @ (out[:, 1] - out[:, 0])
     return table, float(bias[1] - bias[0])
