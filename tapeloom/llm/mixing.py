@@ -27,7 +27,7 @@ from tapeloom.llm.shared import materialise
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2
-BLOCK = 32
+BLOCK = 8
 SEED = 20240611
 SHARD_DOCS = 2000
 MAX_SHARDS = 65_536
@@ -105,7 +105,7 @@ def _plan(sized: DataFrame, weights, share, cap, block, shard_docs) -> tuple[Dat
     want = targets([r["size"] for r in totals], weights, share, cap)
     rows = sum(r.n for r in totals)
     shards = [max(1, min(-(-r.n // shard_docs), MAX_SHARDS * r.n // max(rows, 1))) for r in totals]
-    seats = sainte_lague(want, round(want.sum() / block), [cap * r["size"] // block for r in totals])
+    seats = sainte_lague(want, round(want.sum() / block), [-(-cap * r["size"] // block) for r in totals])
     table = [(r.source, i, r["size"], float(want[i]), shards[i]) for i, r in enumerate(totals)]
     sources = spark.createDataFrame(table, "source string, source_no int, source_size long, target double, shards int")
     placed = (
@@ -119,8 +119,9 @@ def _plan(sized: DataFrame, weights, share, cap, block, shard_docs) -> tuple[Dat
     quotas = []
     for i, shard in enumerate(parts):
         shard.sort()
-        given = sainte_lague([s for _, s in shard], int(seats[i]), [cap * s // block for _, s in shard])
-        quotas += [(i, k, s, int(q) * block) for (k, s), q in zip(shard, given.tolist(), strict=True)]
+        given = sainte_lague([s for _, s in shard], int(seats[i]), [-(-cap * s // block) for _, s in shard])
+        # the last block of a shard that is taken as often as it may be is a shorter one
+        quotas += [(i, k, s, min(int(q) * block, cap * s)) for (k, s), q in zip(shard, given.tolist(), strict=True)]
     return placed, spark.createDataFrame(quotas, "source_no int, shard int, shard_size long, quota long")
 
 
