@@ -36,7 +36,7 @@ DECAY = 0.003
 GRAMS = (3, 4, 5)
 #: Passes over the sample, and steps of BATCH documents at least.
 EPOCHS, STEPS, BATCH = 5, 1600, 16
-RATE = 0.5
+RATE = 1.0
 SEED = 20240613
 THRESHOLD = 0.3
 
@@ -120,9 +120,12 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
     out = rng.normal(0, 1 / DIM, (DIM, 2)).astype(np.float32)
     bias = np.log(np.bincount(labels, minlength=2) / len(labels)).astype(np.float32)
     sum_v, sum_o, sum_b = np.full(len(used), 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(labels)))):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(labels)))
+    for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), BATCH):
+            # the steps shrink to nothing, so that the last batches don't decide the result
+            rate = RATE * (1 - (epoch + lo / len(order)) / epochs)
             docs = order[lo : lo + BATCH]
             docs = docs[first[docs + 1] > first[docs]]
             if not len(docs):
@@ -140,14 +143,14 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
             touched, which = np.unique(b, return_inverse=True)
             own = np.stack([np.bincount(which, grad[:, k], minlength=len(touched)) for k in range(DIM)], axis=1).astype(np.float32)
             sum_v[touched] += (own * own).mean(1)
-            vectors[touched] *= 1 - DECAY
-            vectors[touched] -= RATE * own / np.sqrt(sum_v[touched])[:, None]
+            vectors[touched] *= 1 - DECAY * rate / RATE
+            vectors[touched] -= rate * own / np.sqrt(sum_v[touched])[:, None]
             g = hidden.T @ p
             sum_o += g * g
-            out -= RATE * g / np.sqrt(sum_o)
+            out -= rate * g / np.sqrt(sum_o)
             g = p.sum(0)
             sum_b += g * g
-            bias -= 0.1 * RATE * g / np.sqrt(sum_b)
+            bias -= 0.1 * rate * g / np.sqrt(sum_b)
     table = np.zeros(BUCKETS, np.float32)
     table[used] = vectors @ (out[:, 1] - out[:, 0])
     return table, float(bias[1] - bias[0])
