@@ -305,7 +305,6 @@ LIKE_WORDS, PRINTS = 5, 6
 LIKE_BITS = 70
 #: Differing bits of one other print, for pairs that are worth holding against all.
 GLANCE_BITS = 20
-ALL_PAIRS = 12
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,7 +341,7 @@ def _like_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _like_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs worth a closer look, from rows in order of their key; where many share one, each is paired with the first and the next."""
+    """Pairs worth a closer look, from rows in order of their key and node: of all that pass a glance, those that span the same components."""
     held = None
     for batch in _ended(batches):
         if batch is not None:
@@ -356,29 +355,68 @@ def _like_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not cut:
             continue
         deal, node, glance = (x[:cut] for x in held)
-        held = [x[cut:] for x in held] if cut < len(held[0]) or batch is None else None
+        held = [x[cut:] for x in held]
+        glances = glance.view(np.uint64)
         edge = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1], [True]]))
         size = np.diff(edge)
-        start, end, many = np.repeat(edge[:-1], size), np.repeat(edge[1:], size), np.repeat(size > ALL_PAIRS, size)
-        at = np.arange(len(deal))
-        left, right = [start[many]], [at[many]]
-        for ahead in range(1, ALL_PAIRS):
-            i = np.flatnonzero((at + ahead < end) & (~many if ahead > 1 else True))
+        few, end, at = np.repeat(size <= FEW, size), np.repeat(edge[1:], size), np.arange(len(deal))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for ahead in range(1, FEW):
+            i = np.flatnonzero((at + ahead < end) & few)
             if not len(i):
                 break
+            i = i[np.bitwise_count(glances[i] ^ glances[i + ahead]) <= GLANCE_BITS]
             left.append(i)
             right.append(i + ahead)
+        i, j = _forest(np.concatenate(left), np.concatenate(right))
+        left, right = [i], [j]
+        for k in np.flatnonzero(size > FEW).tolist():
+            i, j = _tree(glances[edge[k] : edge[k + 1]])
+            left.append(edge[k] + i)
+            right.append(edge[k] + j)
         i, j = np.concatenate(left), np.concatenate(right)
-        met = (np.bitwise_count(glance[i].view(np.uint64) ^ glance[j].view(np.uint64)) <= GLANCE_BITS) & (node[i] != node[j])
+        met = node[i] != node[j]
         pairs = np.unique(np.column_stack([np.minimum(node[i], node[j])[met], np.maximum(node[i], node[j])[met]]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs, in order, that join what was apart: a row's own run only, as pairs are of one run."""
+    order = np.lexsort((j, i))
+    up: dict[int, int] = {}
+    keep = []
+    for n, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+        while x in up:
+            x = up[x]
+        while y in up:
+            y = up[y]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep.append(n)
+    return i[keep], j[keep]
+
+
+def _tree(glances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what pairs within GLANCE_BITS connect: from each row, in order, to all that none before it reached."""
+    parent, child = [], []
+    rest = np.arange(len(glances))
+    while len(rest) > 1:
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            x = front.pop(0)
+            near = np.bitwise_count(glances[x] ^ glances[rest]) <= GLANCE_BITS
+            front += rest[near].tolist()
+            parent.append(np.full(int(near.sum()), x))
+            child.append(rest[near])
+            rest = rest[~near]
+    return (np.concatenate(parent), np.concatenate(child)) if parent else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def like_groups(documents: DataFrame) -> DataFrame:
     """doc_id, node, component_id and first (whether its id is the component's): texts alike in four fifths of their five-word shingles.
 
-    Many texts that share a key are not compared in all pairs: each is held against the key's first and its next
-    in an order by node, for every key that they share.
+    Of the pairs that share a key and pass the glance, a forest that spans them goes on to be held against all
+    prints, so what is passed on grows with the texts and not with the square of a group's size.
     """
     spark = documents.sparkSession
     sketch = materialise(sketches(documents), "golay-sketches")
