@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.safe import clip, corr_agg, div
-from tapeloom.operators.timeseries import W
+from tapeloom.operators.timeseries import W, before, last, returns, rsi_cutler
 
-XS = Window.partitionBy("ts")
+def XS():
+    """A date's symbols."""
+    return Window.partitionBy("ts")
 
 
 def panel(bars: DataFrame, p: int = 3, h: int = 1) -> DataFrame:
     """x: momentum over p bars; ret: return over the h bars to come."""
-    return bars.select("ts", "symbol", (F.col("close") / F.lag("close", p).over(W) - 1).alias("x"), (F.lead("close", h).over(W) / F.col("close") - 1).alias("ret")).filter(F.col("x").isNotNull() & F.col("ret").isNotNull())
+    return bars.select("ts", "symbol", (F.col("close") / F.lag("close", p).over(W()) - 1).alias("x"), (F.lead("close", h).over(W()) / F.col("close") - 1).alias("ret")).filter(F.col("x").isNotNull() & F.col("ret").isNotNull())
 
 
 def ic(rows: DataFrame, least: int = 5) -> DataFrame:
@@ -32,7 +34,7 @@ def average_rank(c: str, window) -> Column:
 
 
 def rank_ic(rows: DataFrame) -> DataFrame:
-    return ic(rows.select("ts", "symbol", average_rank("x", XS).alias("x"), average_rank("ret", XS).alias("ret")))
+    return ic(rows.select("ts", "symbol", average_rank("x", XS()).alias("x"), average_rank("ret", XS()).alias("ret")))
 
 
 def ic_summary(series: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def ic_summary(series: DataFrame) -> DataFrame:
 def ic_decay(bars: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10, 20)) -> DataFrame:
     """The mean ic of momentum with the return of one bar, h bars on; dates are joined by their number."""
     dates = bars.select("ts").distinct().withColumn("d", F.dense_rank().over(Window.orderBy("ts")))  # a row for each date
-    b = bars.join(F.broadcast(dates), "ts").select("d", "symbol", (F.col("close") / F.lag("close", 3).over(W) - 1).alias("x"), (F.col("close") / F.lag("close").over(W) - 1).alias("r"))
+    b = bars.join(F.broadcast(dates), "ts").select("d", "symbol", (F.col("close") / F.lag("close", 3).over(W()) - 1).alias("x"), (F.col("close") / F.lag("close").over(W()) - 1).alias("r"))
     later = b.select("symbol", F.col("r").alias("ret"), F.col("d").alias("later"))
     ahead = b.select("d", "symbol", "x").withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("later", F.col("d") + F.col("h"))
     pairs = ahead.join(later, ["symbol", "later"]).filter(F.col("x").isNotNull() & F.col("ret").isNotNull())
@@ -99,22 +101,20 @@ def neutralise_size(c: Column, size: Column, window, ridge: float = 0.01) -> Col
 
 def scoreboard(bars: DataFrame, dims: DataFrame, top: int = 10) -> DataFrame:
     """The best symbols of each date by a weighted score of normalised, industry- and size-neutral factors."""
-    from tapeloom.operators.timeseries import before, last, returns, rsi_cutler
-
     weights = {"mom": 0.3, "vol": -0.2, "vratio": 0.2, "rsi": 0.15, "pctb": 0.15}
     sd = F.stddev_pop("close").over(last(20))
     raw = returns(bars).select(
-        "ts", "symbol", F.coalesce(div(F.col("close"), F.lag("close", 5).over(W)) - 1, F.lit(0.0)).alias("mom"), F.coalesce(F.stddev_pop("ret").over(last(20)), F.lit(0.0)).alias("vol"),
+        "ts", "symbol", F.coalesce(div(F.col("close"), F.lag("close", 5).over(W())) - 1, F.lit(0.0)).alias("mom"), F.coalesce(F.stddev_pop("ret").over(last(20)), F.lit(0.0)).alias("vol"),
         div(F.col("volume"), F.avg("volume").over(before(20)), 1.0).alias("vratio"), rsi_cutler(14).alias("rsi"), div(F.col("close") - F.avg("close").over(last(20)) + 2 * sd, 4 * sd, 0.5).alias("pctb"),
     )
     raw = raw.join(dims.select("symbol", "industry", F.log(F.greatest(F.col("cap"), F.lit(1.0))).alias("size")), "symbol")
-    out = raw.select("ts", "symbol", "industry", "size", *(F.round(winsorise(F.col(c), XS), 9).alias(c) for c in weights))
-    out = out.select("ts", "symbol", "industry", "size", *(rank_normal(c, XS).alias(c) for c in weights))
+    out = raw.select("ts", "symbol", "industry", "size", *(F.round(winsorise(F.col(c), XS()), 9).alias(c) for c in weights))
+    out = out.select("ts", "symbol", "industry", "size", *(rank_normal(c, XS()).alias(c) for c in weights))
     group = Window.partitionBy("ts", "industry")
     out = out.select("ts", "symbol", "size", *(neutralise_group(F.col(c), group).alias(c) for c in weights))
-    out = out.select("ts", "symbol", *(neutralise_size(F.col(c), F.col("size"), XS).alias(c) for c in weights))
+    out = out.select("ts", "symbol", *(neutralise_size(F.col(c), F.col("size"), XS()).alias(c) for c in weights))
     out = out.select("ts", "symbol", F.round(sum(w * F.col(c) for c, w in weights.items()), 5).alias("score"))
-    return out.withColumn("place", F.row_number().over(XS.orderBy(F.desc("score"), "symbol"))).filter(F.col("place") <= top)
+    return out.withColumn("place", F.row_number().over(XS().orderBy(F.desc("score"), "symbol"))).filter(F.col("place") <= top)
 
 
 def correlations(rows: DataFrame, factors: list[str]) -> DataFrame:

@@ -56,7 +56,7 @@ def macd(bars: DataFrame) -> DataFrame:
 
 def macd_cross(bars: DataFrame) -> DataFrame:
     """The histogram's change of sign."""
-    back = F.lag("hist").over(W)
+    back = F.lag("hist").over(W())
     return macd(bars).select("symbol", "ts", F.round("hist", 4).alias("hist"), F.when((back <= 0) & (F.col("hist") > 0), "golden").when((back >= 0) & (F.col("hist") < 0), "death").otherwise("none").alias("cross"))
 
 
@@ -67,7 +67,7 @@ def wilder(p: int, state: Column, x: Column, i: Column, first: int) -> Column:
 
 def rsi_wilder(bars: DataFrame, p: int = 14) -> DataFrame:
     """50 until p changes are seen."""
-    b = bars.withColumn("d", F.coalesce(F.col("close") - F.lag("close").over(W), F.lit(0.0)))
+    b = bars.withColumn("d", F.coalesce(F.col("close") - F.lag("close").over(W()), F.lit(0.0)))
     out = fold(b, ["d"], {"gain": zero(), "loss": zero(), "n": zero()}, lambda s, x: {"gain": wilder(p, s.gain, F.greatest(x.d, F.lit(0.0)), x.i, 1), "loss": wilder(p, s.loss, F.greatest(-x.d, F.lit(0.0)), x.i, 1), "n": x.i})
     value = F.when(F.col("n") < p, 50.0).when(F.col("loss") > 0, 100 - 100 / (1 + F.col("gain") / F.col("loss"))).otherwise(100.0)
     return out.select("symbol", "ts", value.alias("rsi"))
@@ -80,18 +80,18 @@ def atr_wilder(bars: DataFrame, p: int = 14) -> DataFrame:
 
 def adx(bars: DataFrame, p: int = 14) -> DataFrame:
     """Directional movement, Wilder-smoothed, and the mean of the last p directional indices."""
-    up, down = F.col("high") - F.lag("high").over(W), F.lag("low").over(W) - F.col("low")
+    up, down = F.col("high") - F.lag("high").over(W()), F.lag("low").over(W()) - F.col("low")
     b = true_range(bars).withColumns({"plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus": F.when((down > up) & (down > 0), down).otherwise(0.0)})
     out = fold(b, ["tr", "plus", "minus"], {"tr": zero(), "plus": zero(), "minus": zero(), "n": zero()}, lambda s, x: {k: wilder(p, s[k], x[k], x.i, 1) for k in ("tr", "plus", "minus")} | {"n": x.i})
     plus, minus = div(F.col("plus") * 100, F.col("tr"), 50.0), div(F.col("minus") * 100, F.col("tr"), 50.0)
     out = out.withColumns({"plus_di": plus, "minus_di": minus, "dx": F.coalesce(div(100 * F.abs(plus - minus), plus + minus), F.lit(0.0))})
-    return out.select("symbol", "ts", "plus_di", "minus_di", F.avg(F.when(F.col("n") >= p, F.col("dx"))).over(W.rowsBetween(1 - p, 0)).alias("adx"))
+    return out.select("symbol", "ts", "plus_di", "minus_di", F.avg(F.when(F.col("n") >= p, F.col("dx"))).over(W().rowsBetween(1 - p, 0)).alias("adx"))
 
 
 def garch(bars: DataFrame, omega: float = 1e-6, alpha: float = 0.05, beta: float = 0.94) -> DataFrame:
     """Variance filtered with fixed coefficients from the long-run variance on, and its five-step forecast."""
     long_run = omega / (1 - alpha - beta)
-    b = bars.withColumn("r", F.coalesce(F.when((F.col("close") > 0) & (F.lag("close").over(W) > 0), F.log(F.col("close") / F.lag("close").over(W))), F.lit(0.0)))
+    b = bars.withColumn("r", F.coalesce(F.when((F.col("close") > 0) & (F.lag("close").over(W()) > 0), F.log(F.col("close") / F.lag("close").over(W()))), F.lit(0.0)))
     out = fold(b, ["r"], {"v": F.lit(long_run), "r": zero()}, lambda s, x: {"v": F.when(x.i == 0, F.lit(long_run)).otherwise(omega + alpha * s.r * s.r + beta * s.v), "r": x.r})
     return out.select("symbol", "ts", F.col("v").alias("variance"), (long_run + (alpha + beta) ** 5 * (F.col("v") - long_run)).alias("forecast_5"))
 
@@ -109,7 +109,7 @@ def trailing_stop(bars: DataFrame, share: float = 0.1) -> DataFrame:
 
 def advantages(rows: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     """Generalised advantages: a fold from a series' end. rows: symbol, ts, reward, value."""
-    b = rows.withColumns({"delta": F.col("reward") + gamma * F.coalesce(F.lead("value").over(W), F.lit(0.0)) - F.col("value"), "back": F.row_number().over(W) * -1})
+    b = rows.withColumns({"delta": F.col("reward") + gamma * F.coalesce(F.lead("value").over(W()), F.lit(0.0)) - F.col("value"), "back": F.row_number().over(W()) * -1})
     back = b.select("symbol", F.col("back").alias("ts"), "delta", F.col("ts").alias("at"))
     out = fold(back, ["delta", "at"], {"advantage": zero()}, lambda s, x: {"advantage": x.delta + gamma * lam * s.advantage})
     return out.join(back.select("symbol", "ts", "at"), ["symbol", "ts"]).select("symbol", F.col("at").alias("ts"), "advantage")

@@ -10,7 +10,7 @@ from tapeloom.operators.timeseries import W
 
 def purged_folds(bars: DataFrame, folds: int, embargo: int) -> DataFrame:
     """Rows of each fold's test and of its train: those farther than the embargo from the test's bounds, on either side."""
-    q = bars.select("symbol", F.ntile(folds).over(W).alias("own"), F.row_number().over(W).alias("i"))
+    q = bars.select("symbol", F.ntile(folds).over(W()).alias("own"), F.row_number().over(W()).alias("i"))
     bounds = q.groupBy("symbol", F.col("own").alias("fold")).agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
     j = q.join(bounds, "symbol")
     return j.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count_if(F.col("own") == F.col("fold")).alias("test"), F.count_if((F.col("i") < F.col("lo") - embargo) | (F.col("i") > F.col("hi") + embargo)).alias("train"))

@@ -12,7 +12,7 @@ from tapeloom.operators.timeseries import W, returns
 
 def metrics(bars: DataFrame, periods: int = 12) -> DataFrame:
     """Total and annual return, volatility, Sharpe, Sortino, worst fall, Calmar, win rate and profit factor by symbol."""
-    r = returns(bars).withColumn("dd", F.col("close") / F.max("close").over(W.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    r = returns(bars).withColumn("dd", F.col("close") / F.max("close").over(W().rowsBetween(Window.unboundedPreceding, 0)) - 1)
     one = r.groupBy("symbol").agg(
         F.count("*").alias("n"), (F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("total"), F.stddev_pop("ret").alias("sd"), F.stddev_pop(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"), F.min("dd").alias("worst"),
         F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("win"), F.sum(F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0)).alias("gain"), F.sum(F.when(F.col("ret") < 0, -F.col("ret")).otherwise(0.0)).alias("loss"),
@@ -37,7 +37,7 @@ def percentiles(bars: DataFrame) -> DataFrame:
 
 def holding_periods(trades: DataFrame) -> DataFrame:
     """Buys paired with the next sale of a symbol; count, win rate and mean by length of holding."""
-    sale = trades.withColumns({"buy_ts": F.lag("ts").over(W), "buy_price": F.lag("price").over(W), "before": F.lag("side").over(W)}).filter("side = 'sell' and before = 'buy'")
+    sale = trades.withColumns({"buy_ts": F.lag("ts").over(W()), "buy_price": F.lag("price").over(W()), "before": F.lag("side").over(W())}).filter("side = 'sell' and before = 'buy'")
     days = F.greatest(F.datediff("ts", "buy_ts"), F.lit(1))
     gain = F.col("price") / F.col("buy_price") - 1
     return sale.select(F.when(days < 5, "under_5").when(days < 20, "5_to_20").when(days < 60, "20_to_60").otherwise("over_60").alias("held"), gain.alias("gain")).groupBy("held").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("gain") > 0, 1.0).otherwise(0.0)), 6).alias("win_rate"), F.round(F.avg("gain"), 6).alias("mean"), F.round(F.max("gain"), 6).alias("best"), F.round(F.min("gain"), 6).alias("worst"))
@@ -46,14 +46,14 @@ def holding_periods(trades: DataFrame) -> DataFrame:
 def replay(trades: DataFrame) -> DataFrame:
     """Cash, shares and value after each trade (side, price, quantity): running sums, no loop."""
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
-    so_far = W.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = W().rowsBetween(Window.unboundedPreceding, 0)
     t = trades.withColumns({"cash": F.sum(-sign * F.col("price") * F.col("quantity")).over(so_far), "shares": F.sum(sign * F.col("quantity")).over(so_far)})
     return t.select("symbol", "ts", "cash", "shares", (F.col("cash") + F.col("shares") * F.col("price")).alias("value"))
 
 
 def bootstrap(bars: DataFrame, simulations: int = 200, steps: int = 60, seed: int = 7) -> DataFrame:
     """Percentiles of compounded returns drawn with replacement, by a hash of symbol, simulation and step: the same on any cluster."""
-    r = returns(bars).filter(F.col("logret").isNotNull()).select("symbol", "logret", (F.row_number().over(W) - 1).alias("i"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
+    r = returns(bars).filter(F.col("logret").isNotNull()).select("symbol", "logret", (F.row_number().over(W()) - 1).alias("i"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
     size = r.groupBy("symbol").agg(F.max("n").alias("n"))
     draws = size.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     draws = draws.withColumn("i", F.pmod(F.crc32(F.concat_ws("|", "symbol", "sim", "step", F.lit(seed)).cast("binary")), F.col("n")).cast("int"))
@@ -63,7 +63,7 @@ def bootstrap(bars: DataFrame, simulations: int = 200, steps: int = 60, seed: in
 
 def walk_forward(bars: DataFrame, train: int = 24, test: int = 6, step: int = 6) -> DataFrame:
     """Rolling windows over each symbol's bars; the mean return of the training part decides whether the test part is held."""
-    r = returns(bars).withColumn("i", F.row_number().over(W) - 1)
+    r = returns(bars).withColumn("i", F.row_number().over(W()) - 1)
     spots = r.withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("i") - train - test + step) / step).cast("int")), F.floor(F.col("i") / step).cast("int")))).withColumn("at", F.col("i") - F.col("win") * step)
     spots = spots.filter((F.col("at") >= 0) & (F.col("at") < train + test))
     one = spots.groupBy("symbol", "win").agg(F.count("*").alias("n"), F.avg(F.when(F.col("at") < train, F.col("ret"))).alias("before"), F.sum(F.when(F.col("at") >= train, F.log1p("ret"))).alias("after")).filter(F.col("n") == train + test)

@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.safe import clip, corr, div
 
-W = Window.partitionBy("symbol").orderBy("ts")
+def W():
+    """A symbol's bars in order. Window specifications need a session, so they are made when used."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def last(k: int):
     """The current row and the k - 1 before it."""
-    return W.rowsBetween(1 - k, 0)
+    return W().rowsBetween(1 - k, 0)
 
 
 def before(k: int):
     """The k rows before the current one."""
-    return W.rowsBetween(-k, -1)
+    return W().rowsBetween(-k, -1)
 
 
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, 0)
+def SO_FAR():
+    return W().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def full(k: int, value: Column, default, frame=None) -> Column:
@@ -35,7 +38,7 @@ def full(k: int, value: Column, default, frame=None) -> Column:
 
 
 def lag(c: str, k: int = 1) -> Column:
-    return F.lag(c, k).over(W)
+    return F.lag(c, k).over(W())
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def autocorrelation(k: int) -> Column:
 
 def alpha_factors(bars: DataFrame) -> DataFrame:
     """The price and volume factors over their periods, one select over one sort."""
-    b = returns(bars).withColumn("ret_back", F.lag("ret", 10).over(W))
+    b = returns(bars).withColumn("ret_back", F.lag("ret", 10).over(W()))
     out: dict[str, Column] = {}
     for p in (2, 5, 10, 20, 30, 60):
         out[f"momentum_{p}"] = momentum(p)
@@ -115,7 +118,7 @@ def alpha_factors(bars: DataFrame) -> DataFrame:
         out[f"volume_momentum_{p}"] = F.coalesce(div(F.col("volume"), lag("volume", p)) - 1, F.lit(0.0))
     for a, c in ((5, 10), (5, 20), (10, 20)):
         out[f"ma_ratio_{a}_{c}"] = div(F.avg("close").over(before(a)), F.avg("close").over(before(c)), 1.0)
-    up, down = F.stddev_pop(F.when(F.col("ret") > 0, F.col("ret"))).over(SO_FAR), F.stddev_pop(F.when(F.col("ret") < 0, F.col("ret"))).over(SO_FAR)
+    up, down = F.stddev_pop(F.when(F.col("ret") > 0, F.col("ret"))).over(SO_FAR()), F.stddev_pop(F.when(F.col("ret") < 0, F.col("ret"))).over(SO_FAR())
     out |= {"upside_vol": F.coalesce(up, F.lit(0.0)), "downside_vol": F.coalesce(down, F.lit(0.0)), "vol_ratio": div(up, down, 1.0)}
     out |= {"skew_20": skewness("ret", 20), "kurt_20": kurtosis("ret", 20), "autocorr_10": autocorrelation(10)}
     return b.select("symbol", "ts", *(F.round(v, 6).alias(k) for k, v in out.items()))
@@ -158,7 +161,7 @@ def true_range(bars: DataFrame) -> DataFrame:
 
 def divergence(k: int = 20) -> Column:
     """Price makes a new extreme over the last k bars against the k before, the indicator `ind` does not."""
-    now, then = W.rowsBetween(1 - k, 0), W.rowsBetween(1 - 2 * k, -k)
+    now, then = W().rowsBetween(1 - k, 0), W().rowsBetween(1 - 2 * k, -k)
     there = F.count("ind").over(then) >= k
     top = (F.max("close").over(now) > F.max("close").over(then)) & (F.max("ind").over(now) < F.max("ind").over(then))
     bottom = (F.min("close").over(now) < F.min("close").over(then)) & (F.min("ind").over(now) > F.min("ind").over(then))
@@ -174,7 +177,7 @@ def realised(bars: DataFrame) -> DataFrame:
 
 def volume_indicators(bars: DataFrame) -> DataFrame:
     r = returns(bars)
-    obv = F.sum(F.signum(F.coalesce(F.col("diff"), F.lit(0.0))) * F.col("volume")).over(SO_FAR)
+    obv = F.sum(F.signum(F.coalesce(F.col("diff"), F.lit(0.0))) * F.col("volume")).over(SO_FAR())
     change = F.coalesce(div(F.col("volume"), lag("volume")) - 1, F.lit(0.0))
     r = r.withColumn("obv", obv).withColumn("vchange", change)
     return r.select(
@@ -185,16 +188,16 @@ def volume_indicators(bars: DataFrame) -> DataFrame:
 
 def drawdown(bars: DataFrame) -> DataFrame:
     """Drawdown from the running peak, the worst so far, and how long the present one has lasted."""
-    peak = F.max("close").over(SO_FAR)
+    peak = F.max("close").over(SO_FAR())
     d = bars.withColumn("dd", F.col("close") / peak - 1)
-    d = d.withColumn("island", F.sum(F.when(F.col("dd") >= 0, 1).otherwise(0)).over(SO_FAR))
+    d = d.withColumn("island", F.sum(F.when(F.col("dd") >= 0, 1).otherwise(0)).over(SO_FAR()))
     run = Window.partitionBy("symbol", "island").orderBy("ts")
-    return d.select("symbol", "ts", F.round("dd", 6).alias("dd"), F.round(F.min("dd").over(SO_FAR), 6).alias("max_dd"), F.when(F.col("dd") < 0, F.row_number().over(run) - 1).otherwise(0).alias("dd_bars"))
+    return d.select("symbol", "ts", F.round("dd", 6).alias("dd"), F.round(F.min("dd").over(SO_FAR()), 6).alias("max_dd"), F.when(F.col("dd") < 0, F.row_number().over(run) - 1).otherwise(0).alias("dd_bars"))
 
 
 def labels(bars: DataFrame, horizon: int = 5, cost: float = 0.0015, band: float = 0.02) -> DataFrame:
     """Forward return after cost, and its class; null where the horizon is not reached."""
-    forward = F.lead("close", horizon).over(W) / F.col("close") - 1 - cost
+    forward = F.lead("close", horizon).over(W()) / F.col("close") - 1 - cost
     return bars.select("symbol", "ts", F.round(forward, 6).alias("forward"), F.when(forward > band, 1).when(forward < -band, -1).when(forward.isNotNull(), 0).alias("label"))
 
 
@@ -217,19 +220,19 @@ def absolute_momentum(bars: DataFrame) -> DataFrame:
 def ml_row(bars: DataFrame) -> DataFrame:
     """Twelve features of each bar, defaults before there are 30 of them."""
     r = returns(bars)
-    ready = F.count(F.lit(1)).over(SO_FAR) >= 30
+    ready = F.count(F.lit(1)).over(SO_FAR()) >= 30
     low, high = F.min("close").over(last(250)), F.max("close").over(last(250))
     made = {
         "mom_1": (momentum(1), 0.0), "mom_3": (momentum(3), 0.0), "mom_5": (momentum(5), 0.0), "mom_10": (momentum(10), 0.0), "volume_ratio": (volume_ratio(20), 1.0), "vol_20": (F.stddev_pop("ret").over(last(20)), 0.02),
         "rsi_14": (rsi_winners(14), 50.0), "ma5_gap": (div(F.col("close"), F.avg("close").over(last(5)), 1.0) - 1, 0.0), "ma20_gap": (div(F.col("close"), F.avg("close").over(last(20)), 1.0) - 1, 0.0),
-        "year_position": (div(F.col("close") - low, high - low, 0.5), 0.5), "outer_share": (div(F.col("outer_vol"), F.col("volume"), 0.5), 0.5), "turnover": (div(F.col("volume"), F.avg("volume").over(SO_FAR), 1.0), 1.0),
+        "year_position": (div(F.col("close") - low, high - low, 0.5), 0.5), "outer_share": (div(F.col("outer_vol"), F.col("volume"), 0.5), 0.5), "turnover": (div(F.col("volume"), F.avg("volume").over(SO_FAR()), 1.0), 1.0),
     }
     return r.select("symbol", "ts", *(F.round(F.when(ready, v).otherwise(d), 6).alias(k) for k, (v, d) in made.items()))
 
 
 def sequence_statistics(bars: DataFrame, k: int = 20) -> DataFrame:
     """Mean, deviation, slope and lag correlation of the last k closes, and the worst fall within them."""
-    n = F.row_number().over(W).cast("double")
+    n = F.row_number().over(W()).cast("double")
     b = bars.withColumn("n", n).withColumn("back", lag("close"))
     worst = F.aggregate(F.collect_list("close").over(last(k)), F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd")), lambda a, x: F.struct(F.greatest(a.peak, x).alias("peak"), F.least(a.dd, x / F.greatest(a.peak, x) - 1).alias("dd")), lambda a: a.dd)
     slope = div(F.covar_pop("n", "close").over(last(k)), F.var_pop("n").over(last(k)), 0.0)

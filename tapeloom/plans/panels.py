@@ -54,7 +54,7 @@ def x12(spark, d):
 
 @query("x13_x14_zscore_winsorise", f"WITH {MONTHLY}, {PANEL}, s AS (SELECT ts, symbol, x, avg(x) OVER (PARTITION BY ts) AS a, stddev_pop(x) OVER (PARTITION BY ts) AS sd FROM p) SELECT ts, symbol, round(CASE WHEN sd < 1e-10 THEN 0.0 ELSE (x - a) / sd END, 6) AS z, round(greatest(a - 3.0 * sd, least(a + 3.0 * sd, x)), 6) AS w FROM s")
 def x13(spark, d):
-    return x.panel(m.monthly_bars(spark, d)).select("ts", "symbol", F.round(x.zscore(F.col("x"), x.XS), 6).alias("z"), F.round(x.winsorise(F.col("x"), x.XS), 6).alias("w"))
+    return x.panel(m.monthly_bars(spark, d)).select("ts", "symbol", F.round(x.zscore(F.col("x"), x.XS()), 6).alias("z"), F.round(x.winsorise(F.col("x"), x.XS()), 6).alias("w"))
 
 
 def normal_sql(p: str) -> str:
@@ -69,7 +69,7 @@ def rank_normal_sql(c: str) -> str:
 
 @query("x15_rank_normal", f"WITH {MONTHLY}, {PANEL} SELECT ts, symbol, round({rank_normal_sql('x')}, 6) AS z FROM p")
 def x15(spark, d):
-    return x.panel(m.monthly_bars(spark, d)).select("ts", "symbol", F.round(x.rank_normal("x", x.XS), 6).alias("z"))
+    return x.panel(m.monthly_bars(spark, d)).select("ts", "symbol", F.round(x.rank_normal("x", x.XS()), 6).alias("z"))
 
 
 SIZE_SQL = "(({u}) * ({e}) - ({b}) * ({v})) / (({a}) * ({e}) - ({b}) * ({b}))"
@@ -86,7 +86,7 @@ def neutral_size_sql(c: str) -> str:
 def x16(spark, d):
     j = x.panel(m.monthly_bars(spark, d)).join(m.industries(spark, d), "symbol").withColumn("size", F.log(F.greatest(F.col("cap"), F.lit(1.0))))
     g = j.select("ts", "symbol", "size", x.neutralise_group(F.col("x"), Window.partitionBy("ts", "industry")).alias("i"))
-    return g.select("ts", "symbol", F.round("i", 5).alias("by_industry"), F.round(x.neutralise_size(F.col("i"), F.col("size"), x.XS), 5).alias("by_size"))
+    return g.select("ts", "symbol", F.round("i", 5).alias("by_industry"), F.round(x.neutralise_size(F.col("i"), F.col("size"), x.XS()), 5).alias("by_size"))
 
 
 @query("x20_factor_correlations", f"WITH {MONTHLY}, {RETURNS}, f AS (SELECT ret, ln(volume) AS lv, ln(amount) AS la FROM r) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({CORR.format(a=a, b=b)}, 6) AS corr FROM f" for i, a in enumerate(("ret", "lv", "la")) for b in ("ret", "lv", "la")[i:]))
@@ -194,7 +194,7 @@ _TRADES = f"trades AS (SELECT symbol, ts, CASE WHEN row_number() {W} % 2 = 1 THE
 
 
 def trades(spark, d):
-    return m.monthly_bars(spark, d).select("symbol", "ts", F.when(F.row_number().over(WINDOW) % 2 == 1, "buy").otherwise("sell").alias("side"), F.col("close").alias("price"), F.lit(100.0).alias("quantity"))
+    return m.monthly_bars(spark, d).select("symbol", "ts", F.when(F.row_number().over(WINDOW()) % 2 == 1, "buy").otherwise("sell").alias("side"), F.col("close").alias("price"), F.lit(100.0).alias("quantity"))
 
 
 @query("a05_holding_periods", f"WITH {MONTHLY}, {_TRADES}, s AS (SELECT *, lag(ts) {W} AS bts, lag(price) {W} AS bp, lag(side) {W} AS bs FROM trades), q AS (SELECT greatest(date_diff('day', bts, ts), 1) AS dd, price / bp - 1 AS g FROM s WHERE side = 'sell' AND bs = 'buy') SELECT CASE WHEN dd < 5 THEN 'under_5' WHEN dd < 20 THEN '5_to_20' WHEN dd < 60 THEN '20_to_60' ELSE 'over_60' END AS held, count(*) AS n, round(avg(CASE WHEN g > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(avg(g), 6) AS mean, round(max(g), 6) AS best, round(min(g), 6) AS worst FROM q GROUP BY 1")
@@ -220,7 +220,7 @@ def a08(spark, d):
 
 @query("a14_ks_statistic", f"WITH {MONTHLY}, {RETURNS}, q AS (SELECT symbol, ret, CASE WHEN rn <= 40 THEN 1 ELSE 0 END AS early FROM r WHERE logret IS NOT NULL), n AS (SELECT symbol, sum(early) AS a, sum(1 - early) AS b FROM q GROUP BY 1), z AS (SELECT q.symbol, abs(sum(early) OVER w / a::DOUBLE - sum(1 - early) OVER w / b::DOUBLE) AS gap FROM q JOIN n USING (symbol) WHERE a > 0 AND b > 0 WINDOW w AS (PARTITION BY q.symbol ORDER BY ret RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT symbol, round(max(gap), 6) AS ks, max(gap) > 0.3 AS drifted FROM z GROUP BY 1")
 def a14(spark, d):
-    return learning.ks_statistic(returns(m.monthly_bars(spark, d)).withColumn("rn", F.row_number().over(WINDOW)).filter("logret is not null"), 40)
+    return learning.ks_statistic(returns(m.monthly_bars(spark, d)).withColumn("rn", F.row_number().over(WINDOW())).filter("logret is not null"), 40)
 
 
 @query("a17_portfolio_variance", f"WITH {MONTHLY}, {RETURNS}, s AS (SELECT * FROM r WHERE symbol < 8), c AS (SELECT a.symbol AS a, b.symbol AS b, covar_pop(a.ret, b.ret) AS cov FROM s a JOIN s b USING (ts) GROUP BY 1, 2) SELECT round(sum(cov) / 64, 8) AS variance, round(sum(CASE WHEN a = b THEN cov END) / 64, 8) AS specific FROM c")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql
+            # this dialect rounds small negative numbers to a negative zero
+            ORACLES[name] = re.sub(r", (\d+)\) AS (?=\w)", r", \1) + 0.0 AS ", sql)
         return f
 
     return keep
