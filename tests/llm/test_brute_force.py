@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from conftest import SCHEMA, words
+from samples import SCHEMA, words
 from pyspark.sql import functions as F
 
 from tapeloom.llm import audio, automaton, digest, golay, kneserney, mixing, packing, template, toxicity

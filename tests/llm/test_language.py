@@ -5,7 +5,7 @@ import random
 import zlib
 
 import numpy as np
-from conftest import words
+from samples import words
 
 from tapeloom.llm import language
 
