@@ -65,12 +65,12 @@ def lots(quantity: Column) -> Column:
     return F.floor(quantity / 100) * 100
 
 
-def stops(bars: DataFrame) -> DataFrame:
+def stop_levels(bars: DataFrame) -> DataFrame:
     """Stop, take-profit and trailing distance of a bar with atr; without one, two in a hundred of the price stand for it."""
     a = F.coalesce(F.col("atr"), F.col("close") * 0.02)
     level = div(a, F.col("close"), 0.0)
     m = F.when(level > 0.5, 3.0).when(level > 0.2, 2.5).otherwise(2.0)
-    return bars.select("symbol", "ts", F.round(F.col("close") - a * m, 4).alias("stop"), F.round(F.col("close") + a * m * 1.5, 4).alias("target"), m.alias("multiplier"))
+    return bars.select("symbol", "ts", (F.col("close") - a * m).alias("stop"), (F.col("close") + a * m * 1.5).alias("target"), m.alias("multiplier"))
 
 
 def fund_flow(bars: DataFrame) -> DataFrame:
