@@ -437,7 +437,10 @@ def like_groups(documents: DataFrame) -> DataFrame:
 
 
 def without_copies(documents: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least id, and one row of each id, as it is."""
+    """One document of each group of near-duplicates, that of the least id, and one row of each id, as it is.
+
+    Documents without an id can't stand for a group, nor be told from others by it: they stay.
+    """
     keep = like_groups(documents).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("golay_kept")).distinct()
-    kept = documents.join(keep, F.col("doc_id") == F.col("golay_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    kept = documents.join(keep, F.col("doc_id") == F.col("golay_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(documents.filter(F.col("doc_id").isNull()))

@@ -62,3 +62,13 @@ def test_pages(spark):
     assert out[1, None] == "" and out[2, "not a url"] == "" and out[3, "http://h.example/a"] == "x" and out[None, "http://h.example/b"] == "y < z"
     assert template.extract(pages).count() == len(rows)
     assert template.extract(pages.limit(0)).collect() == []
+
+
+def test_documents_without_an_id_stay(spark, edge_docs):
+    for out in (golay.without_copies(edge_docs), automaton.redact(edge_docs)):
+        assert out.filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_repeated_rows_and_copies_leave_one(spark, edge_docs):
+    kept = [r.doc_id for r in golay.without_copies(edge_docs).collect()]
+    assert 1 in kept and 2 not in kept and len(kept) == len(set(kept))
