@@ -110,11 +110,8 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(row), np.concatenate(key), np.concatenate(role)
 
 
-def sketch_column(column: pa.Array, words: int = WORDS, seed: int = SEED, prints: int = 1) -> Iterator[np.ndarray]:
-    """The fingerprints of slices of rows, `prints` for each: a bit is set if it is in over half of the shingles' hashes.
-
-    The first print is of the hashes themselves, the others of their scramblings.
-    """
+def _shingles(column: pa.Array, words: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of slices of rows: the hashes of their lower-cased texts' word shingles, repeats included, and how many each row has."""
     digest = xxhash.xxh64_intdigest
     for _, _, data, offs in slices(column):
         blob, hashes, counts = data.tobytes().lower(), [], []
@@ -134,21 +131,19 @@ def sketch_column(column: pa.Array, words: int = WORDS, seed: int = SEED, prints
                 counts.append(1)
             else:
                 counts.append(0)
-        count = np.array(counts, np.int64)
-        out = np.zeros((prints, len(count), 64), bool)
-        if hashes:
-            hashed, full = np.array(hashes, "<u8"), count > 0
-            for k in range(prints):
-                own = mix64(hashed + np.uint64(k)) if k else hashed
-                bits = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(-1, 64)
-                sums = np.add.reduceat(bits, (np.cumsum(count) - count)[full], axis=0, dtype=np.int32)
-                out[k, full] = 2 * sums > count[full, None]
-        yield np.packbits(out, axis=2, bitorder="little").view("<u8").reshape(prints, -1).astype(np.uint64)
+        yield np.array(hashes, "<u8"), np.array(counts, np.int64)
 
 
 def fingerprint_column(column: pa.Array, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
-    for prints in sketch_column(column, words, seed):
-        yield prints[0]
+    """The fingerprints of slices of rows: a bit is set if it is in over half of the shingles' hashes."""
+    for hashed, count in _shingles(column, words, seed):
+        out = np.zeros((len(count), 64), bool)
+        if len(hashed):
+            full = count > 0
+            bits = np.unpackbits(hashed.view(np.uint8), bitorder="little").reshape(-1, 64)
+            sums = np.add.reduceat(bits, (np.cumsum(count) - count)[full], axis=0, dtype=np.int32)
+            out[full] = 2 * sums > count[full, None]
+        yield np.packbits(out, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -296,56 +291,87 @@ def simhash_query(documents: DataFrame) -> DataFrame:
     return groups(prints).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by likeness. Texts that share four fifths of their shingles differ in more bits than the code
-# corrects, about 15 in 100, so they are looked for by several prints. Of each, a text has a key for every pair of
-# fuzzy indices of A and B; two such texts share one of them with a chance of 0.36, and one of six prints' with
-# 0.93 (0.98 where they share 0.85, 0.997 where they share 0.9). What is found is held against all prints' bits.
-LIKE_WORDS, PRINTS = 5, 6
-#: Differing bits of all prints, of 384: 58 are due where four fifths of the shingles are shared, 88 where three are.
-LIKE_BITS = 70
-#: Differing bits of one other print, for pairs that are worth holding against all.
-GLANCE_BITS = 20
+# Near-duplicates by likeness: texts alike in four fifths of their distinct five-word shingles, by the exact count.
+# Such texts differ in more SimHash bits than the code corrects, so they are looked for by least hashes of their
+# shingles: a text has a key for each of 25 bands of 5, and two texts that share four fifths have one in common
+# but for a chance of 5 in 100,000. What may be alike by two bits of each least hash gathers in clusters; in a
+# cluster all pairs are held against each other by their shingles, and only links that hold are thinned.
+LIKE_WORDS = 5
+BANDS, BAND = 25, 5
+#: Least hashes of a text; each leaves two bits in the sketch.
+LEAST = 128
+SKETCH = LEAST // 32
+#: Differing pairs of bits, of 128: 19 are due where four fifths are shared, with a deviation of 4.
+APART = 36
+_PAIRS = np.uint64(0x5555555555555555)
+_XOR, _TIMES = (np.random.default_rng(SEED).integers(0, 1 << 32, (2, LEAST), dtype=np.uint64) | np.array([[0], [1]], np.uint64)).astype(np.uint32)
+
+
+def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of slices of rows: each row's distinct shingle hashes in order, how many they are, and a hash of all of them."""
+    for hashed, count in _shingles(column, LIKE_WORDS, SEED):
+        row = np.repeat(np.arange(len(count)), count)
+        order = np.lexsort((hashed, row))
+        hashed, row = hashed[order], row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (hashed[1:] != hashed[:-1])
+        hashed, count = hashed[new], np.bincount(row[new], minlength=len(count))
+        node, full = np.zeros(len(count), np.uint64), count > 0
+        if len(hashed):
+            node[full] = mix64(np.add.reduceat(mix64(hashed ^ np.uint64(SEED)), (np.cumsum(count) - count)[full]) + count[full].astype(np.uint64))
+        yield hashed, count, node
+
+
+_NAMES = ["doc_id", "node", "size", *(f"s{k}" for k in range(SKETCH)), *(f"b{k}" for k in range(BANDS))]
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (a hash of all prints) and the prints p0 .. p5."""
-    names = ["doc_id", "node", *(f"p{k}" for k in range(PRINTS))]
+    """doc_id, node (a hash of the set of shingles), size (how many), the sketch s0 .. s3 and the band keys b0 .. b24."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for prints in sketch_column(batch.column(1), LIKE_WORDS, SEED, PRINTS):
-                node = np.zeros(prints.shape[1], np.uint64)
-                for p in prints:
-                    node = mix64(node * np.uint64(0x9E3779B97F4A7C15) + p)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(node)], *(pa.array(x.view(np.int64)) for x in (node, *prints))], names=names)
+            for hashed, count, node in _sets(batch.column(1)):
+                full, least = count > 0, np.zeros((LEAST, len(count)), np.uint32)
+                if len(hashed):
+                    short, first = (hashed >> np.uint64(32)).astype(np.uint32), (np.cumsum(count) - count)[full]
+                    for k in range(LEAST):
+                        least[k, full] = np.minimum.reduceat((short ^ _XOR[k]) * _TIMES[k], first)
+                wide = mix64(least.astype(np.uint64))
+                bits = (wide & np.uint64(3)).reshape(SKETCH, 32, -1) << np.arange(0, 64, 2, dtype=np.uint64)[None, :, None]
+                sketch = np.bitwise_or.reduce(bits, axis=1)
+                bands = []
+                for k in range(BANDS):
+                    own = np.full(len(count), k, np.uint64)
+                    for x in wide[k * BAND : (k + 1) * BAND]:
+                        own = mix64(own * np.uint64(0x9E3779B97F4A7C15) + x)
+                    bands.append(own)
+                columns = (pa.array(x.view(np.int64)) for x in (node, count, *sketch, *bands))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(node)], *columns], names=_NAMES)
                 at += len(node)
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, ", ".join(f"{x} long" for x in _NAMES))
 
 
 def _like_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (deal, node, glance): a key for each pair of fuzzy indices of a print, with another print to glance at."""
+    """Rows (deal, node, s0 .. s3): one for each band of a text."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 10_000):
-            node, *prints = (batch.column(i)[lo : lo + 10_000].to_numpy() for i in range(1 + PRINTS))
-            for k, p in enumerate(prints):
-                word = p.view(np.uint64)
-                a, b = indices((word & np.uint64((1 << 23) - 1)).astype(np.int64)), indices((word >> np.uint64(23) & np.uint64((1 << 23) - 1)).astype(np.int64))
-                use = np.ones((len(word), 6, 6), bool)
-                use[:, 1:, :] &= (a[:, 1:] != a[:, :1])[:, :, None]
-                use[:, :, 1:] &= (b[:, 1:] != b[:, :1])[:, None, :]
-                row, i, j = np.nonzero(use)
-                deal = mix64(((k << 24) | (a[row, i] << 12) | b[row, j]).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(node[row]), pa.array(prints[(k + 1) % PRINTS][row])], names=["deal", "node", "glance"])
+        for deal in batch.columns[1 + SKETCH :]:
+            yield pa.RecordBatch.from_arrays([deal, *batch.columns[: 1 + SKETCH]], names=["deal", "node", *(f"s{k}" for k in range(SKETCH))])
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sketches, in rows, may be of texts that are alike."""
+    d = x ^ y
+    return np.bitwise_count((d | d >> np.uint64(1)) & _PAIRS).sum(-1, dtype=np.int64) <= APART
 
 
 def _like_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs worth a closer look, from rows in order of their key and node: of all that pass a glance, those that span the same components."""
+    """From rows in order of their key and node: of all pairs that may be alike, those that span the same clusters."""
     held = None
     for batch in _ended(batches):
         if batch is not None:
-            fresh = [batch.column(i).to_numpy() for i in range(3)]
+            fresh = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.column_stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]])]
             held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
             # a key's rows that fill a batch are taken as they come: the last one stays to link them with the rest
@@ -354,9 +380,8 @@ def _like_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = len(held[0]) if held is not None else 0
         if not cut:
             continue
-        deal, node, glance = (x[:cut] for x in held)
+        deal, node, glances = (x[:cut] for x in held)
         held = [x[cut:] for x in held]
-        glances = glance.view(np.uint64)
         edge = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1], [True]]))
         size = np.diff(edge)
         few, end, at = np.repeat(size <= FEW, size), np.repeat(edge[1:], size), np.arange(len(deal))
@@ -365,7 +390,7 @@ def _like_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero((at + ahead < end) & few)
             if not len(i):
                 break
-            i = i[np.bitwise_count(glances[i] ^ glances[i + ahead]) <= GLANCE_BITS]
+            i = i[_near(glances[i], glances[i + ahead])]
             left.append(i)
             right.append(i + ahead)
         i, j = _forest(np.concatenate(left), np.concatenate(right))
@@ -397,14 +422,14 @@ def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tree(glances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span what pairs within GLANCE_BITS connect: from each row, in order, to all that none before it reached."""
+    """Links that span what pairs that may be alike connect: from each row, in order, to all that none before it reached."""
     parent, child = [], []
     rest = np.arange(len(glances))
     while len(rest) > 1:
         front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             x = front.pop(0)
-            near = np.bitwise_count(glances[x] ^ glances[rest]) <= GLANCE_BITS
+            near = _near(glances[x], glances[rest])
             front += rest[near].tolist()
             parent.append(np.full(int(near.sum()), x))
             child.append(rest[near])
@@ -412,23 +437,84 @@ def _tree(glances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parent), np.concatenate(child)) if parent else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _alike(hashed: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what pairs of sets alike in four fifths connect: from each set, in order, to all that none before it reached."""
+    short = np.unique(hashed, return_inverse=True)[1]
+    first = np.cumsum(count) - count
+    marked, left = np.zeros(len(hashed), bool), np.ones(len(count), bool)
+    parent, child = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in range(len(count)):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = [root]
+        while front and left.any():
+            x = front.pop(0)
+            own = short[first[x] : first[x] + count[x]]
+            marked[own] = True
+            both = np.add.reduceat(marked[short], first, dtype=np.int64)
+            marked[own] = False
+            # both / (either) of 4/5 or more
+            near = np.flatnonzero(left & (9 * both >= 4 * (count + count[x])))
+            left[near] = False
+            front += near.tolist()
+            parent.append(np.full(len(near), x))
+            child.append(near)
+    return np.concatenate(parent), np.concatenate(child)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (deal, node, text), in order of deal and node -> links between nodes of a deal that are alike by their shingles."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+    for batch in _ended(batches):
+        if batch is not None:
+            parts = list(_sets(batch.column(2)))
+            if not parts:
+                continue
+            hashed, count, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+            deal, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # other texts of the same id, and repeats, aren't the node's
+            use = (found.view(np.int64) == node) & (count > 0)
+            use[1:] &= (deal[1:] != deal[:-1]) | (node[1:] != node[:-1])
+            fresh = [deal[use], node[use], count[use], hashed[np.repeat(use, count)]]
+            held = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+        else:
+            cut = len(held[0])
+        if not cut:
+            continue
+        deal, node, count = (x[:cut] for x in held[:3])
+        till = int(count.sum())
+        hashed, held = held[3][:till], [*(x[cut:] for x in held[:3]), held[3][till:]]
+        edge = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1], [True]]))
+        at = np.concatenate([[0], np.cumsum(count)])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+            if hi - lo > 1:
+                i, j = _alike(hashed[at[lo] : at[hi]], count[lo:hi])
+                left.append(node[lo + i])
+                right.append(node[lo + j])
+        a, b = np.concatenate(left), np.concatenate(right)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def like_groups(documents: DataFrame) -> DataFrame:
-    """doc_id, node, component_id and first (whether its id is the component's): texts alike in four fifths of their five-word shingles.
+    """doc_id and component_id, the least id that links lead to: texts alike in four fifths of their five-word shingles.
 
-    Of the pairs that share a key and pass the glance, a forest that spans them goes on to be held against all
-    prints, so what is passed on grows with the texts and not with the square of a group's size.
+    Texts that may be alike are gathered in clusters by a forest of their pairs, which no link is read from: all pairs
+    of a cluster are then held against each other by their shingles, and of those that hold, a forest is passed on.
     """
     spark = documents.sparkSession
-    sketch = materialise(sketches(documents), "golay-sketches")
-    columns = [f"p{k}" for k in range(PRINTS)]
-    nodes = materialise(sketch.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in columns)), "golay-nodes")
+    sketch = materialise(sketches(documents), "like-sketches")
+    nodes = materialise(sketch.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in _NAMES[2:])), "like-nodes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("node", *columns).mapInArrow(_like_keys, "deal long, node long, glance long")
+    schema = ", ".join(f"{x} long" for x in ("deal", "node", *(f"s{k}" for k in range(SKETCH))))
+    rows = nodes.filter("size > 0").select("node", *_NAMES[3:]).mapInArrow(_like_keys, schema)
     pairs = rows.repartition(parts, "deal").sortWithinPartitions("deal", "node").mapInArrow(_like_pairs, "a long, b long").distinct()
-    prints = nodes.select("node", F.array(*columns).alias("prints"))
-    seen = pairs.join(prints.select(F.col("node").alias("a"), F.col("prints").alias("x")), "a").join(prints.select(F.col("node").alias("b"), F.col("prints").alias("y")), "b")
-    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, PRINTS)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    edges = materialise(seen.filter(apart <= LIKE_BITS).select("a", "b"), "golay-likeness")
+    clusters = components(materialise(pairs, "like-pairs")).join(nodes.select("node", "least"), "node").select("node", "least", F.col("root").alias("deal"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = texts.join(clusters, texts.doc_id.eqNullSafe(clusters.least)).select("deal", "node", "text")
+    edges = materialise(dealt.repartition(parts, "deal").sortWithinPartitions("deal", "node").mapInArrow(_verified, "a long, b long"), "likeness")
     found = components(edges)
     rooted = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
