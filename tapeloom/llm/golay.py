@@ -303,6 +303,8 @@ LEAST = 128
 SKETCH = LEAST // 32
 #: Differing pairs of bits, of 128: 19 are due where four fifths are shared, with a deviation of 4.
 APART = 36
+#: Shingles of a cluster in one block of a task.
+CROWD = 1 << 20
 _PAIRS = np.uint64(0x5555555555555555)
 _XOR, _TIMES = (np.random.default_rng(SEED).integers(0, 1 << 32, (2, LEAST), dtype=np.uint64) | np.array([[0], [1]], np.uint64)).astype(np.uint32)
 
@@ -353,11 +355,40 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, ", ".join(f"{x} long" for x in _NAMES))
 
 
-def _like_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (deal, node, s0 .. s3): one for each band of a text."""
+def _like_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         for deal in batch.columns[1 + SKETCH :]:
-            yield pa.RecordBatch.from_arrays([deal, *batch.columns[: 1 + SKETCH]], names=["deal", "node", *(f"s{k}" for k in range(SKETCH))])
+            total += np.bincount(_counter(deal.to_numpy()), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
+
+
+def _like_keys(blocks: np.ndarray):
+    """Rows (deal, node, s0 .. s3), one for each band of a text; where a key's counter has several blocks, one for each pair with the text's own."""
+    names = ["deal", "node", *(f"s{k}" for k in range(SKETCH))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, *sketch = (c.to_numpy() for c in batch.columns[: 1 + SKETCH])
+            for column in batch.columns[1 + SKETCH :]:
+                key = column.to_numpy()
+                row, deal = _in_blocks(key, mix64(node.view(np.uint64)), blocks[_counter(key)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, node[row], *(c[row] for c in sketch))], names=names)
+
+    return run
+
+
+def _in_blocks(key: np.ndarray, salt: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, deal): of n blocks of a key, a row is in the one that its salt names, and goes to each pair of it with another."""
+    own = (salt % n.astype(np.uint64)).astype(np.int64)
+    row = np.repeat(np.arange(len(key)), n)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    row, other = (x[(n[row] == 1) | (other != own[row])] for x in (row, other))
+    first, second = np.minimum(own[row], other), np.maximum(own[row], other)
+    deal = mix64(key.view(np.uint64)[row])
+    deal = np.where(n[row] > 1, mix64(deal + (first * 1_000_003 + second + 1).astype(np.uint64)), deal)
+    return row, deal.view(np.int64)
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -374,8 +405,6 @@ def _like_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.column_stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]])]
             held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
-            # a key's rows that fill a batch are taken as they come: the last one stays to link them with the rest
-            cut = cut or (len(held[0]) - 1 if len(held[0]) > MANY else 0)
         else:
             cut = len(held[0]) if held is not None else 0
         if not cut:
@@ -498,6 +527,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _cluster_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, least, root, blocks) -> (node, least, deal)."""
+    for batch in batches:
+        node, root, blocks = (batch.column(i).to_numpy() for i in (0, 2, 3))
+        row, deal = _in_blocks(root, mix64(node.view(np.uint64)), blocks)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(deal)], names=["node", "least", "deal"])
+
+
 def like_groups(documents: DataFrame) -> DataFrame:
     """doc_id and component_id, the least id that links lead to: texts alike in four fifths of their five-word shingles.
 
@@ -509,9 +546,20 @@ def like_groups(documents: DataFrame) -> DataFrame:
     nodes = materialise(sketch.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in _NAMES[2:])), "like-nodes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"{x} long" for x in ("deal", "node", *(f"s{k}" for k in range(SKETCH))))
-    rows = nodes.filter("size > 0").select("node", *_NAMES[3:]).mapInArrow(_like_keys, schema)
+    keyed = nodes.filter("size > 0").select("node", *_NAMES[3:])
+    counts = keyed.mapInArrow(_like_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    mean = counts.agg(F.sum("n") / COUNTERS).first()[0] or 0
+    blocks = np.ones(COUNTERS, np.int64)
+    for r in counts.filter(F.col("n") > mean + MANY).collect():  # COUNTERS rows at most
+        blocks[r.counter] = -(-int(r.n - mean) // MANY) + 1
+    rows = keyed.mapInArrow(_like_keys(blocks), schema)
     pairs = rows.repartition(parts, "deal").sortWithinPartitions("deal", "node").mapInArrow(_like_pairs, "a long, b long").distinct()
-    clusters = components(materialise(pairs, "like-pairs")).join(nodes.select("node", "least"), "node").select("node", "least", F.col("root").alias("deal"))
+    joined = components(materialise(pairs, "like-pairs")).join(nodes.select("node", "least", "size"), "node")
+    clusters = materialise(joined.select("node", "least", "root", "size"), "like-clusters")
+    # a row for each CROWD shingles at most
+    crowded = clusters.groupBy("root").agg(F.sum("size").alias("n")).filter(F.col("n") > CROWD).select("root", (F.ceil(F.col("n") / CROWD) + 1).alias("blocks"))
+    dealt = clusters.join(F.broadcast(crowded), "root", "left").select("node", "least", "root", F.coalesce("blocks", F.lit(1)).cast("long").alias("blocks"))
+    clusters = dealt.mapInArrow(_cluster_blocks, "node long, least long, deal long")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = texts.join(clusters, texts.doc_id.eqNullSafe(clusters.least)).select("deal", "node", "text")
     edges = materialise(dealt.repartition(parts, "deal").sortWithinPartitions("deal", "node").mapInArrow(_verified, "a long, b long"), "likeness")

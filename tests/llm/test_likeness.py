@@ -52,3 +52,42 @@ def test_a_text_between_two_copies_does_not_part_them(spark):
     sets = [[1, 2, 3, 4, 5, 6, 7, 8, 9], [11, 12, 13, 14, 15, 6, 7, 8, 9, 10], [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]]
     i, j = golay._alike(np.array(sum(sets, []), np.uint64), np.array([9, 10, 10]))
     assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 2)]
+
+
+def test_crowded_keys_and_clusters_meet_in_all_blocks(spark, monkeypatch):
+    """Many texts of one key, and clusters of more shingles than a block holds: no link is lost between blocks."""
+    monkeypatch.setattr(golay, "MANY", 40)
+    monkeypatch.setattr(golay, "CROWD", 2000)
+    rng = random.Random(6)
+    texts = []
+    for i in range(3):
+        base = [other(rng, i) for _ in range(100)]
+        # copies of two halves that are alike within each, and not across
+        for half in range(2):
+            start = base[: 60 + 10 * half] + [other(rng, i) for _ in range(40 - 10 * half)]
+            for _ in range(40):
+                texts.append(" ".join(start[:97] + [other(rng, i) for _ in range(3)]))
+    rng.shuffle(texts)
+    assert grouped(spark, texts) == plain_groups(texts)
+
+
+def test_every_pair_of_blocks_of_a_key_meets():
+    n = np.full(50, 4)
+    row, deal = golay._in_blocks(np.zeros(50, np.int64), np.arange(50, dtype=np.uint64), n)
+    met = {(a, b) for d in set(deal.tolist()) for a in row[deal == d].tolist() for b in row[deal == d].tolist()}
+    assert met == {(a, b) for a in range(50) for b in range(50)} and max(np.bincount(np.unique(deal, return_inverse=True)[1])) < 50
+
+
+def test_a_key_that_fills_batches_is_held_whole():
+    """Rows of one key over several Arrow batches: each is linked, also where the last row of a batch is like none."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    same = rng.integers(0, 1 << 63, golay.SKETCH, dtype=np.int64)
+    size = golay.MANY + 10
+    rows = np.tile(same, (2 * size, 1))
+    rows[size - 1] = ~same
+    names = ["deal", "node", *(f"s{k}" for k in range(golay.SKETCH))]
+    batch = lambda lo: pa.RecordBatch.from_arrays([pa.array(np.zeros(size, np.int64)), pa.array(np.arange(lo, lo + size)), *(pa.array(c) for c in np.ascontiguousarray(rows[lo : lo + size].T))], names=names)
+    pairs = [(a, b) for out in golay._like_pairs(iter([batch(0), batch(size)])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    assert {x for pair in pairs for x in pair} == set(range(2 * size)) - {size - 1} and len(pairs) == 2 * size - 2
