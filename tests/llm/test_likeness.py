@@ -91,3 +91,17 @@ def test_a_key_that_fills_batches_is_held_whole():
     batch = lambda lo: pa.RecordBatch.from_arrays([pa.array(np.zeros(size, np.int64)), pa.array(np.arange(lo, lo + size)), *(pa.array(c) for c in np.ascontiguousarray(rows[lo : lo + size].T))], names=names)
     pairs = [(a, b) for out in golay._like_pairs(iter([batch(0), batch(size)])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
     assert {x for pair in pairs for x in pair} == set(range(2 * size)) - {size - 1} and len(pairs) == 2 * size - 2
+
+
+def test_recall_and_precision_about_four_fifths(spark):
+    """Pairs of 0.80 to 0.85, and of just below 0.8: those are grouped, these are not."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(400):
+        a = words(rng, 300).split() if i % 2 else [other(rng, i) for _ in range(300)]
+        edits = rng.randint(24, 42)
+        texts += [" ".join(a), " ".join(a[: len(a) - edits] + [other(rng, i) for _ in range(edits)])]
+    exact = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert sum(0.8 <= x < 0.85 for x in exact) > 100 and sum(0.75 <= x < 0.8 for x in exact) > 100
+    got = grouped(spark, texts)
+    assert [got[2 * i] == got[2 * i + 1] for i in range(400)] == [x >= 0.8 for x in exact]
