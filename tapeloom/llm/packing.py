@@ -4,8 +4,9 @@ A global histogram of lengths goes through dynamic programming, which chooses th
 least padding. In each bucket, documents are numbered without gaps in a seeded order, and batches hold as many
 of them as the token budget allows at the bucket's padded length; only a bucket's last batch is not full.
 
-The histogram comes to the driver as at most MAX_BINS rows: where there are more lengths, they are grouped by
-rounding up to three or more leading binary digits, and a boundary is then the largest length of its bin.
+The histogram comes to the driver with a row for each length: L different lengths take L * (L - 1) / 2 words at
+least, so there are at most 100,000 of them in 5 billion words, and never more than the longest text has words.
+The cost of a run fulfils the quadrangle inequality, so the best cuts are found by divide and conquer.
 The numbering uses shard counts, at most MAX_SHARDS rows.
 
 Defined results: a null or empty text has length 0, and its bucket has the least boundary; documents of equal
@@ -24,7 +25,6 @@ from tapeloom.llm.shared import materialise
 
 BUCKETS = 16
 BUDGET = 65_536
-MAX_BINS = 4096
 SHARD_DOCS = 8000
 MAX_SHARDS = 65_536
 SEED = 20240612
@@ -41,14 +41,27 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     buckets = min(buckets, n)
     length, count = lengths.astype(float), counts.astype(float)
     docs, tokens = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * length)])
-    best = np.full((buckets + 1, n + 1), np.inf)
     cut = np.zeros((buckets + 1, n + 1), np.int64)
-    best[0, 0] = 0
+    best = np.full(n + 1, np.inf)
+    best[0] = 0
     for k in range(1, buckets + 1):
-        for j in range(k, n + 1):
-            cost = best[k - 1, :j] + length[j - 1] * (docs[j] - docs[:j]) - (tokens[j] - tokens[:j])
-            cut[k, j] = np.argmin(cost)
-            best[k, j] = cost[cut[k, j]]
+        before, best = best, np.full(n + 1, np.inf)
+        # ends of a run, the middle ones of all open ranges at once, and bounds of their starts: these never go down
+        lo, hi, first, last = (np.array([x], np.int64) for x in (k, n, k - 1, n - 1))
+        while len(lo):
+            j = (lo + hi) // 2
+            size = np.minimum(last, j - 1) - first + 1
+            begin = np.cumsum(size) - size
+            i = np.arange(int(size.sum())) - np.repeat(begin - first, size)
+            end = np.repeat(j, size)
+            cost = before[i] + length[end - 1] * (docs[end] - docs[i]) - (tokens[end] - tokens[i])
+            least = np.minimum.reduceat(cost, begin)
+            at = np.flatnonzero(cost == np.repeat(least, size))
+            cut[k, j] = i[at[np.searchsorted(at, begin)]]
+            best[j] = least
+            lo, hi, first, last = (np.concatenate(x) for x in ((lo, j + 1), (j - 1, hi), (first, cut[k, j]), (cut[k, j], last)))
+            use = lo <= hi
+            lo, hi, first, last = lo[use], hi[use], first[use], last[use]
     out, j = [], n
     for k in range(buckets, 0, -1):
         out.append(int(lengths[j - 1]))
@@ -56,21 +69,16 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return out[::-1]
 
 
-def histogram(sized: DataFrame, max_bins: int = MAX_BINS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Lengths, counts and the bin width in leading binary digits (0: each length is a bin)."""
-    for digits in (0, 8, 7, 6, 5, 4, 3):
-        bin_ = F.col("length") if not digits else F.expr(f"shiftright(length, greatest(0, cast(floor(log2(greatest(length, 1))) as int) - {digits - 1})) + cast(floor(log2(greatest(length, 1))) as int) * 1024")
-        rows = sized.groupBy(bin_.alias("bin")).agg(F.max("length").alias("length"), F.count("*").alias("n")).limit(max_bins + 1).collect()
-        if len(rows) <= max_bins:
-            break
-    rows.sort(key=lambda r: r.length)
-    return np.array([r.length for r in rows], np.int64), np.array([r.n for r in rows], np.int64), digits
+def histogram(sized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All lengths, in order, and their counts."""
+    rows = sized.groupBy("length").agg(F.count("*").alias("n")).toPandas().sort_values("length")
+    return rows["length"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def pack(sized: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_docs: int = SHARD_DOCS, max_bins: int = MAX_BINS) -> DataFrame:
+def pack(sized: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """doc_id, length -> those, bucket, padded_length, batch and slot; batch numbers are dense within a bucket."""
     spark = sized.sparkSession
-    lengths, counts, _ = histogram(sized, max_bins)
+    lengths, counts = histogram(sized)
     bounds = boundaries(lengths, counts, buckets)
     number = F.lit(None).cast("int")
     padded = F.lit(None).cast("long")
