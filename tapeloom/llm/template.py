@@ -12,8 +12,8 @@ without text nodes that belong to the template themselves.
 
 A host with fewer pages has no template: its pages are taken by their own elements.
 
-Defined results: a null or empty page has an empty text; a page without a host is taken alone; repeated rows
-count as pages; columns other than page_id, url and html are ignored.
+Defined results: a null or empty page has an empty text; a page without a host is taken alone; pages
+of a host with equal html count as one; a page whose whole main slot is the template's keeps it; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -187,7 +187,8 @@ class Page:
         """The main element's blocks, without parts that are not its own and text nodes of the template."""
         root = self.main(anchor)
         kept = [b for b in self.blocks if not b[2] and (root is None or root in b[1])]
-        return "\n".join(b[0] for b in kept if not (b[3] and all(n in fixed for n in b[3])))
+        own = [b for b in kept if not (b[3] and all(n in fixed for n in b[3]))]
+        return "\n".join(b[0] for b in own or kept)
 
 
 def _name(path: str) -> str:
@@ -274,8 +275,10 @@ def with_host(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """The classes of each host's template. A host's rows are as many as its pages have tokens on half of them, not more."""
     hosted = with_host(pages).filter(F.col("host").isNotNull()).select("page_id", "host", "html")
+    # copies of a page are one page
+    hosted = hosted.filter(F.length("html") > 0).groupBy("host", "html").agg(F.min("page_id").alias("page_id")).select("page_id", "host", "html")
     tokens = hosted.mapInArrow(_tokens, TOKEN_SCHEMA).groupBy("host", "token", "text", "path").agg(F.expr("sum(vector) % 1099511627776L").alias("vector"), *(F.sum(x).alias(x) for x in ("pages", "times", "position", "chars")))
-    count = hosted.filter(F.length("html") > 0).groupBy("host").agg(F.count("*").alias("host_pages"))
+    count = hosted.groupBy("host").agg(F.count("*").alias("host_pages"))
     wide = tokens.filter(F.col("pages") >= MIN_PAGES).join(count, "host").filter(F.col("pages") >= SHARE * F.col("host_pages"))
     return wide.withColumn("place", F.col("position") / F.col("pages")).groupBy("host").applyInPandas(_nest, CLASS_SCHEMA)
 
