@@ -11,6 +11,9 @@ from tapeloom.llm.shared import shared_dir
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """a, b (long) -> node, root: the least node that each node reaches. Nodes without an edge aren't in it.
 
+    Defined results: edges with a null end, from a node to itself and repeated ones count for nothing; an empty table
+    gives an empty result.
+
     In a round, each node hooks onto its least neighbour, and follows the hooks to their end by doubling; edges
     are renamed by what their ends came to, and those within one node go. Fewer than half of the nodes are left each time, so
     later rounds have little to move. Each is checkpointed in the shared folder. Hubs are summed map-side; their

@@ -12,10 +12,15 @@ _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one of a local session (tests).
+
+    On a cluster there is no folder that all executors see without being told, so it has to be named there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.TemporaryDirectory(prefix="tapeloom-"))
     return "file://" + _LOCAL[0].name
@@ -32,6 +37,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def mapped_dir(spark: SparkSession, name: str) -> str:
     """A new folder that workers can memory-map: the shared folder has to be a mounted file system for it."""
     path = urlparse(fresh_path(spark, name))

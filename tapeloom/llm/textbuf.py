@@ -54,6 +54,28 @@ def slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20) -> Iter
         lo = hi
 
 
+def pieces(data: np.ndarray, offs: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """Like `slices`, but a row longer than max_bytes comes in parts, each cut before white space, so that no word is parted.
+
+    The last value says whether the rows end here.
+    """
+    lo, n = 0, len(offs) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1)
+        at, end = int(offs[lo]), int(offs[hi])
+        if end - at <= max_bytes:
+            yield lo, hi, data[at:end], offs[lo : hi + 1] - at, True
+        else:
+            while at < end:
+                cut = min(end, at + max_bytes)
+                while cut < end and not SPACE[data[cut]]:
+                    ahead = np.flatnonzero(SPACE[data[cut : min(end, cut + 4096)]])
+                    cut = cut + int(ahead[0]) if len(ahead) else min(end, cut + 4096)
+                yield lo, hi, data[at:cut], np.array([0, cut - at]), cut == end
+                at = cut
+        lo = hi
+
+
 def _grow(n: int) -> None:
     """Powers of an odd multiplier and of its inverse modulo 2**64."""
     global _POW, _INV
