@@ -9,8 +9,8 @@ Since the softmax is linear, a trained model folds into one number for each row,
 of table look-ups, done for many texts at once on their bytes.
 
 Defined results: a null text or one without letters has no features, and its score is that of the bias alone;
-labels that are null are left out, and of repeated labels of a document the largest holds; without any label of
-both kinds nothing can be learnt and every score is 0. Columns other than the id and the text are ignored.
+labels that are null are left out, and of repeated labels of a document the largest holds; repeated rows are
+scored alike, and equal scores are verdicts alike; without any label of both kinds nothing can be learnt and every score is 0. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.textbuf import mix64, slices, span_hashes
+from tapeloom.llm.textbuf import buffers, flat, mix64, pieces, span_hashes
 
-#: The most documents to fit on, and the longest text (in characters) among them.
+#: The most documents to fit on.
 SAMPLE_DOCS = 5000
-SAMPLE_CHARS = 30_000
 BUCKETS = 1 << 20
 DIM = 8
 #: Buckets in fewer of the sample's documents (one in so many of them, and 2 at least) are left out of the fit.
@@ -83,12 +82,15 @@ def subwords(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield row[starts], (span_hashes(text, starts, ends) >> np.uint64(44)).astype(np.int64)
 
 
-def scores(table: np.ndarray, bias: float, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+def scores(table: np.ndarray, bias: float, column: pa.Array) -> np.ndarray:
+    """Of all texts of a column; a long text is summed part by part."""
+    data, offs = buffers(flat(column))
     n = len(offs) - 1
     total, count = np.zeros(n), np.zeros(n)
-    for row, bucket in subwords(data, offs):
-        total += np.bincount(row, table[bucket], minlength=n)
-        count += np.bincount(row, minlength=n)
+    for lo, hi, part, bounds, _ in pieces(data, offs):
+        for row, bucket in subwords(part, bounds):
+            total[lo:hi] += np.bincount(row, table[bucket], minlength=hi - lo)
+            count[lo:hi] += np.bincount(row, minlength=hi - lo)
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -60, 60)))
 
 
@@ -96,14 +98,23 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
     """The folded table (a number for each bucket) and the bias, by AdaGrad on documents in a seeded order."""
     if len(np.unique(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), -60.0
-    parts, seen = [], np.zeros(BUCKETS, np.int32)
-    for lo, hi, data, offs in slices(texts, 1 << 18):
-        row, bucket = (np.concatenate(x) for x in zip(*subwords(data, offs), strict=True))
-        pair, count = np.unique(row * BUCKETS + bucket, return_counts=True)
+    parts, seen, held = [], np.zeros(BUCKETS, np.int32), []
+    for lo, hi, data, bounds, done in pieces(*buffers(flat(texts)), 1 << 18):
+        found = list(subwords(data, bounds))
+        if found:
+            row, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
+            held.append(np.unique(row * BUCKETS + bucket, return_counts=True))
+        if not done or not held:
+            continue
+        pair, which = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        count = np.bincount(which, np.concatenate([x[1] for x in held]), minlength=len(pair))
+        held = []
         row, bucket = pair // BUCKETS, pair % BUCKETS
         weight = count / np.bincount(row, count, minlength=hi - lo)[row]
         seen += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
         parts.append(((row + lo).astype(np.int32), bucket.astype(np.int32), weight.astype(np.float32)))
+    if not parts:
+        return np.zeros(BUCKETS, np.float32), -60.0
     # what is in too few documents is left out before the parts are put together, to keep the driver small
     common = seen >= max(2, len(labels) // MIN_SHARE)
     for i, part in enumerate(parts):
@@ -166,7 +177,7 @@ def sample(documents: DataFrame, labels: DataFrame, docs: int = SAMPLE_DOCS) ->
     share = min(1.0, docs / max(1, known.count()))
     chosen = known.filter(F.expr(f"pmod(xxhash64(doc_id, {SEED}), 1000000)") < int(share * 1_000_000))
     # about `docs` ids of two numbers each: within a broadcast's bounds at any size of input
-    rows = documents.select("doc_id", "text").filter(F.length("text") < SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return rows.column("text").combine_chunks(), rows.column("toxic").to_numpy().astype(np.int64)
 
 
@@ -186,9 +197,8 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = known.value
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(2)):
-                p = scores(table, bias, data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            p = scores(table, bias, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     ids = documents["doc_id"].cast("long")
     return documents.select(ids.alias("doc_id"), F.coalesce(held_out(ids), F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCORE_SCHEMA)
@@ -201,8 +211,6 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = known.value
         for batch in batches:
-            p = [scores(table, bias, data, offs) for _, _, data, offs in slices(batch.column(at))]
-            if p:
-                yield batch.filter(pa.array(np.concatenate(p) < THRESHOLD))
+            yield batch.filter(pa.array(scores(table, bias, batch.column(at)) < THRESHOLD))
 
     return documents.mapInArrow(run, schema)
