@@ -6,7 +6,8 @@ over the bytes. A lane starts as if nothing had been matched before it; lanes fo
 stepped again from the state their predecessor ended in, until they meet the recorded states.
 
 Documents in which a rule accepts get exact leftmost-longest spans from that rule's own two automata: a
-backward one that marks every position where a match can start, and a forward one that finds its end.
+backward one, stepped over lanes as well, that marks every position where a match can start, and a forward one
+that goes from a start to the match's end. Time and memory are in proportion to a text's length.
 
 Defined results: a null or empty text has no span; equal texts have equal spans; columns other than the id and
 the text are ignored, whatever their names. Offsets are in code points, the end exclusive.
@@ -28,6 +29,8 @@ from tapeloom.llm.textbuf import flat, slices
 #: Not a byte of UTF-8, so it can part documents.
 SEPARATOR = 255
 LANES = 4096
+#: Bytes that are stepped at once; the state is carried on to the next ones.
+BLOCK = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -274,36 +277,39 @@ def determinise(nodes: list, search: bool, reverse: bool = False) -> Dfa:
     return Dfa(name[table[keep]].astype(np.uint16), classes, accepts[keep])
 
 
-class Scanner:
-    """The combined automaton of some rules, and each rule's own pair for exact spans."""
+class Lanes:
+    """An automaton for searches, stepped over many lanes of a buffer at once."""
 
-    def __init__(self, rules: tuple[Rule, ...]):
-        self.rules = rules
-        nodes = [Pattern(r.pattern).node for r in rules]
-        self.all = determinise([shortest(x) for x in nodes], search=True)
-        width = self.all.next_.shape[1]
+    def __init__(self, dfa: Dfa):
+        self.classes, self.accepts, self.width = dfa.classes, dfa.accepts, dfa.next_.shape[1]
         # states are kept premultiplied by the row width, so that a step is one addition and one lookup
-        self.step = (self.all.next_.astype(np.intp) * width).reshape(-1)
-        self.width = width
-        self.flag = np.repeat(self.all.accepts != 0, width)
-        self.starts = [determinise([x], search=True, reverse=True) for x in nodes]
-        self.ends = [determinise([x], search=False) for x in nodes]
+        self.step = (dfa.next_.astype(np.intp) * self.width).reshape(-1)
+        self.flag = np.repeat(dfa.accepts != 0, self.width)
 
     def accepting(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the combined automaton accepts after a byte, and its rules there as bits."""
+        """Where the automaton accepts after a byte, and its rules there as bits."""
+        at, bits, state = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for lo in range(0, len(data), BLOCK):
+            places, accepts, state = self._block(data[lo : lo + BLOCK], state)
+            at.append(places + lo)
+            bits.append(accepts)
+        return np.concatenate(at), np.concatenate(bits)
+
+    def _block(self, data: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, int]:
         lanes = max(1, min(LANES, len(data) // 64))
         length = -(-len(data) // lanes)
         padded = np.full(lanes * length, SEPARATOR, np.uint8)
         padded[: len(data)] = data
-        grid = np.ascontiguousarray(self.all.classes[padded].reshape(lanes, length).T)
+        grid = np.ascontiguousarray(self.classes[padded].reshape(lanes, length).T)
         out = np.empty((length, lanes), np.intp)
         state, index = np.zeros(lanes, np.intp), np.empty(lanes, np.intp)
+        state[0] = first
+        enter = state.copy()
         for t in range(length):
             np.add(state, grid[t], out=index)
             state = np.take(self.step, index, out=out[t], mode="clip")
-        enter = np.zeros(lanes, np.intp)
         while True:
-            came = np.concatenate([np.zeros(1, np.intp), out[-1, :-1]])
+            came = np.concatenate([np.array([first], np.intp), out[-1, :-1]])
             lane = np.flatnonzero(came != enter)
             if not len(lane):
                 break
@@ -319,54 +325,88 @@ class Scanner:
         step, lane = np.nonzero(np.take(self.flag, out, mode="clip"))
         at = lane * length + step
         order = np.argsort(at)
-        return at[order], self.all.accepts[out[step, lane][order] // self.width]
+        order = order[at[order] < len(data)]
+        end = len(data) - 1
+        return at[order], self.accepts[out[step, lane][order] // self.width], int(out[end % length, end // length])
+
+
+def parted(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The rows with a separator after each."""
+    joined = np.full(len(data) + len(offs) - 1, SEPARATOR, np.uint8)
+    own = np.ones(len(joined), bool)
+    own[offs[1:] + np.arange(len(offs) - 1)] = False
+    joined[own] = data
+    return joined
+
+
+class Scanner:
+    """The combined automaton of some rules, and each rule's own pair for exact spans."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        nodes = [Pattern(r.pattern).node for r in rules]
+        self.all = Lanes(determinise([shortest(x) for x in nodes], search=True))
+        self.starts = [Lanes(determinise([x], search=True, reverse=True)) for x in nodes]
+        self.ends = [determinise([x], search=False) for x in nodes]
 
     def hits(self, data: np.ndarray, offs: np.ndarray) -> dict[int, int]:
         """Rows in which some rule accepts, with the bit set of those rules; one pass over the bytes."""
-        n = len(offs) - 1
-        joined = np.full(len(data) + n, SEPARATOR, np.uint8)
-        rows = np.repeat(np.arange(n), np.diff(offs))
-        joined[np.arange(len(data)) + rows] = data
-        at, accepts = self.accepting(joined)
+        at, accepts = self.all.accepting(parted(data, offs))
         found: dict[int, int] = {}
         if len(at):
-            row = np.searchsorted(offs[1:] + np.arange(n), at, "right")
+            row = np.searchsorted(offs[1:] + np.arange(len(offs) - 1), at, "right")
             pairs = np.unique(np.column_stack([row, accepts]), axis=0)
             for r, bits in pairs.tolist():
                 found[r] = found.get(r, 0) | bits
         return found
 
-    def spans(self, text: bytes, bits: int) -> list[tuple[int, int, int]]:
-        """(start, end, rule) in code points, leftmost-longest and non-overlapping within a rule, by start and rule."""
-        out = []
+    def spans(self, data: np.ndarray, offs: np.ndarray, hits: dict[int, int]) -> dict[int, list[tuple[int, int, int]]]:
+        """By row: (start, end, rule) in code points, leftmost-longest and non-overlapping within a rule, by start and rule."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for k, rule in enumerate(self.rules):
-            if not bits >> k & 1:
+            rows = [r for r, bits in sorted(hits.items()) if bits >> k & 1]
+            if not rows:
                 continue
-            back, ahead = self.starts[k], self.ends[k]
-            table, accept = back.next_.tolist(), back.accepts.tolist()
-            state, begins = 0, []
-            coded = text.translate(back.classes.tobytes())
-            for i in range(len(coded) - 1, -1, -1):
-                state = table[state][coded[i]]
+            sizes = [int(offs[r + 1] - offs[r]) for r in rows]
+            bounds = np.cumsum([0, *sizes])
+            text = np.concatenate([data[offs[r] : offs[r + 1]] for r in rows])
+            # backward over all of these rows at once
+            joined = parted(text, bounds)
+            begins = len(joined) - 1 - self.starts[k].accepting(joined[::-1])[0][::-1]
+            row = np.searchsorted(bounds[1:] + np.arange(len(rows)), begins, "right")
+            cuts = np.searchsorted(row, np.arange(len(rows) + 1)).tolist()
+            for i, r in enumerate(rows):
+                own = text[bounds[i] : bounds[i + 1]]
+                matches = self._longest(k, own.tobytes(), (begins[cuts[i] : cuts[i + 1]] - bounds[i] - i).tolist())
+                if matches:
+                    found.setdefault(r, []).extend((a, b, k) for a, b in matches)
+        out = {}
+        for r, spans in found.items():
+            own = data[offs[r] : offs[r + 1]]
+            # code points before each byte: continuation bytes don't count
+            points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80, dtype=np.int32)])
+            out[r] = sorted(((int(points[a]), int(points[b]), k) for a, b, k in spans), key=lambda s: (s[0], s[2]))
+        return out
+
+    def _longest(self, k: int, text: bytes, begins: list[int]) -> list[tuple[int, int]]:
+        rule, ahead = self.rules[k], self.ends[k]
+        table, accept, dead, classes = ahead.next_.tolist(), ahead.accepts.tolist(), ahead.dead.tolist(), ahead.classes.tolist()
+        done, out = 0, []
+        for i in begins:
+            if i < done:
+                continue
+            state, end, j = 0, 0, i
+            while j < len(text):
+                state = table[state][classes[text[j]]]
+                j += 1
                 if accept[state]:
-                    begins.append(i)
-            table, accept, dead = ahead.next_.tolist(), ahead.accepts.tolist(), ahead.dead.tolist()
-            coded, done = text.translate(ahead.classes.tobytes()), 0
-            for i in reversed(begins):
-                if i < done:
-                    continue
-                state, end, j = 0, 0, i
-                while j < len(coded):
-                    state = table[state][coded[j]]
-                    j += 1
-                    if accept[state]:
-                        end = j
-                    elif dead[state]:
-                        break
-                done = end
-                if self.value_length(rule, text[i:end]) >= rule.min_length:
-                    out.append((len(text[:i].decode()), len(text[:end].decode()), k))
-        return sorted(out, key=lambda s: (s[0], s[2]))
+                    end = j
+                elif dead[state]:
+                    break
+            done = end
+            if self.value_length(rule, text[i:end]) >= rule.min_length:
+                out.append((i, end))
+        return out
 
     @staticmethod
     def value_length(rule: Rule, match: bytes) -> int:
@@ -396,8 +436,7 @@ def scan_column(column: pa.Array, rules: tuple[Rule, ...] = RULES) -> Iterator[t
     """(first row, end row, spans by row) for slices of whole rows."""
     scan = scanner(rules)
     for lo, hi, data, offs in slices(column, 4 << 20):
-        found = {r: s for r, bits in scan.hits(data, offs).items() if (s := scan.spans(data[offs[r] : offs[r + 1]].tobytes(), bits))}
-        yield lo, hi, {lo + r: s for r, s in found.items()}
+        yield lo, hi, {lo + r: s for r, s in scan.spans(data, offs, scan.hits(data, offs)).items()}
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
