@@ -1,6 +1,7 @@
 """Document fingerprints: improbable-feature digests.
 
-Every window of WINDOW bytes is ranked by how rare its entropy is. Of each run of RUN consecutive windows, the
+Every window of WINDOW bytes is ranked by how rare its entropy is: how many of all windows of all documents have
+it, counted in Spark on a scale of 0 to 1000. Of each run of RUN consecutive windows, the
 leftmost one of least rank gets a vote; windows with VOTES votes or more are the document's features. Features
 go, in order, into a chain of Bloom filters of FEATURES each. Two digests are compared by the bits that their
 filters share, above what is due to chance, as a share of the most they could.
@@ -34,8 +35,8 @@ VOTES = 16
 FEATURES = 160
 BITS = 2048
 HASHES = 5
-#: Entropy is scaled to 0..1000; texts are mostly around here, so the farther from it, the rarer.
-COMMON = 615
+#: Entropy is scaled to 0..SCALE.
+SCALE = 1000
 BLOCK = 1 << 20
 
 _COUNT = np.arange(WINDOW + 1, dtype=float)
@@ -67,18 +68,47 @@ def entropies(data: np.ndarray) -> np.ndarray:
     return ((most - total) * (1000 / most)).astype(np.int32)
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def whole_windows(offs: np.ndarray) -> np.ndarray:
+    """By start: whether a window of the buffer lies in one document."""
+    valid = np.zeros(int(offs[-1]) + 1, np.int32)
+    long = np.flatnonzero(np.diff(offs) >= WINDOW)
+    np.add.at(valid, offs[long], 1)
+    np.add.at(valid, offs[long + 1] - WINDOW + 1, -1)
+    return np.cumsum(valid[: int(offs[-1]) - WINDOW + 1]) > 0
+
+
+def entropy_ranks(texts: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The rank of each entropy, the rarest first, by the windows of all texts; sums of SCALE + 1 numbers come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SCALE + 1, np.int64)
+        for batch in batches:
+            for _, _, data, offs in slices(batch.column(0), BLOCK):
+                if len(data) >= WINDOW:
+                    total += np.bincount(entropies(data)[whole_windows(offs)], minlength=SCALE + 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["entropy", "n"])
+
+    count = np.zeros(SCALE + 1, np.int64)
+    for r in texts.select(texts[text_col].alias("text")).mapInArrow(run, "entropy long, n long").groupBy("entropy").agg(F.sum("n").alias("n")).collect():
+        count[r.entropy] = r.n
+    return ranked(count)
+
+
+def ranked(count: np.ndarray) -> np.ndarray:
+    """Places by count, ties by entropy."""
+    out = np.empty(len(count), np.int32)
+    out[np.argsort(count, kind="stable")] = np.arange(len(count))
+    return out
+
+
+def features(data: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and starts of the chosen windows of a buffer of documents, in order."""
     n = len(data)
     if n < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rank = 1000 - np.abs(entropies(data) - COMMON)
-    rank = np.maximum(rank, 0)
-    valid = np.zeros(n + 1, np.int32)
-    long = np.flatnonzero(np.diff(offs) >= WINDOW)
-    np.add.at(valid, offs[long], 1)
-    np.add.at(valid, offs[long + 1] - WINDOW + 1, -1)
-    valid = np.cumsum(valid[: len(rank)]) > 0
+    rank = ranks[entropies(data)]
+    valid = whole_windows(offs)
     position = np.arange(len(rank), dtype=np.int64)
     never = np.int64(1) << 62
     key = np.full(len(rank) + 2 * (RUN - 1), never)
@@ -104,10 +134,10 @@ def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def digests(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, int]]:
+def digests(data: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """Per document: its filters (rows of BITS / 8 bytes) and its features' count."""
     n = len(offs) - 1
-    row, start = features(data, offs)
+    row, start = features(data, offs, ranks)
     hashes = window_hashes(data, start)
     short = np.flatnonzero((np.diff(offs) < WINDOW) & (np.diff(offs) > 0))
     if len(short):
@@ -147,12 +177,15 @@ def likeness(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
         return float(a[1] == b[1])
     if len(a[0]) > len(b[0]) or (len(a[0]) == len(b[0]) and a[1] > b[1]):
         a, b = b, a
-    x, y = a[0][:, None, :], b[0][None, :, :]
-    shared = np.bitwise_count(x & y).sum(2, dtype=np.int64)
-    ones_a, ones_b = np.bitwise_count(a[0]).sum(1, dtype=np.int64)[:, None], np.bitwise_count(b[0]).sum(1, dtype=np.int64)[None, :]
-    chance, most = ones_a * ones_b / BITS, np.minimum(ones_a, ones_b)
-    score = np.clip((shared - chance) / np.maximum(most - chance, 1e-9), 0, 1)
-    return float(score.max(1).mean())
+    wide_a, wide_b = (np.ascontiguousarray(x[0]).view(np.uint64) for x in (a, b))
+    ones_a, ones_b = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (wide_a, wide_b))
+    total, step = 0.0, max(1, (1 << 18) // len(wide_b))  # some megabytes at once, whatever the number of filters
+    for lo in range(0, len(wide_a), step):
+        shared = np.bitwise_count(wide_a[lo : lo + step, None, :] & wide_b[None]).sum(2, dtype=np.int64)
+        own = ones_a[lo : lo + step, None]
+        chance, most = own * ones_b / BITS, np.minimum(own, ones_b)
+        total += np.clip((shared - chance) / np.maximum(most - chance, 1e-9), 0, 1).max(1).sum()
+    return float(total / len(wide_a))
 
 
 def encode(digest: tuple[np.ndarray, int]) -> str:
@@ -165,13 +198,14 @@ def decode(said: str) -> tuple[np.ndarray, int]:
     return np.frombuffer(base64.b64decode(body), np.uint8).reshape(int(n), BITS // 8), int(count)
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The digest of every row's text, as id and fingerprint."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: np.ndarray | None = None) -> DataFrame:
+    """The digest of every row's text, as id and fingerprint; digests that are to be compared need the same ranks."""
+    ranks = entropy_ranks(df, text_col) if ranks is None else ranks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(1), BLOCK):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(map(encode, digests(data, offs)), pa.string())], names=["id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(map(encode, digests(data, offs, ranks)), pa.string())], names=["id", "fingerprint"])
 
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(run, "id long, fingerprint string")
 
@@ -179,19 +213,23 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 EDIT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edits(ranks: np.ndarray):
     """Rows come in order of run and place in it; the last of a run is a guest, there as the next of the one before it."""
-    own: dict[str, list] = {}
-    for batch in batches:
-        columns = [*batch.columns[:3], flat(batch.column(3))]
-        for lo, hi, data, offs in slices(columns[3], BLOCK):
-            texts = columns[3][lo:hi].to_pylist()
-            rows = list(zip(columns[0][lo:hi].to_pylist(), columns[1][lo:hi].to_pylist(), columns[2][lo:hi].to_pylist(), texts, digests(data, offs), strict=True))
-            yield from _pairs(([own["last"]] if own else []) + rows)
-            own["last"] = rows[-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple] = []
+        for batch in batches:
+            columns = [*batch.columns[:3], flat(batch.column(3))]
+            for lo, hi, data, offs in slices(columns[3], BLOCK):
+                texts = columns[3][lo:hi].to_pylist()
+                rows = list(zip(*(c[lo:hi].to_pylist() for c in columns[:3]), texts, digests(data, offs, ranks), strict=True))
+                yield from _pairs(last + rows, ranks)
+                last = rows[-1:]
+
+    return run
 
 
-def _pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _pairs(rows: list[tuple], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
     out = []
     for (run, guest, key, text, digest), (next_run, _, _, next_text, next_digest) in zip(rows, rows[1:], strict=False):
         if guest or run != next_run:
@@ -201,7 +239,7 @@ def _pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     if not out:
         return
     edited = pa.array([x[2] for x in out], pa.large_string())
-    changed = [d for _, _, data, offs in slices(edited, BLOCK) for d in digests(data, offs)]
+    changed = [d for _, _, data, offs in slices(edited, BLOCK) for d in digests(data, offs, ranks)]
     rows = [
         (key, n, hashlib.sha256(text.encode()).hexdigest(), encode(digest), encode(new), likeness(digest, new), likeness(digest, after))
         for (key, n, text, digest, after), new in zip(out, changed, strict=True)
@@ -235,4 +273,4 @@ def edit_query(documents: DataFrame, run_docs: int = 500, max_runs: int = 65_536
     dealt = placed.select(F.explode(places).alias("place"), "doc_id", "text").select("place.run", "place.guest", "doc_id", "text")
     # a task holds several runs, so that hashing their numbers evens out
     dealt = dealt.repartition(max(1, -(-len(starts) // runs_a_task)), "run").sortWithinPartitions("run", "guest", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(_edits, EDIT_SCHEMA)
+    return dealt.mapInArrow(_edits(entropy_ranks(documents)), EDIT_SCHEMA)
