@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.components import components
 from tapeloom.llm.shared import materialise
-from tapeloom.llm.textbuf import mix64, slices
+from tapeloom.llm.textbuf import buffers, flat, mix64, pieces
 
 SEED = 42
 WORDS = 3
@@ -46,6 +46,8 @@ FEW = 64
 #: Rows of a key in one block of a task.
 MANY = 4096
 COUNTERS = 1 << 16
+#: Keys of a task, about; there are as many tasks as the keys ask for, and no fewer than the session's partitions.
+TASK_ROWS = 2_000_000
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -111,39 +113,57 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shingles(column: pa.Array, words: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of slices of rows: the hashes of their lower-cased texts' word shingles, repeats included, and how many each row has."""
+    """Of runs of rows: the hashes of their lower-cased texts' word shingles, repeats included, and how many each row has.
+
+    A long text is split part by part, each with the last words of the one before it; its hashes come together.
+    """
     digest = xxhash.xxh64_intdigest
-    for _, _, data, offs in slices(column):
+    held: list[np.ndarray] = []
+    tail: list[bytes] = []
+    some = False
+    for lo, hi, data, offs, done in pieces(*buffers(flat(column))):
         blob, hashes, counts = data.tobytes().lower(), [], []
         bounds = offs.tolist()
         for a, b in zip(bounds, bounds[1:], strict=False):
-            parts = blob[a:b].split()
+            parts = tail + blob[a:b].split()
             n = len(parts)
-            if n > words:
+            if n >= words:
                 joined = b" ".join(parts)
                 begin = np.zeros(n + 1, np.int64)
                 np.cumsum([len(x) + 1 for x in parts], out=begin[1:])
                 begin = begin.tolist()
                 hashes += [digest(joined[s : e - 1], seed) for s, e in zip(begin, begin[words:], strict=False)]
                 counts.append(n - words + 1)
-            elif n:
-                hashes.append(digest(b" ".join(parts), seed))
-                counts.append(1)
+                tail, some = parts[n - words + 1 :], True
             else:
-                counts.append(0)
-        yield np.array(hashes, "<u8"), np.array(counts, np.int64)
+                tail = parts
+                if done and n and not some:
+                    hashes.append(digest(b" ".join(parts), seed))
+                counts.append(int(done and n > 0 and not some))
+            if done:
+                tail, some = [], False
+        held.append(np.array(hashes, "<u8"))
+        if done:
+            found = np.concatenate(held)
+            # of a text in parts, the last count stands for all of it
+            yield found, np.array(counts if len(held) == 1 else [len(found)], np.int64)
+            held = []
+
+
+#: Hashes whose bits are laid out at once.
+UNPACKED = 1 << 17
 
 
 def fingerprint_column(column: pa.Array, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
-    """The fingerprints of slices of rows: a bit is set if it is in over half of the shingles' hashes."""
+    """The fingerprints of runs of rows: a bit is set if it is in over half of the shingles' hashes."""
     for hashed, count in _shingles(column, words, seed):
-        out = np.zeros((len(count), 64), bool)
-        if len(hashed):
-            full = count > 0
-            bits = np.unpackbits(hashed.view(np.uint8), bitorder="little").reshape(-1, 64)
-            sums = np.add.reduceat(bits, (np.cumsum(count) - count)[full], axis=0, dtype=np.int32)
-            out[full] = 2 * sums > count[full, None]
-        yield np.packbits(out, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
+        sums, row = np.zeros((len(count), 64), np.int64), np.repeat(np.arange(len(count)), count)
+        for lo in range(0, len(hashed), UNPACKED):
+            bits = np.unpackbits(hashed[lo : lo + UNPACKED].view(np.uint8), bitorder="little").reshape(-1, 64)
+            own = row[lo : lo + UNPACKED]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            sums[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        yield np.packbits(2 * sums > count[:, None], axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -272,7 +292,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     for r in counts.filter(F.col("n") > mean + MANY).collect():  # COUNTERS rows at most
         blocks[r.counter] = -(-int(r.n - mean) // MANY) + (int(r.n - mean) > MANY)
     dealt = prints.mapInArrow(_deal(blocks), "deal long, print long, role byte")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(mean * COUNTERS) // TASK_ROWS))
     return dealt.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(_links(max_bits), "a long, b long").distinct()
 
 
@@ -544,7 +564,6 @@ def like_groups(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     sketch = materialise(sketches(documents), "like-sketches")
     nodes = materialise(sketch.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in _NAMES[2:])), "like-nodes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"{x} long" for x in ("deal", "node", *(f"s{k}" for k in range(SKETCH))))
     keyed = nodes.filter("size > 0").select("node", *_NAMES[3:])
     counts = keyed.mapInArrow(_like_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
@@ -553,6 +572,7 @@ def like_groups(documents: DataFrame) -> DataFrame:
     for r in counts.filter(F.col("n") > mean + MANY).collect():  # COUNTERS rows at most
         blocks[r.counter] = -(-int(r.n - mean) // MANY) + 1
     rows = keyed.mapInArrow(_like_keys(blocks), schema)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(mean * COUNTERS) // TASK_ROWS))
     pairs = rows.repartition(parts, "deal").sortWithinPartitions("deal", "node").mapInArrow(_like_pairs, "a long, b long").distinct()
     joined = components(materialise(pairs, "like-pairs")).join(nodes.select("node", "least", "size"), "node")
     clusters = materialise(joined.select("node", "least", "root", "size"), "like-clusters")

@@ -85,20 +85,22 @@ def test_features_by_the_rule():
     rng = random.Random(4)
     text = words(rng, 200).encode()
     data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    rank = [1000 - abs(int(e) - digest.COMMON) for e in digest.entropies(data)]
+    ranks = digest.ranked(np.bincount(digest.entropies(data), minlength=digest.SCALE + 1))
+    rank = ranks[digest.entropies(data)].tolist()
     votes = Counter()
     n = len(rank)
     for s in range(1 - digest.RUN, n):
         run = range(max(0, s), min(n, s + digest.RUN))
         votes[min(run, key=lambda i: (rank[i], i))] += 1
-    assert digest.features(data, offs)[1].tolist() == sorted(i for i, v in votes.items() if v >= digest.VOTES)
+    assert digest.features(data, offs, ranks)[1].tolist() == sorted(i for i, v in votes.items() if v >= digest.VOTES)
 
 
 def test_digest_does_not_depend_on_neighbours():
     rng = random.Random(2)
     texts = ["", "short", "x" * 64, *(words(rng, rng.randint(1, 400)) for _ in range(40))]
-    together = [digest.encode(d) for _, _, data, offs in slices(pa.array(texts)) for d in digest.digests(data, offs)]
-    alone = [digest.encode(d) for t in texts for _, _, data, offs in slices(pa.array([t])) for d in digest.digests(data, offs)]
+    ranks = digest.ranked(np.random.default_rng(0).integers(0, 99, digest.SCALE + 1))
+    together = [digest.encode(d) for _, _, data, offs in slices(pa.array(texts)) for d in digest.digests(data, offs, ranks)]
+    alone = [digest.encode(d) for t in texts for _, _, data, offs in slices(pa.array([t])) for d in digest.digests(data, offs, ranks)]
     assert together == alone
     assert digest.likeness(digest.decode(together[5]), digest.decode(together[5])) == 1.0
 
