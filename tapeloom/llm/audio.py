@@ -2,7 +2,8 @@
 
 A clip is polyphase-resampled, cut into overlapped frames, turned into log-mel bands and segmented by an
 energy threshold with hysteresis. Bands are kept in fixed-shape Arrow tensors, one per tile of frames, each
-with its time span.
+with its time span. A clip is worked through in steps of STEP frames, so that beside its bytes only its bands
+and energies are held; bands are stored in steps of 1 / GRAIN.
 
 Defined results: a null or empty clip has no frame, no tensor and no segment; repeated rows get equal values;
 columns other than the id and the clip are ignored, whatever their names.
@@ -27,6 +28,7 @@ BLOCK = 576
 STORED_RATE, RATE = 24_000, 16_000
 FRAME, HOP, FFT, MELS, TILE = 400, 160, 512, 40, 32
 RISE_DB, FALL_DB = 1.0, -1.0
+STEP, GRAIN = 8192, 64
 
 FEATURE_SCHEMA = "id long, n_samples long, rate int, n_frames int, tensors binary, segments array<struct<start_s:double,end_s:double>>"
 DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, n_segments int"
@@ -66,18 +68,24 @@ def polyphase_taps(up: int, down: int, lobes: int = 6) -> np.ndarray:
     return np.ascontiguousarray(h.reshape(-1, up).T.astype(np.float32))
 
 
-def resample(x: np.ndarray, up: int, down: int, taps: np.ndarray) -> np.ndarray:
-    """y[n] = sum over j of taps[phase, j] * x[base - j], with phase and base from n * down + delay."""
+def resample(x: np.ndarray, up: int, down: int, taps: np.ndarray, first: int = 0, end: int | None = None) -> np.ndarray:
+    """y[n] = sum over j of taps[phase, j] * x[base - j], with phase and base from n * down + delay, for n from first to end.
+
+    x is silent outside; first is a multiple of up.
+    """
+    n_out = -(-len(x) * up // down)
+    end = n_out if end is None else min(end, n_out)
     if up == down or not len(x):
-        return x
+        return x[first:end]
     width = taps.shape[1]
     delay = (width * up - 1) // 2
-    n_out = -(-len(x) * up // down)
-    padded = np.concatenate([np.zeros(width, np.float32), x, np.zeros(width + down, np.float32)])
+    shift = first * down // up  # a whole number, as first is a multiple of up
+    low, high = shift - width, ((end - 1) * down + delay) // up + 2
+    padded = np.concatenate([np.zeros(max(0, -low), np.float32), x[max(0, low) : max(0, high)], np.zeros(max(0, high - max(len(x), 0)) + down, np.float32)])
     frames = sliding_window_view(padded, width)
-    out = np.empty(n_out, np.float32)
-    for r in range(min(up, n_out)):
-        count = len(range(r, n_out, up))
+    out = np.empty(max(0, end - first), np.float32)
+    for r in range(min(up, len(out))):
+        count = len(range(r, len(out), up))
         base, phase = divmod(r * down + delay, up)
         out[r::up] = frames[base + 1 :: down][:count] @ taps[phase, ::-1]
     return out
@@ -103,15 +111,28 @@ class Frontend:
 
     def bands(self, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-mel bands (frames x MELS) and the energy of each frame in decibels; the last frame is zero-padded."""
-        x = resample((samples.astype(np.float32) - 128) / 128, self.up, self.down, self.taps)
-        if not len(x):
-            return np.zeros((0, MELS), np.float32), np.zeros(0, np.float32)
-        n = 1 + max(0, -(-(len(x) - FRAME) // HOP))
-        x = np.concatenate([x, np.zeros(max(0, (n - 1) * HOP + FRAME - len(x)), np.float32)])
-        frames = sliding_window_view(x, FRAME)[::HOP][:n]
-        power = np.abs(np.fft.rfft(frames * self.window, FFT)) ** 2
-        energy = 10 * np.log10((frames * frames).mean(1) + 1e-10)
-        return np.log(power.astype(np.float32) @ self.mel + 1e-6), energy
+        size = -(-len(samples) * self.up // self.down)
+        n = 1 + max(0, -(-(size - FRAME) // HOP)) if size else 0
+        bands, energy = np.zeros((n, MELS), np.float32), np.zeros(n, np.float32)
+        for lo in range(0, n, STEP):
+            hi = min(n, lo + STEP)
+            first = lo * HOP // self.up * self.up
+            x = self.resampled(samples, first, (hi - 1) * HOP + FRAME)[lo * HOP - first :]
+            x = np.concatenate([x, np.zeros(max(0, (hi - lo - 1) * HOP + FRAME - len(x)), np.float32)])
+            frames = sliding_window_view(x, FRAME)[::HOP][: hi - lo]
+            power = np.abs(np.fft.rfft(frames * self.window, FFT)) ** 2
+            energy[lo:hi] = 10 * np.log10((frames * frames).mean(1) + 1e-10)
+            bands[lo:hi] = np.round(np.log(power.astype(np.float32) @ self.mel + 1e-6) * GRAIN) / GRAIN
+        return bands, energy
+
+    def resampled(self, samples: np.ndarray, first: int, end: int) -> np.ndarray:
+        """The clip at the new rate, from place first to end; only the samples around them are made floats."""
+        edge = self.taps.shape[1] + self.down
+        low = max(0, (first * self.down // self.up - edge) // self.down * self.down)
+        part = samples[low : end * self.down // self.up + edge]
+        skip = low // self.down * self.up
+        size = -(-len(samples) * self.up // self.down)
+        return resample((part.astype(np.float32) - 128) / 128, self.up, self.down, self.taps, first - skip, min(end, size) - skip)
 
     def segments(self, energy: np.ndarray) -> list[tuple[float, float]]:
         """Spans in seconds that begin RISE_DB above the mean energy and last until FALL_DB below it."""
@@ -181,7 +202,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands, energy = front.bands(np.frombuffer(back, np.uint8))
             tensor, spans = front.tensors(bands), front.segments(energy)
             mean, spread = bands.mean(0, dtype=np.float64), bands.std(0, dtype=np.float64).mean()
-            said = f"frames={len(bands)};tiles={tensor.num_rows};mel={','.join(f'{x:.1f}' for x in mean)};std={spread:.1f};spans={','.join(f'{x:.2f}-{y:.2f}' for x, y in spans)}"
+            # the stored tensor, as the bytes that a reader would get
+            stored = hashlib.sha256(ipc(tensor)).hexdigest()[:16]
+            said = f"frames={len(bands)};tiles={tensor.num_rows};tensor={stored};mel={','.join(f'{x:.1f}' for x in mean)};std={spread:.1f};spans={','.join(f'{x:.2f}-{y:.2f}' for x, y in spans)}"
             rows.append((key, b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), said, len(bands), len(spans)))
         if rows:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
