@@ -95,6 +95,18 @@ def sainte_lague(weights: Sequence[float], seats: int, most: Sequence[int] | Non
     return q
 
 
+def numbered(rows: DataFrame, chunk: int = 4096) -> DataFrame:
+    """The rows with a column `copy`: 0 to n - 1 for n equal rows.
+
+    Equal rows are counted map-side and written out again, so that however many there are of one kind (rows without an
+    id, say) they can be dealt by their number.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    chunks = counted.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (copies - 1) div {chunk})")))
+    each = chunks.withColumn("copy", F.explode(F.expr(f"sequence(chunk * {chunk}, least(copies, (chunk + 1) * {chunk}) - 1)")))
+    return each.select(*rows.columns, "copy")
+
+
 def _plan(sized: DataFrame, weights, share, cap, block, shard_docs) -> tuple[DataFrame, DataFrame]:
     """Documents with their source's number and shard, and the quota in words of each shard."""
     spark = sized.sparkSession
@@ -111,7 +123,7 @@ def _plan(sized: DataFrame, weights, share, cap, block, shard_docs) -> tuple[Dat
     placed = (
         sized.join(F.broadcast(sources.withColumnRenamed("source", "its")), F.col("source").eqNullSafe(F.col("its")))
         .drop("its")
-        .withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, size, {SEED}), shards) as int)"))
+        .withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, size, copy, {SEED}), shards) as int)"))
     )
     parts: list[list[tuple[int, int]]] = [[] for _ in totals]
     for r in placed.groupBy("source_no", "shard").agg(F.sum("size").alias("size")).collect():
@@ -143,8 +155,8 @@ def _taken(begin: Column, end: Column, block: int) -> Column:
 
 def mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """doc_id, source, size -> those, source_size, target, shard, begin (in the shard's layout) and taken."""
-    placed, quotas = _plan(sized, weights, share, cap, block, shard_docs)
-    order = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED + 1)), "doc_id", "size")
+    placed, quotas = _plan(numbered(sized.select("doc_id", "source", "size")), weights, share, cap, block, shard_docs)
+    order = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64(F.col("doc_id"), F.col("copy"), F.lit(SEED + 1)), "doc_id", "size", "copy")
     laid = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
     # a prime stride steps through all block numbers, as it is larger than any shard's count of blocks and so coprime to it
     quotas = (

@@ -10,7 +10,7 @@ The cost of a run fulfils the quadrangle inequality, so the best cuts are found
 The numbering uses shard counts, at most MAX_SHARDS rows.
 
 Defined results: a null or empty text has length 0, and its bucket has the least boundary; documents of equal
-length are in the same bucket; repeated rows are numbered apart; an empty table gives an empty result. Columns
+length are in the same bucket; repeated rows are numbered apart; a text longer than the budget is a batch of its own beyond it; an empty table gives an empty result. Columns
 other than the id and the text are ignored.
 """
 
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.mixing import word_count
+from tapeloom.llm.mixing import numbered, word_count
 from tapeloom.llm.shared import materialise
 
 BUCKETS = 16
@@ -86,14 +86,15 @@ def pack(sized: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_d
         number = F.when(F.col("length") <= bound, i).otherwise(number)
         padded = F.when(F.col("length") <= bound, F.lit(bound).cast("long")).otherwise(padded)
     shards = max(1, min(MAX_SHARDS // max(1, len(bounds)), -(-int(counts.sum()) // shard_docs)))
-    placed = sized.select("doc_id", "length", number.alias("bucket"), padded.alias("padded_length"), F.expr(f"cast(pmod(xxhash64(doc_id, length, {SEED}), {shards}) as int)").alias("shard"))
+    rows = numbered(sized.select("doc_id", "length"))
+    placed = rows.select("doc_id", "length", "copy", number.alias("bucket"), padded.alias("padded_length"), F.expr(f"cast(pmod(xxhash64(doc_id, length, copy, {SEED}), {shards}) as int)").alias("shard"))
     before: dict[int, int] = {}
     offsets = []
     for r in sorted(placed.groupBy("bucket", "shard").agg(F.count("*").alias("n")).collect()):
         offsets.append((r.bucket, r.shard, before.get(r.bucket, 0)))
         before[r.bucket] = before.get(r.bucket, 0) + r.n
     begin = F.broadcast(spark.createDataFrame(offsets, "bucket int, shard int, first long"))
-    order = Window.partitionBy("bucket", "shard").orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED + 1)), "doc_id", "length")
+    order = Window.partitionBy("bucket", "shard").orderBy(F.xxhash64(F.col("doc_id"), F.col("copy"), F.lit(SEED + 1)), "doc_id", "length", "copy")
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_length"), F.lit(1))))
     return (
         placed.withColumn("row", F.row_number().over(order))
