@@ -3,8 +3,9 @@
 Words are counted in Spark and written as hash arrays, sorted within shards by the top bits of the hash; a
 word's place in the whole order is its number. Pairs of numbers are counted in Spark as well, and written the
 same way under a scrambled pair key, in shards by context (those of frequent contexts are spread by pair).
-What a context or a word needs besides, follows from the pairs and is kept in dense arrays. All of these lie in
-the shared folder, where workers memory-map them to score texts; no worker loads or receives the model.
+What a context or a word needs besides, follows from the pairs and is kept in arrays by word number. All of these
+lie in the shared folder, a file for each shard that one task writes whole, and workers memory-map them to score
+texts; no worker loads or receives the model. There are as many shards and tasks as the bytes of text ask for.
 
     p(w | v) = (n(v w) - D(n)) / n(v) + gamma(v) p(w)
     p(w)     = (t(w) - D'(t)) / T + gamma' / (V + 1)
@@ -22,7 +23,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.shared import mapped_dir, materialise
-from tapeloom.llm.textbuf import LOWER, mix64, slices, span_hashes, words
+from tapeloom.llm.textbuf import LOWER, buffers, flat, mix64, pieces, span_hashes, words
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Contexts with more than one in so many tokens are spread over shards by pair: there are fewer than this of them.
@@ -38,19 +39,29 @@ SPREAD = 4096
 #: Pairs that a task holds before it passes their counts on.
 HELD = 2_000_000
 SLICE = 2 << 20
-
-
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of each text with END after it, end to end, and where each text's tokens begin."""
-    small = LOWER[data]
-    starts, ends, row = words(small, offs)
-    n = len(offs) - 1
-    count = np.bincount(row, minlength=n) + 1
-    begin = np.concatenate([[0], np.cumsum(count)])
-    out = np.empty(begin[-1], np.uint64)
-    out[np.arange(len(starts)) + row] = span_hashes(small, starts, ends)
-    out[begin[1:] - 1] = END
-    return out, begin
+#: Bytes of text behind a shard, about; a task has two of them.
+SHARD_BYTES = 16 << 20
+
+
+def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of runs of rows (first, end): the word hashes of each text with END after it, end to end, and where each text's tokens begin.
+
+    A long text is read part by part.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo, hi, data, offs, done in pieces(*buffers(flat(column)), SLICE):
+        small = LOWER[data]
+        starts, ends, row = words(small, offs)
+        held.append((span_hashes(small, starts, ends), row))
+        if done:
+            hashed, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+            count = np.bincount(row, minlength=hi - lo) + 1
+            begin = np.concatenate([[0], np.cumsum(count)])
+            out = np.empty(begin[-1], np.uint64)
+            out[np.arange(len(row)) + row] = hashed
+            out[begin[1:] - 1] = END
+            yield lo, hi, out, begin
 
 
 def tally(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -137,14 +148,13 @@ def top(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the arrays are, and the numbers that go with them. vocabulary: words; first: each shard's first number."""
+    """Where the arrays are, and the numbers that go with them. vocabulary: words; each shard's first number is in a file."""
 
     folder: str
     bits: int
     vocabulary: int = 0
     total: int = 0
     texts: int = 0
-    first: tuple[int, ...] = ()
     pair_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     unseen: float = 1.0
 
@@ -162,7 +172,7 @@ class Reader:
     def __init__(self, layout: Layout):
         self.layout = layout
         self.words, self.pairs = Shards(layout.folder, "words", layout.bits), Shards(layout.folder, "pairs", layout.bits)
-        self.first = np.array(layout.first, np.int64)
+        self.first = np.load(f"{layout.folder}/first.npy")
         self.hot = max(1, layout.total // SPREAD)
 
     @classmethod
@@ -171,11 +181,27 @@ class Reader:
             cls._open[layout.folder] = cls(layout)
         return cls._open[layout.folder]
 
-    def dense(self, name: str, kind: str) -> np.ndarray:
-        if name not in self.__dict__:
-            n = self.layout.vocabulary + 1
-            self.__dict__[name] = np.memmap(f"{self.layout.folder}/{name}", kind, "r", shape=(n,))
-        return self.__dict__[name]
+    def facts(self, number: np.ndarray, *names: str) -> list[np.ndarray]:
+        """Values by word number, 0 where there are none: counts, p, gamma. The start of texts has a count and a gamma."""
+        known, which = np.unique(number, return_inverse=True)
+        out = [np.zeros(len(known)) for _ in names]
+        lo, hi = np.searchsorted(known, [0, self.layout.vocabulary])
+        shard = np.searchsorted(self.first, known[lo:hi], "right") - 1
+        edge = lo + np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if hi > lo else np.array([lo])
+        for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+            k = int(shard[a - lo])
+            for values, name in zip(out, names, strict=True):
+                array = self.words.part(k, name)
+                if array is not None:
+                    values[a:b] = array[known[a:b] - self.first[k]]
+        if hi < len(known):
+            for values, name in zip(out, names, strict=True):
+                array = self.words.part(1 << self.layout.bits, name)
+                if name == "counts":
+                    values[hi] = self.layout.texts
+                elif array is not None:
+                    values[hi] = array[0]
+        return [values[which.reshape(-1)] for values in out]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers, -1 for words outside the vocabulary."""
@@ -193,7 +219,7 @@ class Reader:
 
     def pair_shards(self, pair: np.ndarray) -> np.ndarray:
         before = pair >> 32
-        hot = self.dense("count", "i8")[before] > self.hot
+        hot = self.facts(before, "counts")[0] > self.hot
         return top(mix64(np.where(hot, pair, before).view(np.uint64) + np.uint64(1)), self.layout.bits)
 
     def pair_counts(self, pair: np.ndarray) -> np.ndarray:
@@ -219,8 +245,8 @@ def _count_words(bits: int):
             return _batch("shard word n", (pa.int32(), pa.int64(), pa.int64()), top(value, bits).astype(np.int32), value.view(np.int64), n)
 
         for batch in batches:
-            for _, _, data, offs in slices(batch.column(0), SLICE):
-                if held.add(tokens(data, offs)[0]):
+            for _, _, hashed, _ in tokens(batch.column(0)):
+                if held.add(hashed):
                     yield out()
         if held.n:
             yield out()
@@ -237,8 +263,7 @@ def _count_pairs(layout: Layout):
             return _batch("shard pair n", (pa.int32(), pa.int64(), pa.int64()), reader.pair_shards(value).astype(np.int32), value, n)
 
         for batch in batches:
-            for _, _, data, offs in slices(batch.column(0), SLICE):
-                hashed, begin = tokens(data, offs)
+            for _, _, hashed, begin in tokens(batch.column(0)):
                 number = reader.numbers(hashed)
                 if held.add((reader.contexts(number, begin) << 32) | number):
                     yield out()
@@ -262,22 +287,27 @@ def _write_words(folder: str, bits: int):
     return run
 
 
-#: Kinds of the numbers that pairs give: a context's pairs by count, a word's contexts, pairs by count.
-CONTEXT, BEFORE, COUNTS = 0, 1, 2
+#: What pairs give, by the shard and number of a word: the pairs that it begins with a count of 1, 2 and more, and the
+#: words before it. COUNTS in place of the shard: how many pairs have a count of 1, 2, 3 and 4, and how many there are.
+COUNTS = -1
+FACTS = "shard int, id long, x1 long, x2 long, x3 long, t long"
 
 
-def _write_pairs(folder: str, bits: int):
+def _write_pairs(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, pair, n = _gather(batches, 3)
-        Shards(folder, "pairs", bits).write(mix64(pair.view(np.uint64)), n, shard)
-        names, kinds = "kind id x1 x2 x3", (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        Shards(layout.folder, "pairs", layout.bits).write(mix64(pair.view(np.uint64)), n, shard)
+        first = Reader.of(layout).first
+        names, kinds = "shard id x1 x2 x3 t", (pa.int32(), *[pa.int64()] * 5)
+        # the start of texts comes after all words, and has a shard of its own
+        at = lambda number: np.where(number == layout.start, 1 << layout.bits, np.searchsorted(first, number, "right") - 1)
         none = lambda k: np.zeros(k, np.int64)
         context, which = np.unique(pair >> 32, return_inverse=True)
         by = [np.bincount(which[m], minlength=len(context)) for m in (n == 1, n == 2, n >= 3)]
-        yield _batch(names, kinds, np.full(len(context), CONTEXT), context, *by)
+        yield _batch(names, kinds, at(context), context, *by, none(len(context)))
         word, t = tally(pair & 0xFFFFFFFF)
-        yield _batch(names, kinds, np.full(len(word), BEFORE), word, t, none(len(word)), none(len(word)))
-        yield _batch(names, kinds, np.full(5, COUNTS), np.arange(1, 6), [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)], none(5), none(5))
+        yield _batch(names, kinds, at(word), word, *[none(len(word))] * 3, t)
+        yield _batch(names, kinds, np.full(5, COUNTS), np.arange(1, 6), [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)], *[none(5)] * 3)
 
     return run
 
@@ -291,40 +321,28 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
     return tuple(float(min(max(x, 0.0), k)) for k, x in enumerate(d, 1))
 
 
-def _write_dense(layout: Layout, word_discounts: tuple[float, float, float], types: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader.of(layout)
-        n = layout.vocabulary + 1
-        p, gamma = (np.memmap(f"{layout.folder}/{name}", "f8", "r+", shape=(n,)) for name in ("p", "gamma"))
-        count = reader.dense("count", "i8")
-        d, e = layout.pair_discounts, word_discounts
-        done = 0
-        for batch in batches:
-            kind, at, x1, x2, x3 = (batch.column(i).to_numpy() for i in range(5))
-            c = kind == CONTEXT
-            gamma[at[c]] = (d[0] * x1[c] + d[1] * x2[c] + d[2] * x3[c]) / count[at[c]]
-            w = kind == BEFORE
-            p[at[w]] = (x1[w] - np.take(np.array([0, *e]), np.minimum(x1[w], 3))) / types + layout.unseen
-            done += len(at)
-        p.flush()
-        gamma.flush()
-        yield _batch("done", (pa.int64(),), [done])
-
-    return run
-
+def _write_facts(layout: Layout, word_discounts: tuple[float, float, float], types: int):
+    """p and gamma of the words of each shard, a file each."""
 
-def _write_counts(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.memmap(f"{layout.folder}/count", "i8", "r+", shape=(layout.vocabulary + 1,))
-        shards, done = Shards(layout.folder, "words", layout.bits), 0
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                counts = shards.part(k, "counts")
-                if counts is not None:
-                    out[layout.first[k] : layout.first[k] + len(counts)] = counts
-                    done += len(counts)
-        out.flush()
-        yield _batch("done", (pa.int64(),), [done])
+        reader = Reader.of(layout)
+        d, e = layout.pair_discounts, np.array([0.0, *word_discounts])
+        shard, at, x1, x2, x3, t = _gather(batches, 6)
+        order = np.argsort(shard, kind="stable")
+        shard, at, x1, x2, x3, t = (x[order] for x in (shard, at, x1, x2, x3, t))
+        edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, int)
+        for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+            k = int(shard[a])
+            begin = k == 1 << layout.bits
+            count = np.array([layout.texts]) if begin else reader.words.part(k, "counts")
+            spot = at[a:b] - (layout.start if begin else reader.first[k])
+            p, gamma = np.zeros(len(count)), np.zeros(len(count))
+            gamma[spot] = (d[0] * x1[a:b] + d[1] * x2[a:b] + d[2] * x3[a:b]) / count[spot]
+            own = t[a:b]
+            p[spot] = np.where(own > 0, (own - e[np.minimum(own, 3)]) / types + layout.unseen, 0)
+            for name, values in (("p", p), ("gamma", gamma)):
+                save(f"{layout.folder}/words-{k:06d}-{name}.npy", values)
+        yield _batch("done", (pa.int64(),), [len(at)])
 
     return run
 
@@ -338,59 +356,54 @@ def train(texts: DataFrame) -> Layout:
     spark = texts.sparkSession
     folder = mapped_dir(spark, "kneser-ney")
     os.makedirs(folder)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(4, (4 * parts - 1).bit_length())
+    size = texts.agg(F.count("*").alias("texts"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    bits = max(4, int((size.bytes or 0) // SHARD_BYTES).bit_length())
+    parts = 1 << bits >> 1
     counted = texts.select("text").mapInArrow(_count_words(bits), "shard int, word long, n long")
     summed = counted.repartition(parts, "shard").groupBy("shard", "word").agg(F.sum("n").alias("n"))
     sizes = {r.shard: r for r in summed.mapInArrow(_write_words(folder, bits), "shard int, n long, total long").collect()}  # a row a shard
     count = [sizes[k].n if k in sizes else 0 for k in range(1 << bits)]
-    first = np.cumsum([0, *count])
-    layout = Layout(folder, bits, int(first[-1]), sum(r.total for r in sizes.values()), texts.count(), tuple(first[:-1].tolist()))
+    save(f"{folder}/first.npy", np.cumsum([0, *count])[:-1])
+    layout = Layout(folder, bits, sum(count), sum(r.total for r in sizes.values()), size.texts)
     if layout.vocabulary >= 1 << 31:
         raise ValueError("pair keys hold word numbers of up to 31 bits")
-    for name in ("count", "p", "gamma"):
-        with open(f"{folder}/{name}", "wb") as out:
-            out.truncate(8 * (layout.vocabulary + 1))
-    spark.range(1 << bits, numPartitions=min(parts, 1 << bits)).mapInArrow(_write_counts(layout), "done long").agg(F.sum("done")).collect()
-    start = np.memmap(f"{folder}/count", "i8", "r+", shape=(layout.vocabulary + 1,))
-    start[layout.start] = layout.texts
-    start.flush()
     if not layout.texts:
         return layout
     counted = texts.select("text").mapInArrow(_count_pairs(layout), "shard int, pair long, n long")
     summed = counted.repartition(parts, "shard").groupBy("shard", "pair").agg(F.sum("n").alias("n"))
-    facts = summed.mapInArrow(_write_pairs(folder, bits), "kind int, id long, x1 long, x2 long, x3 long")
-    facts = materialise(facts.groupBy("kind", "id").agg(*(F.sum(x).alias(x) for x in ("x1", "x2", "x3"))), "kneser-ney-facts")
-    of = {r.id: r.x1 for r in facts.filter(F.col("kind") == COUNTS).collect()}
-    t = facts.filter(F.col("kind") == BEFORE).agg(*(F.count_if(F.col("x1") == k).alias(f"n{k}") for k in (1, 2, 3, 4)), F.count_if(F.col("x1") >= 3).alias("more")).first()
-    own = discounts(t.n1, t.n2, t.n3, t.n4)
-    unseen = (own[0] * t.n1 + own[1] * t.n2 + own[2] * t.more) / of[5] / (layout.vocabulary + 1)
-    layout = Layout(folder, bits, layout.vocabulary, layout.total, layout.texts, layout.first, discounts(of[1], of[2], of[3], of[4]), unseen)
-    facts.filter(F.col("kind") != COUNTS).select("kind", "id", "x1", "x2", "x3").mapInArrow(_write_dense(layout, own, of[5]), "done long").agg(F.sum("done")).collect()
+    facts = summed.mapInArrow(_write_pairs(layout), FACTS).groupBy("shard", "id").agg(*(F.sum(x).alias(x) for x in ("x1", "x2", "x3", "t")))
+    facts = materialise(facts, "kneser-ney-facts")
+    of = {r.id: r.x1 for r in facts.filter(F.col("shard") == COUNTS).collect()}
+    own = facts.filter(F.col("shard") != COUNTS)
+    t = own.agg(*(F.count_if(F.col("t") == k).alias(f"n{k}") for k in (1, 2, 3, 4)), F.count_if(F.col("t") >= 3).alias("more")).first()
+    e = discounts(t.n1, t.n2, t.n3, t.n4)
+    unseen = (e[0] * t.n1 + e[1] * t.n2 + e[2] * t.more) / of[5] / (layout.vocabulary + 1)
+    layout = replace(layout, pair_discounts=discounts(of[1], of[2], of[3], of[4]), unseen=unseen)
+    own.repartition(parts, "shard").mapInArrow(_write_facts(layout, e, of[5]), "done long").agg(F.sum("done")).collect()
     return layout
 
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_texts(reader: Reader, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+def score_texts(reader: Reader, hashed: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     """Tokens, known tokens, base score and score of each text."""
     layout = reader.layout
-    hashed, begin = tokens(data, offs)
     number = reader.numbers(hashed)
     before = reader.contexts(number, begin)
     known = number >= 0
-    count = np.where(known, reader.dense("count", "i8")[number], 0)
+    # numbers and contexts together, in one pass over the shards
+    count, one, gamma = (x.reshape(2, -1) for x in reader.facts(np.concatenate([number, before]), "counts", "p", "gamma"))
+    count, times, one, gamma = count[0], np.maximum(count[1], 1), one[0], gamma[1]
     base = np.log10((count + 1) / (layout.total + layout.vocabulary + 1))
-    p = np.where(known, reader.dense("p", "f8")[number], layout.unseen)
+    p = np.where(known, one, layout.unseen)
     inside = before >= 0
     at = np.flatnonzero(inside & known)
     n = np.zeros(len(number), np.int64)
     n[at] = reader.pair_counts((before[at] << 32) | number[at])
     d = np.array([0.0, *layout.pair_discounts])[np.minimum(n, 3)]
-    times = np.maximum(reader.dense("count", "i8")[before], 1)
     if layout.texts:
-        p = np.where(inside, (n - d) / times + reader.dense("gamma", "f8")[before] * p, p)
+        p = np.where(inside, (n - d) / times + gamma * p, p)
     sums = lambda x: np.add.reduceat(x, begin[:-1])
     return [np.diff(begin), sums(known.astype(np.int64)), sums(base), sums(np.log10(p))]
 
@@ -403,8 +416,8 @@ def score(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader.of(layout)
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1), SLICE):
-                n, known, base, own = score_texts(reader, data, offs)
+            for lo, hi, hashed, begin in tokens(batch.column(1)):
+                n, known, base, own = score_texts(reader, hashed, begin)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(n), pa.array(known), pa.array(np.full(hi - lo, layout.total)), pa.array(base), pa.array(own)], names=[x.split()[0] for x in SCORE_SCHEMA.split(", ")])
 
     return texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SCORE_SCHEMA)
