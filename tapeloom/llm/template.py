@@ -1,19 +1,24 @@
 """HTML extraction by template deduction from equivalence classes.
 
-The tokens of a page are its opening tags, each under its path, and its text nodes outside articles. Over the
-pages of a host, a token's occurrence vector says how often it is on each page; tokens with the same vector
-form an equivalence class. Vectors are compared by a sum of page hashes times counts, so they are summed where
-the pages are and never laid out. Classes on at least half of a host's pages (MIN_PAGES at least) are valid if
-their tokens keep one order, and nest in the gaps between the tokens of others: together they are the template.
-What the template's tags leave between them are slots. The main one is the article's, or else the innermost
-that holds most of the pages' text; a page's text is what stands in that slot, without parts that are not the
-article's own (menus, adverts, forms, comments and so on) and, where no article element says what is text,
-without text nodes that belong to the template themselves.
-
-A host with fewer pages has no template: its pages are taken by their own elements.
+The tokens of a page are its opening tags, each under its path, and its text nodes. Over the different pages of a
+host, a token's occurrence vector says how often it is on each page; tokens with the same vector form an
+equivalence class. Vectors are compared by a sum of page hashes times counts, so they are summed where the pages
+are and never laid out. Classes on at least half of a host's pages, and two of them, are valid. Each is parted by
+the gaps of the class around it, so that classes nest: together they are the template. What its tokens leave
+between them are slots.
+
+The main slot is that of an article element of the template, or else of the innermost of the template's elements
+that holds most of the text in slots. A page's text is what stands in its main slot and is not the template's: a
+text node of a class goes where the class's tokens come in the template's order on that page. Inside an article,
+whose paragraphs may well be said on many pages, only those nodes go whose element holds the same words on each
+page that has it (text and element are of one class), and never the page's title. Parts that are not the article's
+own by HTML's elements or by a word list of class names (menus, adverts, forms, comments and so on) go as well.
+
+Vectors over a single page tell nothing, so a host with one page has no template; its page is taken by its own elements.
 
 Defined results: a null or empty page has an empty text; a page without a host is taken alone; pages
-of a host with equal html count as one; a page whose whole main slot is the template's keeps it; columns other than page_id, url and html are ignored.
+of a host with equal html count as one; a page of whose main slot more than half would be the template's is a copy,
+and keeps it; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.shared import materialise
 
-MIN_PAGES = 4
+#: A token on fewer pages is of no class.
+LEAST = 2
 SHARE = 0.5
 #: The main slot holds at least this share of the text of the slot around it.
 MOST = 0.8
@@ -82,13 +88,14 @@ def key(said: str) -> int:
 
 
 class Page:
-    """A page's tokens and blocks. tags: (path key, path, position, text length inside); texts: (key, position)."""
+    """A page's tokens and blocks. tags: (path key, path, position, text length inside); texts: (key, path, position, length outside of parts that are not the article's)."""
 
     def __init__(self, source: str):
         self.tags: list[list] = []
-        self.texts: list[tuple[int, int]] = []
-        #: (text, keys of the open elements, whether apart, keys of its text nodes)
-        self.blocks: list[tuple[str, tuple[int, ...], bool, tuple[int, ...]]] = []
+        self.texts: list[tuple[int, str, int, int]] = []
+        #: (text, places of the open elements, whether apart, keys of its text nodes, whether in an article)
+        self.blocks: list[tuple[str, tuple[int, ...], bool, tuple[int, ...], bool]] = []
+        self.title = ""
         self.opened: list[tuple[str, str, bool, int]] = []  # tag, path, apart, place in tags
         self.run: list[str] = []
         self.nodes: list[int] = []
@@ -115,7 +122,9 @@ class Page:
             if tag in RAW or tag in ("title", "textarea"):
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 if tag == "title":
-                    self.text(source[at : end.start() if end else len(source)])
+                    said = source[at : end.start() if end else len(source)]
+                    self.title = self.title or WHITE.sub(" ", html.unescape(said)).strip()
+                    self.text(said)
                 at = end.end() if end else len(source)
                 self.close(tag)
         self.flush()
@@ -124,18 +133,19 @@ class Page:
         if not said:
             return
         self.run.append(said if raw or "&" not in said else html.unescape(said))
-        if not said.isspace() and not any(x[0] == "article" for x in self.opened):
+        words = said.split()
+        if words:
             path = self.opened[-1][1] if self.opened else ""
-            node = key(path + "\0" + WHITE.sub(" ", said).strip())
+            node = key(path + "\0" + " ".join(words))
             self.nodes.append(node)
-            self.texts.append((node, self.position))
+            self.texts.append((node, path, self.position, 0 if any(x[2] for x in self.opened) else len(said)))
             self.position += 1
 
     def flush(self) -> None:
         said = WHITE.sub(" ", "".join(self.run)).strip() if self.run else ""
         if said:
             apart = any(x[2] for x in self.opened)
-            self.blocks.append((said, tuple(x[3] for x in self.opened), apart, tuple(self.nodes)))
+            self.blocks.append((said, tuple(x[3] for x in self.opened), apart, tuple(self.nodes), any(x[0] == "article" for x in self.opened)))
             if not apart:
                 for x in self.opened:
                     self.tags[x[3]][3] += len(said)
@@ -176,30 +186,47 @@ class Page:
 
     def main(self, anchor: int | None) -> int | None:
         """The place in tags of the element that holds the text: of the anchor's path, else an article, a main element or the body."""
-        apart = {x for _, inside, away, _ in self.blocks if away for x in inside[-1:]}
+        apart = {b[1][-1] for b in self.blocks if b[2] and b[1]}
         for wanted in (lambda t: t[0] == anchor, lambda t: _name(t[1]) == "article", lambda t: _name(t[1]) == "main", lambda t: _name(t[1]) == "body"):
             found = [i for i, t in enumerate(self.tags) if wanted(t) and i not in apart and t[3]]
             if found:
                 return max(found, key=lambda i: (self.tags[i][3], -i))
         return None
 
-    def extract(self, anchor: int | None, fixed: frozenset[int]) -> str:
+    def said_by(self, classes: list[dict]) -> tuple[set[int], set[int]]:
+        """The text nodes of the template, and those of them that their elements hold on every page; of classes that come in the template's order here."""
+        place: dict[int, int] = {}
+        for node, at in (*((t[0], t[2]) for t in self.tags), *((t[0], t[2]) for t in self.texts)):
+            place.setdefault(node, at)
+        fixed, sure = set(), set()
+        for c in classes:
+            order = [place[t] for t in c["tokens"] if t in place]
+            if order == sorted(order):
+                fixed |= {t for t, kind in zip(c["tokens"], c["kinds"], strict=True) if kind != TAG}
+                sure |= {t for t, kind in zip(c["tokens"], c["kinds"], strict=True) if kind == HELD}
+        return fixed, sure
+
+    def extract(self, anchor: int | None, classes: list[dict] | None = None) -> str:
         """The main element's blocks, without parts that are not its own and text nodes of the template."""
         root = self.main(anchor)
         kept = [b for b in self.blocks if not b[2] and (root is None or root in b[1])]
-        own = [b for b in kept if not (b[3] and all(n in fixed for n in b[3]))]
-        return "\n".join(b[0] for b in own or kept)
+        fixed, sure = self.said_by(classes or [])
+        own = [b for b in kept if b[0] == self.title or not b[3] or not set(b[3]) <= (sure if b[4] else fixed)]
+        copy = 2 * sum(len(b[0]) for b in own) < sum(len(b[0]) for b in kept)
+        return "\n".join(b[0] for b in (kept if copy else own))
 
 
 def _name(path: str) -> str:
     return path.rpartition(">")[2].partition(".")[0]
 
 
+#: Kinds of a class's tokens: a tag; a text node; a text node of one class with its element.
+TAG, TEXT, HELD = 0, 1, 2
 TOKEN_SCHEMA = "host string, token long, text boolean, path string, vector long, pages long, times long, position double, chars long"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the pages of a batch, by host and token."""
+    """Sums over the pages of a batch, by host and token. A text node has the path of its element."""
     for batch in batches:
         sums: dict[tuple, list] = {}
         for page, host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -207,12 +234,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             seen: dict[tuple, list] = {}
             parsed = Page(source)
-            for k, path, position, chars in parsed.tags:
-                entry = seen.setdefault((host, k, False, path), [0, position, 0])
-                entry[0] += 1
-                entry[2] += chars
-            for k, position in parsed.texts:
-                seen.setdefault((host, k, True, None), [0, position, 0])[0] += 1
+            for text, tokens in ((False, parsed.tags), (True, parsed.texts)):
+                for k, path, position, chars in tokens:
+                    entry = seen.setdefault((host, k, text, path), [0, position, 0])
+                    entry[0] += 1
+                    entry[2] += chars
             weight = xxhash.xxh64_intdigest(str(page).encode(), 11)
             for at, (times, position, chars) in seen.items():
                 entry = sums.setdefault(at, [0, 0, 0, 0.0, 0])
@@ -226,45 +252,63 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names=[x.split()[0] for x in TOKEN_SCHEMA.split(", ")])
 
 
-CLASS_SCHEMA = "host string, class int, parent int, pages long, tokens array<long>, paths array<string>, main long"
+CLASS_SCHEMA = "host string, class int, parent int, pages long, tokens array<long>, kinds array<int>, paths array<string>, main long"
+
+
+def nested(groups: list[pd.DataFrame]) -> list[tuple[pd.DataFrame, int]]:
+    """Classes (tokens with their places, in order) -> those, parted by the gaps of the class around them, each with the number of that one or -1.
+
+    The wider class, by pages and then by where it begins, is the one around.
+    """
+    out: list[tuple[pd.DataFrame, int]] = []
+    for g in sorted(groups, key=lambda g: (-int(g["pages"].iloc[0]), float(g["place"].iloc[0]), int(g["token"].iloc[0]))):
+        parts = [(g, -1)]
+        for number in range(len(out)):
+            around = out[number][0]["place"].to_numpy()
+            fresh = []
+            for part, parent in parts:
+                place = part["place"].to_numpy()
+                gap = np.searchsorted(around, place, "right")
+                inside = out[number][1] == parent and around[0] <= place[0] and place[-1] <= around[-1]
+                if inside:
+                    fresh += [(part[gap == k], number) for k in np.unique(gap)]
+                else:
+                    fresh.append((part, parent))
+            parts = fresh
+        out += parts
+    return out
 
 
 def _nest(rows: pd.DataFrame) -> pd.DataFrame:
     """The valid classes of a host, each with the class whose gap it lies in, and the main slot's token."""
     host = rows["host"].iloc[0]
     groups = [g.sort_values(["place", "token"]) for _, g in rows.groupby(["vector", "pages", "times"], sort=True)]
-    groups.sort(key=lambda g: (-int(g["pages"].iloc[0]), float(g["place"].iloc[0])))
-    spans = [(float(g["place"].iloc[0]), float(g["place"].iloc[-1])) for g in groups]
-    kept: list[int] = []
-    parents: dict[int, int] = {}
-    for i, g in enumerate(groups):
-        around = [j for j in kept if spans[j][0] < spans[i][0] and spans[i][1] <= spans[j][1]]
-        # in one gap of the innermost class around it, or else it is not nested and no part of the template
-        if around:
-            j = min(around, key=lambda j: (spans[j][1] - spans[j][0], j))
-            places = groups[j]["place"].to_numpy()
-            if np.searchsorted(places, spans[i][0]) != np.searchsorted(places, spans[i][1]) and g["times"].iloc[0] > g["pages"].iloc[0]:
-                continue
-            parents[i] = j
-        kept.append(i)
-    once = rows[(~rows["text"]) & (rows["pages"] == rows["times"])]
-    tags = once.sort_values(["place", "token"]) if len(once) else rows[~rows["text"]]
-    named = lambda what: rows[(~rows["text"]) & rows["path"].map(lambda p: _name(p or "") == what)]
-    main = None
-    for what in ("article", "main"):
-        found = named(what)
-        if len(found) and main is None and found["chars"].max() > 0:
-            main = found.sort_values(["chars", "token"], ascending=[False, True]).iloc[0]
-    if main is None and len(tags):
-        body = tags[tags["path"].map(lambda p: _name(p or "") == "body")]
-        main = (body if len(body) else tags).iloc[0]
+    classes = nested(groups)
+    of = {(path, v, p, t) for path, text, v, p, t in zip(rows["path"], rows["text"], rows["vector"], rows["pages"], rows["times"], strict=True) if not text}
+    texts = rows[rows["text"]]
+    said: dict[str, int] = {}
+    for path, chars in zip(texts["path"], texts["chars"], strict=True):
+        said[path] = said.get(path, 0) + int(chars)
+    tags = rows[~rows["text"] & (rows["pages"] == rows["times"])].sort_values(["place", "token"])
+    # what the template's own words leave of an element's text is in slots
+    slots = {t: int(c) - sum(n for p, n in said.items() if p == path or p.startswith(path + ">")) for t, path, c in zip(tags["token"], tags["path"], tags["chars"], strict=True)}
+    slots = {t: n for t, n in slots.items() if n > 0}
+    name = dict(zip(tags["token"], tags["path"], strict=True))
+    place = dict(zip(tags["token"], tags["place"], strict=True))
+    articles = [t for t in slots if _name(name[t]) == "article"]
+    main = max(articles, key=lambda t: (slots[t], -place[t])) if articles else None
+    if main is None and slots:
+        main = min(slots, key=lambda t: (-slots[t], place[t]))
         while True:
-            inside = tags[tags["path"].map(lambda p, at=main["path"]: p.startswith(at + ">")) & (tags["chars"] >= MOST * main["chars"])]
-            if not len(inside) or not main["chars"]:
+            inside = [t for t in slots if name[t].startswith(name[main] + ">") and slots[t] >= MOST * slots[main]]
+            if not inside:
                 break
-            main = inside.sort_values(["place", "token"]).iloc[0]
-    number = {i: n for n, i in enumerate(kept)}
-    return pd.DataFrame([(host, number[i], number.get(parents.get(i, -1), -1), int(groups[i]["pages"].iloc[0]), groups[i]["token"].tolist(), [p or "" for p in groups[i]["path"]], None if main is None else int(main["token"])) for i in kept], columns=[x.split()[0] for x in CLASS_SCHEMA.split(", ")]).astype({"main": "Int64"})
+            main = min(inside, key=lambda t: (place[t], t))
+    out = []
+    for number, (g, parent) in enumerate(classes):
+        kinds = [TAG if not text else HELD if (path, v, p, t) in of else TEXT for text, path, v, p, t in zip(g["text"], g["path"], g["vector"], g["pages"], g["times"], strict=True)]
+        out.append((host, number, parent, int(g["pages"].iloc[0]), g["token"].tolist(), kinds, g["path"].tolist(), main))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in CLASS_SCHEMA.split(", ")]).astype({"main": "Int64"})
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -279,15 +323,16 @@ def templates(pages: DataFrame) -> DataFrame:
     hosted = hosted.filter(F.length("html") > 0).groupBy("host", "html").agg(F.min("page_id").alias("page_id")).select("page_id", "host", "html")
     tokens = hosted.mapInArrow(_tokens, TOKEN_SCHEMA).groupBy("host", "token", "text", "path").agg(F.expr("sum(vector) % 1099511627776L").alias("vector"), *(F.sum(x).alias(x) for x in ("pages", "times", "position", "chars")))
     count = hosted.groupBy("host").agg(F.count("*").alias("host_pages"))
-    wide = tokens.filter(F.col("pages") >= MIN_PAGES).join(count, "host").filter(F.col("pages") >= SHARE * F.col("host_pages"))
+    wide = tokens.filter(F.col("pages") >= LEAST).join(count, "host").filter(F.col("pages") >= SHARE * F.col("host_pages"))
     return wide.withColumn("place", F.col("position") / F.col("pages")).groupBy("host").applyInPandas(_nest, CLASS_SCHEMA)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     classes = materialise(templates(pages), "templates")
-    # of a template: its main slot, and the text nodes among its tokens
-    each = classes.groupBy("host").agg(F.first("main").alias("main"), F.flatten(F.collect_list(F.expr("transform(filter(arrays_zip(tokens, paths), t -> t.paths = ''), t -> t.tokens)"))).alias("fixed"))
+    # of a template: its main slot, and the classes that have words
+    words = F.expr("filter(collect_list(struct(tokens, kinds)), c -> exists(c.kinds, k -> k > 0))")
+    each = classes.groupBy("host").agg(F.first("main").alias("main"), words.alias("classes"))
     each = materialise(each, "template-slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +340,9 @@ def extract(pages: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 texts = []
-                for source, main, fixed in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-                    texts.append(Page(source).extract(main, frozenset(fixed or ())) if source else "")
+                for source, main, classes in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    texts.append(Page(source).extract(main, classes) if source else "")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = with_host(pages).join(each, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "fixed")
+    joined = with_host(pages).join(each, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "classes")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
