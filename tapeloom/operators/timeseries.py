@@ -249,3 +249,23 @@ def volatility_target(bars: DataFrame, target: float = 0.15) -> DataFrame:
     vol = F.coalesce(F.stddev_pop("logret").over(last(20)) * math.sqrt(252), F.lit(0.0))
     ratio = clip(div(F.lit(target), vol, 1.0), 0.5, 2.0)
     return returns(bars).select("symbol", "ts", F.round(vol, 6).alias("vol"), F.round(ratio, 6).alias("ratio"), F.round(clip(ratio * 0.25, 0.05, 0.5), 6).alias("weight"), F.round(vol * 1.645 / math.sqrt(252), 6).alias("var_95"))
+
+
+def enumerated(bars: DataFrame, names: list[str]) -> DataFrame:
+    """Windowed factors by name: input_operation_period, or input_input_corr_period; one select over one sort."""
+    over_window = {"max": F.max, "min": F.min, "mean": F.avg, "sum": F.sum, "std": F.stddev_samp}
+
+    def made(name: str) -> Column:
+        *inputs, operation, period = name.split("_")
+        k = int(period)
+        if operation == "delta":
+            return F.col(inputs[0]) - lag(inputs[0], k)
+        if operation == "rank":
+            return ts_rank(inputs[0], k)
+        if operation in ("argmax", "argmin"):
+            return ts_arg(inputs[0], k, operation == "argmax")
+        if operation == "corr":
+            return ts_corr(*inputs, k)
+        return over_window[operation](inputs[0]).over(last(k))
+
+    return bars.select("symbol", "ts", *(made(n).alias(n) for n in names))
