@@ -1,8 +1,7 @@
-"""Metrics, risk, pairing of trades, bootstrap, walk-forward and small solves."""
+"""Metrics, risk, pairing of trades, bootstrap and walk-forward."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,26 +68,3 @@ def walk_forward(bars: DataFrame, train: int = 24, test: int = 6, step: int = 6)
     one = spots.groupBy("symbol", "win").agg(F.count("*").alias("n"), F.avg(F.when(F.col("at") < train, F.col("ret"))).alias("before"), F.sum(F.when(F.col("at") >= train, F.log1p("ret"))).alias("after")).filter(F.col("n") == train + test)
     held = F.when(F.col("before") > 0, F.exp("after") - 1).otherwise(0.0)
     return one.groupBy("symbol").agg(F.count("*").alias("windows"), F.round(F.avg(held), 6).alias("mean"), F.round(F.avg(F.when(held > 0, 1.0).otherwise(0.0)), 6).alias("won"))
-
-
-def covariance(bars: DataFrame, symbols: int) -> DataFrame:
-    """Covariances of the first symbols' returns, by pairs: an equality join on the date, summed map-side."""
-    r = returns(bars).filter(F.col("symbol") < symbols).select("symbol", "ts", "ret")
-    return r.alias("a").join(r.alias("b"), "ts").groupBy(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b")).agg(F.covar_pop("a.ret", "b.ret").alias("cov"), F.avg("a.ret").alias("mean_a"))
-
-
-def minimum_variance(bars: DataFrame, symbols: int = 8) -> DataFrame:
-    """Weights of the least variance: Spark sums the covariances of a few assets, the driver solves for them."""
-    rows = covariance(bars, symbols).collect()
-    names = sorted({r.a for r in rows})
-    cov = np.zeros((len(names), len(names)))
-    for r in rows:
-        cov[names.index(r.a), names.index(r.b)] = r.cov
-    w = np.linalg.solve(cov + 1e-8 * np.eye(len(names)), np.ones(len(names))) if names else np.zeros(0)
-    w = w / w.sum() if len(w) else w
-    return bars.sparkSession.createDataFrame([(int(a), float(x)) for a, x in zip(names, w, strict=True)], "symbol long, weight double")
-
-
-def equal_weight_variance(bars: DataFrame, symbols: int = 8) -> DataFrame:
-    """Variance of an equal-weight portfolio, from weights and covariances by pair."""
-    return covariance(bars, symbols).agg(F.round(F.sum("cov") / symbols / symbols, 8).alias("variance"), F.round(F.sum(F.when(F.col("a") == F.col("b"), F.col("cov"))) / symbols / symbols, 8).alias("specific"))

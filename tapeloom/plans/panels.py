@@ -223,11 +223,6 @@ def a14(spark, d):
     return learning.ks_statistic(returns(m.monthly_bars(spark, d)).withColumn("rn", F.row_number().over(WINDOW())).filter("logret is not null"), 40)
 
 
-@query("a17_portfolio_variance", f"WITH {MONTHLY}, {RETURNS}, s AS (SELECT * FROM r WHERE symbol < 8), c AS (SELECT a.symbol AS a, b.symbol AS b, covar_pop(a.ret, b.ret) AS cov FROM s a JOIN s b USING (ts) GROUP BY 1, 2) SELECT round(sum(cov) / 64, 8) AS variance, round(sum(CASE WHEN a = b THEN cov END) / 64, 8) AS specific FROM c")
-def a17(spark, d):
-    return portfolio.equal_weight_variance(m.monthly_bars(spark, d))
-
-
 @query("b02_walk_forward", f"WITH {MONTHLY}, {RETURNS}, g AS (SELECT symbol, ret, rn - 1 AS i FROM r), s AS (SELECT symbol, ret, w, i - w * 6 AS spot FROM g, (SELECT unnest(range(0, 400)) AS w) WHERE i - w * 6 >= 0 AND i - w * 6 < 30), q AS (SELECT symbol, w, avg(CASE WHEN spot < 24 THEN ret END) AS before, sum(CASE WHEN spot >= 24 THEN ln(1 + ret) END) AS after FROM s GROUP BY 1, 2 HAVING count(*) = 30), h AS (SELECT symbol, CASE WHEN before > 0 THEN exp(after) - 1 ELSE 0.0 END AS held FROM q) SELECT symbol, count(*) AS windows, round(avg(held), 6) AS mean, round(avg(CASE WHEN held > 0 THEN 1.0 ELSE 0.0 END), 6) AS won FROM h GROUP BY 1")
 def b02(spark, d):
     return portfolio.walk_forward(m.monthly_bars(spark, d))
@@ -238,11 +233,6 @@ def b11(spark, d):
     return portfolio.bootstrap(m.monthly_bars(spark, d))
 
 
-@query("o02_minimum_variance")
-def o02(spark, d):
-    return portfolio.minimum_variance(m.monthly_bars(spark, d))
-
-
 POSITIVE, NEGATIVE = ["the", "and", "that"], ["of", "to", "not"]
 NEGATIONS, DEGREES = ["is", "was"], {"in": 1.5, "on": 0.5}
 _IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
