@@ -3,7 +3,7 @@
 The tokens of a page are its opening tags, each under its path, and its text nodes. Over the different pages of a
 host, a token's occurrence vector says how often it is on each page; tokens with the same vector form an
 equivalence class. Vectors are compared by a sum of page hashes times counts, so they are summed where the pages
-are and never laid out. Classes on at least half of a host's pages, and two of them, are valid. Each is parted by
+are and never laid out. Classes on at least half of a host's pages, and two of them, are valid. Copies of a page count as one: each is weighed by one over their number. Each is parted by
 the gaps of the class around it, so that classes nest: together they are the template. What its tokens leave
 between them are slots.
 
@@ -38,6 +38,7 @@ from tapeloom.llm.shared import materialise
 
 #: A token on fewer pages is of no class.
 LEAST = 2
+FEW_CONTENTS = 1_000_000
 SHARE = 0.5
 #: The main slot holds at least this share of the text of the slot around it.
 MOST = 0.8
@@ -222,16 +223,14 @@ def _name(path: str) -> str:
 
 #: Kinds of a class's tokens: a tag; a text node; a text node of one class with its element.
 TAG, TEXT, HELD = 0, 1, 2
-TOKEN_SCHEMA = "host string, token long, text boolean, path string, vector long, pages long, times long, position double, chars long"
+TOKEN_SCHEMA = "host string, token long, text boolean, path string, vector long, pages double, times double, position double, chars double"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over the pages of a batch, by host and token. A text node has the path of its element."""
     for batch in batches:
         sums: dict[tuple, list] = {}
-        for page, host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not source:
-                continue
+        for content, host, source, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             seen: dict[tuple, list] = {}
             parsed = Page(source)
             for text, tokens in ((False, parsed.tags), (True, parsed.texts)):
@@ -239,16 +238,17 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     entry = seen.setdefault((host, k, text, path), [0, position, 0])
                     entry[0] += 1
                     entry[2] += chars
-            weight = xxhash.xxh64_intdigest(str(page).encode(), 11)
+            # by content, so copies add to the vectors of all their tokens alike
+            weight = xxhash.xxh64_intdigest(str(content).encode(), 11)
             for at, (times, position, chars) in seen.items():
-                entry = sums.setdefault(at, [0, 0, 0, 0.0, 0])
+                entry = sums.setdefault(at, [0, 0.0, 0.0, 0.0, 0.0])
                 entry[0] = (entry[0] + weight * times) & 0xFFFFFFFFFF
-                entry[1] += 1
-                entry[2] += times
-                entry[3] += position
-                entry[4] += chars
+                entry[1] += share
+                entry[2] += share * times
+                entry[3] += share * position
+                entry[4] += share * chars
         rows = [(*at, *entry) for at, entry in sums.items()]
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names=[x.split()[0] for x in TOKEN_SCHEMA.split(", ")])
 
 
@@ -318,11 +318,15 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """The classes of each host's template. A host's rows are as many as its pages have tokens on half of them, not more."""
-    hosted = with_host(pages).filter(F.col("host").isNotNull()).select("page_id", "host", "html")
-    # copies of a page are one page
-    hosted = hosted.filter(F.length("html") > 0).groupBy("host", "html").agg(F.min("page_id").alias("page_id")).select("page_id", "host", "html")
-    tokens = hosted.mapInArrow(_tokens, TOKEN_SCHEMA).groupBy("host", "token", "text", "path").agg(F.expr("sum(vector) % 1099511627776L").alias("vector"), *(F.sum(x).alias(x) for x in ("pages", "times", "position", "chars")))
-    count = hosted.groupBy("host").agg(F.count("*").alias("host_pages"))
+    hosted = with_host(pages).filter(F.col("host").isNotNull() & (F.length("html") > 0)).select("host", F.xxhash64("html").alias("content"), "html")
+    contents = materialise(hosted.groupBy("host", "content").agg(F.count("*").alias("copies")), "template-contents")
+    copied = contents.filter("copies > 1")
+    # contents that are there more than once: broadcast where they are few, joined by a shuffle beyond
+    copied = F.broadcast(copied) if copied.count() <= FEW_CONTENTS else copied
+    weighed = hosted.join(copied, ["host", "content"], "left").select("content", "host", "html", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("share"))
+    sums = (F.round(F.sum(x)).cast("long").alias(x) for x in ("pages", "times", "chars"))
+    tokens = weighed.mapInArrow(_tokens, TOKEN_SCHEMA).groupBy("host", "token", "text", "path").agg(F.expr("sum(vector) % 1099511627776L").alias("vector"), *sums, F.sum("position").alias("position"))
+    count = contents.groupBy("host").agg(F.count("*").alias("host_pages"))
     wide = tokens.filter(F.col("pages") >= LEAST).join(count, "host").filter(F.col("pages") >= SHARE * F.col("host_pages"))
     return wide.withColumn("place", F.col("position") / F.col("pages")).groupBy("host").applyInPandas(_nest, CLASS_SCHEMA)
 
