@@ -31,6 +31,7 @@ from tapeloom.llm.toxicity import _BYTE, _STEP, SPACE, held_out, normalised
 
 #: The most documents of a language, documents in all and words to fit on.
 SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_WORDS = 250, 20_000, 240_000
+FEW_LANGUAGES = 100_000
 BUCKETS = 1 << 18
 LEXICON = 2000
 AFFIXES, GRAMS = (1, 2, 3), (2, 3)
@@ -314,9 +315,11 @@ def sample(documents: DataFrame) -> tuple[pa.Array, list[str]]:
     """Texts and languages of about SAMPLE_DOCS documents of each language and SAMPLE_ALL of all, by a hash of the id."""
     known = documents.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    each = min(SAMPLE_DOCS, SAMPLE_ALL / max(1, counts.count()))
+    languages = counts.count()
+    each = min(SAMPLE_DOCS, SAMPLE_ALL / max(1, languages))
     share = counts.select("lang", (F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")) * 1_000_000).cast("long").alias("share"))
-    # the counts stay in Spark, however many languages there are
+    # a row a language: broadcast where they are few, joined by a shuffle beyond
+    share = F.broadcast(share) if languages <= FEW_LANGUAGES else share
     rows = known.withColumn("draw", F.expr(f"pmod(xxhash64(doc_id, {SEED}), 1000000)")).join(share, "lang").filter("draw < share")
     found = rows.select("doc_id", "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     texts = found.column("text").combine_chunks()
