@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,12 @@ def centroids(vectors: DataFrame) -> DataFrame:
     mean = long.groupBy("label", "i").agg(F.avg("v").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s.m).alias("mean"))
     if mean.count() > 10_000:
         raise ValueError("too many labels to broadcast their means")
-    far = F.aggregate(F.zip_with("embedding", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    d = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(mean.withColumnRenamed("label", "near"))).withColumn("far", F.round(far, 9))
-    best = d.groupBy("vec_id").agg(F.min_by("near", F.struct("far", "near")).alias("predicted"), F.min("far").alias("far"), F.sum(F.try_divide(F.lit(1.0), F.col("far"))).alias("weight"))
-    return best.select("vec_id", "predicted", F.round(F.coalesce(F.try_divide(F.lit(1.0), F.col("far") * F.col("weight")), F.lit(1.0)), 6).alias("probability"))
+    # one row with all means goes to every vector, and the least is found within the vector's row
+    table = mean.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("means"))
+    far = lambda m: F.round(F.aggregate(F.zip_with("embedding", m["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 9)
+    d = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(table)).select("vec_id", F.transform("means", lambda m: F.struct(far(m).alias("far"), m["label"].alias("near"))).alias("fars"))
+    best = d.select("vec_id", F.array_min("fars").alias("best"), F.aggregate("fars", F.lit(0.0), lambda s, x: s + F.coalesce(F.try_divide(F.lit(1.0), x.far), F.lit(0.0))).alias("weight"))
+    return best.select("vec_id", F.col("best.near").alias("predicted"), F.round(F.coalesce(F.try_divide(F.lit(1.0), F.col("best.far") * F.col("weight")), F.lit(1.0)), 6).alias("probability"))
 
 
 def ks_statistic(rows: DataFrame, early: int) -> DataFrame:
@@ -41,8 +45,40 @@ def ks_statistic(rows: DataFrame, early: int) -> DataFrame:
     return q.groupBy("symbol").agg(F.round(F.max("gap"), 6).alias("ks"), (F.max("gap") > 0.3).alias("drifted"))
 
 
-def cooldown(events: DataFrame, seconds: int) -> DataFrame:
-    """Events of a type fire only so long after the last one that fired: a fold over each type's times."""
-    series = events.groupBy("event_type").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("at"))
-    fired = F.aggregate("at", F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n")), lambda s, t: F.when(s.last.isNull() | (t - s.last >= seconds * 1_000_000), F.struct(t.alias("last"), (s.n + 1).alias("n"))).otherwise(s), lambda s: s.n)
-    return series.select("event_type", F.size("at").cast("long").alias("hits"), fired.alias("fired"))
+def _slice_steps(seconds: int):
+    gap = seconds * 1_000_000
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(rows["at"].to_numpy())
+        last, n = at.copy(), np.ones(len(at), np.int64)
+        then = np.searchsorted(at, at + gap)
+        cur = then.copy()
+        while (cur < len(at)).any():  # along all chains of the slice at once, a firing further each time
+            on = np.flatnonzero(cur < len(at))
+            last[on], n[on] = at[cur[on]], n[on] + 1
+            cur[on] = then[cur[on]]
+        # what follows is a function of the time from which a firing may be: only where it changes is passed on
+        ends = np.flatnonzero(np.concatenate([(last[1:] != last[:-1]) | (n[1:] != n[:-1]), [True]]))
+        steps = [{"upto": int(at[i]), "n": int(n[i]), "last": int(last[i])} for i in ends]
+        return pd.DataFrame({"event_type": [rows["event_type"].iloc[0]], "slice": [rows["slice"].iloc[0]], "hits": [len(at)], "steps": [steps]})
+
+    return run
+
+
+def cooldown(events: DataFrame, seconds: int, slice_seconds: int = 3600) -> DataFrame:
+    """Events of a type fire only so long after the last one that fired.
+
+    Each slice of time is a function from the time that a firing may be again to what fires in it; slices of all types
+    are worked out side by side, and then only these functions are folded in order: a row for each slice, whatever the
+    number of events.
+    """
+    rows = events.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).withColumn("slice", F.floor(F.col("at") / (slice_seconds * 1_000_000)))
+    parts = rows.groupBy("event_type", "slice").applyInPandas(_slice_steps(seconds), "event_type string, slice long, hits long, steps array<struct<upto:long,n:long,last:long>>")
+    series = parts.groupBy("event_type").agg(F.sum("hits").alias("hits"), F.array_sort(F.collect_list(F.struct("slice", "steps"))).alias("slices"))
+
+    def follow(s, part):
+        step = F.get(F.filter(part.steps, lambda x: x.upto >= s.free), F.lit(0))
+        return F.when(step.isNull(), s).otherwise(F.struct((step.last + seconds * 1_000_000).alias("free"), (s.n + step.n).alias("n")))
+
+    fired = F.aggregate("slices", F.struct(F.lit(-(1 << 62)).cast("long").alias("free"), F.lit(0).cast("long").alias("n")), follow, lambda s: s.n)
+    return series.select("event_type", "hits", fired.alias("fired"))

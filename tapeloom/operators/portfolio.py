@@ -50,13 +50,20 @@ def replay(trades: DataFrame) -> DataFrame:
     return t.select("symbol", "ts", "cash", "shares", (F.col("cash") + F.col("shares") * F.col("price")).alias("value"))
 
 
-def bootstrap(bars: DataFrame, simulations: int = 200, steps: int = 60, seed: int = 7) -> DataFrame:
-    """Percentiles of compounded returns drawn with replacement, by a hash of symbol, simulation and step: the same on any cluster."""
-    r = returns(bars).filter(F.col("logret").isNotNull()).select("symbol", "logret", (F.row_number().over(W()) - 1).alias("i"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
-    size = r.groupBy("symbol").agg(F.max("n").alias("n"))
-    draws = size.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    draws = draws.withColumn("i", F.pmod(F.crc32(F.concat_ws("|", "symbol", "sim", "step", F.lit(seed)).cast("binary")), F.col("n")).cast("int"))
-    runs = draws.join(r.select("symbol", "i", "logret"), ["symbol", "i"]).groupBy("symbol", "sim").agg((F.exp(F.sum("logret")) - 1).alias("total"))
+#: Draws come from two rounds of a linear generator on the symbol's, the run's and the step's number: the same on any cluster, and in any SQL.
+PRIME, FACTOR = 2_147_483_647, 48_271
+
+
+def bootstrap(bars: DataFrame, simulations: int = 200, steps: int = 60) -> DataFrame:
+    """Percentiles of compounded returns drawn with replacement. A symbol's returns are one array, and all draws are made within its row."""
+    r = returns(bars).filter(F.col("logret").isNotNull())
+    series = r.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "logret"))), lambda x: x.logret).alias("r"))
+
+    def total(sim):
+        draw = lambda step: (F.pmod((F.col("symbol") * 1_000_003 + sim * 7_919 + step * 104_729 + 7), F.lit(1_000_000_007)) * FACTOR % PRIME) * FACTOR % PRIME
+        return F.exp(F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long")), F.lit(0.0), lambda acc, step: acc + F.get("r", ((draw(step) / 7).cast("long") % F.size("r")).cast("int")))) - 1
+
+    runs = series.select("symbol", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long")), total)).alias("total"))
     return runs.groupBy("symbol").agg(F.round(F.percentile("total", F.lit(0.05)), 5).alias("p5"), F.round(F.percentile("total", F.lit(0.5)), 5).alias("p50"), F.round(F.percentile("total", F.lit(0.95)), 5).alias("p95"), F.round(F.avg(F.when(F.col("total") < 0, 1.0).otherwise(0.0)), 6).alias("loss_share"))
 
 

@@ -228,7 +228,10 @@ def b02(spark, d):
     return portfolio.walk_forward(m.monthly_bars(spark, d))
 
 
-@query("b11_bootstrap")
+_DRAW = "(((symbol * 1000003 + sim * 7919 + step * 104729 + 7) % 1000000007 * 48271 % 2147483647) * 48271 % 2147483647)"
+
+
+@query("b11_bootstrap", f"WITH {MONTHLY}, {RETURNS}, l AS (SELECT symbol, logret, row_number() {W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE logret IS NOT NULL), k AS (SELECT DISTINCT symbol, n FROM l), dr AS (SELECT symbol, sim, floor({_DRAW} / 7)::BIGINT % n AS i FROM k, range(200) s(sim), range(60) t(step)), q AS (SELECT symbol, sim, exp(sum(logret)) - 1 AS total FROM dr JOIN l USING (symbol, i) GROUP BY 1, 2) SELECT symbol, round(quantile_cont(total, 0.05), 5) AS p5, round(quantile_cont(total, 0.5), 5) AS p50, round(quantile_cont(total, 0.95), 5) AS p95, round(avg(CASE WHEN total < 0 THEN 1.0 ELSE 0.0 END), 6) AS loss_share FROM q GROUP BY 1")
 def b11(spark, d):
     return portfolio.bootstrap(m.monthly_bars(spark, d))
 
@@ -286,7 +289,7 @@ def m01(spark, d):
     return learning.purged_folds(m.monthly_bars(spark, d), 5, 5)
 
 
-@query("m04_centroid_classes")
+@query("m04_centroid_classes", "WITH u AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS near, i, avg(v) AS m FROM u GROUP BY 1, 2), f AS (SELECT vec_id, near, round(sum((v - m) * (v - m)), 9) AS far FROM u JOIN c USING (i) GROUP BY 1, 2) SELECT vec_id, arg_min(near, row(far, near)) AS predicted, round(coalesce(1 / nullif(min(far) * sum(coalesce(1 / nullif(far, 0), 0)), 0), 1.0), 6) AS probability FROM f GROUP BY 1")
 def m04(spark, d):
     return learning.centroids(m.table(spark, d, "embeddings"))
 

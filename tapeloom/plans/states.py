@@ -13,10 +13,11 @@ from tapeloom.plans.series import RECURSIVE, _DIFFS, wilder_sql
 from tapeloom.sources import market as m
 
 
-@query("s03_source_fallback", f"WITH {MONTHLY}, a AS (SELECT symbol, ts, close FROM bars WHERE symbol % 3 <> 0), b AS (SELECT symbol, ts, open AS close FROM bars WHERE symbol % 2 = 0) SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.ts, b.ts) AS ts, round(coalesce(a.close, b.close) + 1e-9, 6) AS close, CASE WHEN a.close IS NOT NULL THEN 'first' ELSE 'second' END AS origin FROM a FULL JOIN b ON a.symbol = b.symbol AND a.ts = b.ts")
+@query("s03_source_fallback", f"WITH {MONTHLY}, a AS (SELECT symbol, ts, CASE WHEN n > 1 THEN close END AS close FROM bars), b AS (SELECT symbol, ts, open AS close FROM bars) SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.ts, b.ts) AS ts, round(coalesce(a.close, b.close) + 1e-9, 6) AS close, CASE WHEN a.close IS NOT NULL THEN 'first' ELSE 'second' END AS origin FROM a FULL JOIN b ON a.symbol = b.symbol AND a.ts = b.ts")
 def s03(spark, d):
+    """Bars of a single tick have no close of their own in the first source."""
     b = m.monthly_bars(spark, d)
-    out = states.fallback(b.filter("symbol % 3 <> 0"), b.filter("symbol % 2 = 0").select("symbol", "ts", F.col("open").alias("close")), ["symbol", "ts"], "close")
+    out = states.fallback(b.select("symbol", "ts", F.when(F.col("n") > 1, F.col("close")).alias("close")), b.select("symbol", "ts", F.col("open").alias("close")), ["symbol", "ts"], "close")
     return out.withColumn("close", F.round(F.col("close") + 1e-9, 6))
 
 

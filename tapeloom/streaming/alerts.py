@@ -22,6 +22,8 @@ _LOCAL: list[tempfile.TemporaryDirectory] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names, or in a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         if not _LOCAL:
             _LOCAL.append(tempfile.TemporaryDirectory(prefix="tapeloom-stream-"))
@@ -71,7 +73,7 @@ def cooldown(alert_rows: DataFrame, seconds: int = 3600) -> DataFrame:
 
 
 def latch(events: DataFrame, level: float = 40.0) -> DataFrame:
-    """Each user's first event above the level: once per user, whatever follows."""
+    """One event above the level for each user, the first that the stream brings; the state is a row for each user that fired."""
     return events.filter(F.col("value") > level).dropDuplicates(["user_id"]).select("user_id", "event_id")
 
 
