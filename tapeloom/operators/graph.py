@@ -30,3 +30,46 @@ def page_rank(nodes: DataFrame, e: DataFrame, rounds: int = 10, damping: float =
         into = e.join(rank, F.col("src") == F.col("symbol")).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
         rank = nodes.join(into, F.col("symbol") == F.col("dst"), "left").select("symbol", ((1 - damping) / max(n, 1) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
     return rank
+
+
+def weighted(kinds: dict[float, DataFrame]) -> DataFrame:
+    """Edges of several kinds (weight -> src, dst): the heaviest tie holds, and a node's weights are brought to a sum of 1."""
+    out = None
+    for weight, pairs in kinds.items():
+        one = pairs.select("src", "dst", F.lit(weight).alias("w"))
+        out = one if out is None else out.unionByName(one)
+    e = out.groupBy("src", "dst").agg(F.max("w").alias("w"))
+    return e.join(e.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w"))
+
+
+#: Nodes of a graph that fits in a row.
+SMALL = 1000
+
+
+def small_rank(nodes: DataFrame, e: DataFrame, rounds: int = 20, damping: float = 0.85, scale: float = 32.0) -> DataFrame:
+    """Page rank of a small dimension's graph (k), scaled to 0..scale: its nodes are one array, and all rounds are one expression, without a join a round."""
+    if nodes.count() > SMALL:
+        raise ValueError("for a larger graph take page_rank, which joins its edges each round")
+    into = e.groupBy(F.col("dst").alias("k")).agg(F.array_sort(F.collect_list(F.struct("src", "w"))).alias("into"))
+    ks = nodes.join(into, "k", "left").select(F.struct("k", F.coalesce("into", F.array().cast("array<struct<src:bigint,w:double>>")).alias("into")).alias("n"))
+    row = ks.agg(F.array_sort(F.collect_list("n")).alias("ns"))
+    n = F.size("ns")
+    row = row.withColumn("place", F.map_from_arrays("ns.k", F.transform("ns", lambda x, i: i)))
+    row = row.withColumn("ns", F.transform("ns", lambda x: F.struct(x.k.alias("k"), F.transform(x["into"], lambda y: F.struct(F.element_at("place", y.src.cast("long")).alias("at"), y.w.alias("w"))).alias("into"))))
+    step = lambda ranks, _: F.transform("ns", lambda x: (1 - damping) / n + damping * F.aggregate(x["into"], F.lit(0.0), lambda s, y: s + y.w * F.get(ranks, y["at"])))
+    ranks = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform("ns", lambda x: F.lit(1.0) / n), step)
+    out = row.select("ns", ranks.alias("ranks")).select(F.explode(F.arrays_zip(F.col("ns.k").alias("k"), F.col("ranks").alias("rank"))).alias("r"), F.array_min("ranks").alias("lo"), F.array_max("ranks").alias("hi"))
+    return out.select("r.k", (F.coalesce(F.try_divide(F.col("r.rank") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * scale).alias("rank"))
+
+
+def neighbourhoods(nodes: DataFrame, e: DataFrame, own: DataFrame) -> DataFrame:
+    """A node's feature (k, f), the weighted mean of its neighbours', and that of theirs, side by side."""
+
+    def around(f: DataFrame) -> DataFrame:
+        got = e.join(f, F.col("dst") == F.col("k")).groupBy("src").agg(F.sum(F.col("w") * F.col("f")).alias("f"))
+        return nodes.join(got, F.col("k") == F.col("src"), "left").select("k", F.coalesce("f", F.lit(0.0)).alias("f"))
+
+    near = around(own)
+    far = around(near)
+    named = lambda f, name: f.select("k", F.col("f").alias(name))
+    return nodes.join(named(own, "own"), "k", "left").join(named(near, "near"), "k").join(named(far, "far"), "k").select("k", F.coalesce("own", F.lit(0.0)).alias("own"), "near", "far")

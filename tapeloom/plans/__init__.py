@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with the SQL that says the same."""
 
-from tapeloom.plans import engines, factors, ladders, panels, series, states, streams  # noqa: F401
+from tapeloom.plans import engines, factors, feeds, ladders, panels, series, states, streams  # noqa: F401
 from tapeloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -86,6 +86,18 @@ def to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def insert(alert_rows: DataFrame, path: str) -> None:
+    """Append alerts, one or many, to a table."""
+    alert_rows.write.mode("append").parquet(path)
+
+
+def technical(prices: DataFrame, history: DataFrame) -> DataFrame:
+    """event_id, symbol, price against a symbol's rsi, hi and lo: a row for each rule that is met. Works on batch and stream."""
+    rule = lambda cond, kind: F.when(cond, kind)
+    met = F.array_compact(F.array(rule(F.col("rsi") > 70, "overbought"), rule(F.col("rsi") < 30, "oversold"), rule(F.col("price") > F.col("hi") * 1.005, "breakout"), rule(F.col("price") < F.col("lo") * 0.995, "breakdown")))
+    return prices.join(history, "symbol").select("event_id", F.explode(met).alias("kind"))
+
+
 def recent(alert_rows: DataFrame, n: int = 100) -> DataFrame:
     """The newest n alerts: a top-k report."""
     return alert_rows.orderBy(F.desc("ts"), F.desc("event_id"), "kind").limit(n)
