@@ -183,3 +183,17 @@ MODAL = rules(
     out="score:6 direction",
 )
 TREND_OF_VOL = rules({"trend": "CASE WHEN recent > earlier * 1.1 THEN 'rising' WHEN recent < earlier * 0.9 THEN 'falling' ELSE 'stable' END"}, out="recent:6 earlier:6 trend")
+
+MARKED = rules({"unrealised": "(close - cost) * 100", "unrealised_share": "coalesce(close / nullif(cost, 0) - 1, 0.0)", "sellable": "CASE WHEN held > 0 THEN 100 ELSE 0 END"}, out="unrealised:4 unrealised_share:6 sellable")
+FLOW_SPLIT = rules({"buy": "coalesce(outer_vol / nullif(volume, 0), 0.5)"}, {"large": "amount * (0.1 + 0.3 * buy)", "medium": "amount * 0.3", "small": "amount * (0.6 - 0.3 * buy)", "leaning": "CASE WHEN buy > 0.6 THEN 'buy' WHEN buy < 0.4 THEN 'sell' ELSE 'even' END"}, out="buy:6 large:3 medium:3 small:3 leaning")
+CLASSES = rules({"z": "CASE WHEN sd > 1e-10 THEN least(5.0, greatest(-5.0, (close - ma20) / sd)) ELSE 0.0 END"}, {"label": "CASE WHEN z / 5 > 0.33 THEN 1 WHEN z / 5 < -0.33 THEN -1 ELSE 0 END"}, out="z:5 label")
+#: Probabilities of up, flat and down from three models, weighed by the regime.
+ENSEMBLE = rules(
+    {"up_a": "least(0.9, greatest(0.1, 0.5 + mom5))", "up_b": "least(0.9, greatest(0.1, 1 - rsi14 / 100))", "up_c": "CASE WHEN ma5 > ma20 THEN 0.6 ELSE 0.4 END", "weight": "CASE WHEN vol > 0.35 THEN 0.2 WHEN ma5 > ma20 THEN 0.5 ELSE 0.35 END"},
+    {"p_up": "up_a * weight + up_b * (1 - weight) / 2 + up_c * (1 - weight) / 2"},
+    {"p_down": "(1 - p_up) * 0.7", "p_flat": "(1 - p_up) * 0.3"},
+    {"direction": "CASE WHEN p_up > 0.4 AND p_up > p_down THEN 'up' WHEN p_down > 0.4 AND p_down >= p_up THEN 'down' ELSE 'flat' END", "sure": "greatest(p_up, p_down, p_flat)"},
+    out="p_up:6 p_down:6 p_flat:6 direction sure:6",
+)
+REGIME_VECTOR = rules({"trend_gap": "coalesce(ma5 / nullif(ma20, 0) - 1, 0.0)", "long_gap": "coalesce(ma20 / nullif(ma60, 0) - 1, 0.0)"}, {"regime": "CASE WHEN vol > 0.6 THEN 'volatile' WHEN trend_gap > 0.02 AND long_gap > 0 THEN 'bull' WHEN trend_gap < -0.02 AND long_gap < 0 THEN 'bear' ELSE 'sideways' END"}, out="ret_mean:6 vol:6 mom20:6 trend_gap:6 long_gap:6 vol_ratio:5 regime")
+GARCH_STATE = rules({"annual": "CASE WHEN place < 20 THEN 0.2 ELSE sqrt(variance * 52) END"}, {"state": "CASE WHEN annual < 0.1 THEN 'low' WHEN annual < 0.2 THEN 'normal' WHEN annual < 0.35 THEN 'high' ELSE 'very_high' END", "multiplier": "CASE WHEN annual < 0.1 THEN 1.1 WHEN annual < 0.2 THEN 1.0 WHEN annual < 0.35 THEN 0.85 ELSE 0.7 END"}, out="annual:5 state multiplier:4")

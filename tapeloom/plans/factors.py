@@ -154,3 +154,29 @@ def c01(spark, d):
     b = b.select("symbol", "ts", F.row_number().over(BY_SYMBOL()).alias("rn"), timeseries.momentum(5).alias("momentum_5"), F.stddev_pop("ret").over(timeseries.last(20)).alias("volatility_20"), timeseries.amihud(5).alias("amihud_5"))
     latest = b.groupBy("symbol").agg(F.max_by(F.struct("rn", *names), "ts").alias("l")).filter("l.rn >= 20").select("symbol", "l.*")
     return latest.unpivot(["symbol"], names, "factor", "value").withColumn("value", F.round(F.col("value") + 1e-9, 6))
+
+
+_SCORED = f"sc AS (SELECT factor, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) * 40 + abs(coalesce(avg(ic) / nullif(stddev_pop(ic), 0), 0.0)) * 20 + least(abs(avg(ic)) * 1000, 40) AS score FROM ics GROUP BY 1), wt AS (SELECT factor, score, score / sum(score) OVER () AS w FROM sc)"
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """A factor's score from how often and how much it is right, and its share of all; a row for each factor."""
+    one = factors.ics(factors.long_form(following(spark, d))).groupBy("factor").agg((F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)) * 40 + F.abs(F.coalesce(F.try_divide(F.avg("ic"), F.stddev_pop("ic")), F.lit(0.0))) * 20 + F.least(F.abs(F.avg("ic")) * 1000, F.lit(40.0))).alias("score"))
+    return one.withColumn("w", F.col("score") / F.sum("score").over(Window.partitionBy()))
+
+
+@query("p41_c11_factor_weights", f"WITH {SNAP}, {NEXT}, {LONG}, {ICS}, {_SCORED} SELECT factor, round(score, 4) AS score, round(w, 6) AS weight FROM wt")
+def p41(spark, d):
+    return scored(spark, d).select("factor", F.round("score", 4).alias("score"), F.round("w", 6).alias("weight"))
+
+
+@query("p41_weight_entropy", f"WITH {SNAP}, {NEXT}, {LONG}, {ICS}, {_SCORED}, q AS (SELECT -sum(w * ln(w)) AS entropy, count(*) AS n FROM wt) SELECT round(entropy, 6) AS entropy, round(1 - entropy / ln(n), 6) AS confidence FROM q")
+def p41b(spark, d):
+    q = scored(spark, d).agg((-F.sum(F.col("w") * F.log("w"))).alias("entropy"), F.count("*").alias("n"))
+    return q.select(F.round("entropy", 6).alias("entropy"), F.round(1 - F.col("entropy") / F.log("n"), 6).alias("confidence"))
+
+
+@query("c09_model_weights", f"WITH {SNAP}, {NEXT}, {_CALLS}, h AS (SELECT model, greatest(0.0, 2 * avg(CASE WHEN call = sign(ret_next) THEN 1.0 ELSE 0.0 END) - 1) + 0.1 AS raw FROM cl GROUP BY 1) SELECT model, round(raw / sum(raw) OVER (), 6) AS weight FROM h")
+def c09(spark, d):
+    h = factors.calls(following(spark, d)).groupBy("model").agg((F.greatest(F.lit(0.0), 2 * F.avg(F.when(F.col("call") == F.signum("ret_next"), 1.0).otherwise(0.0)) - 1) + 0.1).alias("raw"))
+    return h.select("model", F.round(F.col("raw") / F.sum("raw").over(Window.partitionBy()), 6).alias("weight"))

@@ -220,3 +220,20 @@ def g04(spark, d):
     nodes = m.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
     own = m.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg((F.avg("s_acctbal") / 1000).alias("f"))
     return graph.neighbourhoods(nodes, nations(spark, d), own).select("k", *(F.round(c, 5).alias(c) for c in ("own", "near", "far")))
+
+
+@query("p42_c12_diversification", f"WITH {_MEANS}, pc AS (SELECT a.name AS a, b.name AS b, {CORR.format(a='a.x', b='b.x')} AS c FROM im a JOIN im b ON a.ts = b.ts AND a.name < b.name GROUP BY 1, 2), k AS (SELECT count(DISTINCT name) AS n FROM im), q AS (SELECT 1 - (2 * sum(greatest(0.0, least(1.0, c + 0.15))) + max(n)) / (max(n) * max(n)) AS score FROM pc, k) SELECT round(score, 5) AS score, round(1 - 0.3 * score, 5) AS adjustment FROM q")
+def p42(spark, d):
+    """Correlations of industries, shifted for a falling market, and what their mean leaves."""
+    rows = returns(m.monthly_bars(spark, d)).join(m.industries(spark, d).select("symbol", F.col("industry").alias("name")), "symbol").groupBy("name", "ts").agg(F.avg("ret").alias("x"))
+    total = sets.pair_correlations(rows).agg(F.sum(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("corr") + 0.15))).alias("t"))
+    n = rows.select("name").distinct().agg(F.count("*").alias("n"))
+    score = 1 - (2 * F.col("t") + F.col("n")) / (F.col("n") * F.col("n"))
+    return total.crossJoin(F.broadcast(n)).select(F.round(score, 5).alias("score"), F.round(1 - 0.3 * score, 5).alias("adjustment"))
+
+
+@query("c23_source_mood", f"WITH {_LEX}, q AS (SELECT source, round(score, 6) AS score, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS back FROM lx) SELECT source, count(*) AS texts, round(avg(score), 6) AS score FROM q WHERE back <= 10 GROUP BY 1")
+def c23(spark, d):
+    """The mood of each source's ten newest texts: a report of the last ones."""
+    lex = text.lexicon_score(m.table(spark, d, "documents"), POSITIVE, NEGATIVE)
+    return sets.most_recent(lex, "source", [F.desc("doc_id")], 10).groupBy("source").agg(F.count("*").alias("texts"), F.round(F.avg("score"), 6).alias("score"))

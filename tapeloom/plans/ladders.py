@@ -11,7 +11,7 @@ from tapeloom.operators.steps import Rules
 from tapeloom.operators.timeseries import W as BY_SYMBOL
 from tapeloom.operators.timeseries import divergence, last, returns, rsi_winners
 from tapeloom.plans.panels import _METRICS
-from tapeloom.plans.registry import ALL, DIMS, MONTHLY, RETURNS, W, over, prior, query
+from tapeloom.plans.registry import ALL, DIMS, MONTHLY, RETURNS, WEEKLY, W, over, prior, query
 from tapeloom.plans.series import _DIFFS, _MACD, RECURSIVE, wilder_sql
 from tapeloom.sources import market as m
 
@@ -166,3 +166,17 @@ def c04(spark, d):
     b = m.monthly_bars(spark, d).select("symbol", "ts", F.when((up > down) & (up > 0), up).otherwise(0.0).alias("p"), F.when((down > up) & (down > 0), down).otherwise(0.0).alias("n"))
     part = lambda x: F.round(F.coalesce(F.try_divide(100 * x, F.col("p") + F.col("n")), F.lit(0.0)) + 1e-9, 4)
     return b.select("symbol", "ts", part(F.col("p")).alias("plus_di"), part(F.col("n")).alias("minus_di"), part(F.abs(F.col("p") - F.col("n"))).alias("dx"))
+
+
+for _name, _rule in {"c31_flow_split": ladders.FLOW_SPLIT, "c29_classes": ladders.CLASSES, "m05_m06_ensemble": ladders.ENSEMBLE, "c07_m07_regime_vector": ladders.REGIME_VECTOR}.items():
+    register(_name, SNAP, "snap", snap, _rule)
+register("c15_c17_marked_positions", f"{SNAP}, {HELD}", "held", held, ladders.MARKED)
+
+_GARCH = RECURSIVE.format(bars=f"{WEEKLY}, c AS (SELECT *, coalesce(ln(close / lag(close) {W}), 0.0) AS r FROM bars)", source="c", first="(1e-6::DOUBLE / (1 - 0.05::DOUBLE - 0.94::DOUBLE)) AS v, r", step="1e-6::DOUBLE + 0.05::DOUBLE * f.r * f.r + 0.94::DOUBLE * f.v, b.r") + ", gs AS (SELECT symbol, ts, v AS variance, rn AS place FROM f)"
+query("c03_garch_state", f"{_GARCH} " + ladders.GARCH_STATE.sql("gs", "symbol", "ts"))(lambda spark, d: ladders.GARCH_STATE.apply(fold.garch(m.weekly_bars(spark, d)).withColumn("place", F.row_number().over(BY_SYMBOL())), "symbol", "ts"))
+
+
+@query("c08_regime_shares", f"WITH {SNAP}, q AS ({ladders.REGIME_VECTOR.sql('snap', 'symbol', 'ts')}) SELECT ts, regime, count(*) AS symbols, round(count(*) / sum(count(*)) OVER (PARTITION BY ts), 6) AS share FROM q GROUP BY 1, 2")
+def c08(spark, d):
+    q = ladders.REGIME_VECTOR.apply(snap(spark, d), "symbol", "ts").groupBy("ts", "regime").agg(F.count("*").alias("symbols"))
+    return q.withColumn("share", F.round(F.col("symbols") / F.sum("symbols").over(Window.partitionBy("ts")), 6))
