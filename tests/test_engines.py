@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import engines, fold, learning, optimise
+from tapeloom.operators import composites, engines, fold, learning, optimise
 from tapeloom.operators.steps import doubles, rules
 
 
@@ -90,3 +90,25 @@ def test_fractions_are_doubles(spark):
     out = r.apply(spark.createDataFrame([(1.0,), (2.0,)], "x double"), "x")
     assert [tuple(v) for v in out.collect()] == [(2.0, 1.2)] and out.schema["z"].dataType.simpleString() == "double"
     assert out.select(F.col("z")).count() == 1
+
+
+def test_walk_forward_runs_the_purse_anew_in_each_window(spark):
+    rng = random.Random(5)
+    rows = [("a", day(i), s, float(rng.randint(8, 12)), rng.choice(["buy", "sell", "hold"])) for i in range(17) for s in (1, 2)]
+    out = composites.walk_forward(spark.createDataFrame(rows, "strategy string, ts timestamp_ntz, symbol long, price double, side string"), train=5, test=4, step=3).collect()
+    want = set()
+    for w, i in enumerate(range(0, 17 - 5 - 4, 3)):
+        inside = [r[1:] for r in rows if day(i + 5) <= r[1] < day(i + 9)]
+        want |= {(f"a@{w}", ts, round(cash, 6), round(value, 6), trades) for _, ts, cash, value, trades in engines.purse("", iter(inside))}
+    assert {(r.strategy, r.ts, round(r.cash, 6), round(r.value, 6), r.trades) for r in out} == want and len(out) == len(want) == 12
+
+
+def test_event_equity_refuses_large_orders_and_stops_after_a_loss(spark):
+    rows = [(1, day(0), 100.0, "buy", 100.0), (1, day(1), 105.0, "hold", 105.0), (1, day(2), 110.0, "sell", 110.0), (1, day(3), 110.0, "sell", 110.0), (1, day(4), 110.0, "buy", None), (2, day(0), 2000.0, "buy", 10_000.0), (2, day(1), 100.0, "buy", 100.0), (3, day(0), 5000.0, "buy", 5000.0)]
+    out = {(r.symbol, r.ts): r for r in composites.event_equity(spark.createDataFrame(rows, "symbol long, ts timestamp_ntz, close double, side string, price double")).collect()}
+    assert [out[1, day(i)].trades for i in range(5)] == [1, 1, 2, 2, 2] and out[1, day(4)].quantity == 0
+    assert out[1, day(4)].cash == pytest.approx(1e5 - 1000 * 1.0003 + 1100 * 0.9987)
+    # the second symbol bought far above its close, the third's order is half of its equity
+    assert out[2, day(1)].trades == 1 and out[3, day(0)].trades == 0
+    empty = spark.createDataFrame([], "symbol long, ts timestamp_ntz, close double, side string, price double")
+    assert composites.event_equity(empty).count() == 0
