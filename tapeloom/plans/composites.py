@@ -49,7 +49,7 @@ _TRIED = " ".join(f"CROSS JOIN (SELECT unnest({values}) AS {k})" for k, values i
 _SCORE = " + ".join(f"10 - abs({k} - {liked}) * {cost}" for k, (liked, cost) in composites.LIKED.items())
 
 
-@query("c19_parameter_preference", doubles(f"WITH g AS (SELECT kelly::DOUBLE AS kelly, atr::DOUBLE AS atr, rsi::DOUBLE AS rsi, vol::DOUBLE AS vol FROM (SELECT 1 AS one) {_TRIED}), s AS (SELECT *, round({_SCORE}, 4) AS score FROM g) SELECT *, row_number() OVER (ORDER BY score DESC, kelly, atr, rsi, vol) AS place FROM s"))
+@query("c19_parameter_preference", doubles(f"WITH g AS (SELECT kelly::DOUBLE AS kelly, atr::DOUBLE AS atr, rsi::DOUBLE AS rsi, vol::DOUBLE AS vol FROM (SELECT 1 AS one) {_TRIED}), s AS (SELECT *, round({_SCORE}, 4) AS score FROM g) SELECT *, row_number() OVER (ORDER BY score DESC, kelly, atr, rsi, vol)::INTEGER AS place FROM s"))
 def c19(spark, d):
     return composites.preferences(spark)
 
