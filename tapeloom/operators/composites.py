@@ -140,11 +140,10 @@ def walk_forward(orders: DataFrame, train: int = 40, test: int = 12, step: int =
 
     Only windows that are whole count. The list of dates has a row a date.
     """
-    dates = orders.select("ts").distinct().withColumn("k", F.row_number().over(Window.orderBy("ts")) - 1)
-    number = dates.agg(F.count("*").alias("dates"))
+    dates = orders.select("ts").distinct().withColumns({"k": F.row_number().over(Window.orderBy("ts")) - 1, "dates": F.count("*").over(Window.partitionBy())})
     spot = F.col("k") - train
     first, final = F.greatest(F.lit(0), F.ceil((spot - test + 1) / step)), F.floor(spot / step)
-    windows = dates.join(F.broadcast(number)).filter(spot >= 0).filter(final >= first)
+    windows = dates.filter(spot >= 0).filter(final >= first)
     windows = windows.select("ts", "dates", F.explode(F.sequence(first, final)).alias("window")).filter(F.col("window") * step < F.col("dates") - train - test)
     runs = orders.join(windows.select("ts", "window"), "ts").withColumn("strategy", F.concat_ws("@", "strategy", "window"))
     return engines.portfolio(runs)
