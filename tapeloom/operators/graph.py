@@ -1,4 +1,4 @@
-"""Graphs of symbols: edges by industry, nearest neighbours and page rank."""
+"""Graphs: ties of symbols through their industry, nearest neighbours and page rank; explicit edges for small dimensions."""
 
 from __future__ import annotations
 
@@ -6,30 +6,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def edges(dims: DataFrame) -> DataFrame:
-    """Symbols of one industry are joined with weight 0.9; a symbol's weights are brought to a sum of 1.
+def hubs(dims: DataFrame) -> DataFrame:
+    """An industry as a hub: each symbol's number of peers and its weight to each of them, which sum to 1 (null without a peer).
 
-    The join is on the industry alone: its size is that of the largest industry of a listing, squared.
+    All ties of one industry weigh the same, so a row for each symbol says what a row for each pair would.
     """
-    a, b = dims.select(F.col("symbol").alias("src"), "industry"), dims.select(F.col("symbol").alias("dst"), "industry")
-    e = a.join(b, "industry").filter("src != dst").select("src", "dst", F.lit(0.9).alias("w"))
-    return e.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("w"))
+    sizes = dims.groupBy("industry").agg((F.count("*") - 1).alias("peers"))
+    return dims.select("symbol", "industry").join(sizes, "industry").select("symbol", "industry", "peers", F.try_divide(F.lit(1.0), F.col("peers")).alias("w"))
 
 
-def nearest(e: DataFrame, k: int = 5) -> DataFrame:
-    """The k heaviest edges of each symbol, kept where both ends keep them."""
-    own = e.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).filter(F.col("place") <= k).drop("place")
+def nearest_of_hubs(dims: DataFrame, k: int = 5) -> DataFrame:
+    """The k heaviest ties of each symbol (the least ids, as an industry's ties weigh the same), kept where both ends keep them.
+
+    They are among an industry's k + 1 least ids, so each symbol meets that many and no more.
+    """
+    h = hubs(dims)
+    first = dims.withColumn("place", F.row_number().over(Window.partitionBy("industry").orderBy("symbol"))).filter(F.col("place") <= k + 1).select("industry", F.col("symbol").alias("dst"))
+    met = h.join(first, "industry").filter("symbol != dst").select(F.col("symbol").alias("src"), "dst", "w")
+    own = met.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter(F.col("place") <= k).drop("place")
     return own.join(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
 
 
-def page_rank(nodes: DataFrame, e: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """A fixed number of rounds; mass of symbols without an edge stays out, as the reference semantics have it."""
-    n = nodes.count()
-    rank = nodes.select("symbol", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for _ in range(rounds):
-        into = e.join(rank, F.col("src") == F.col("symbol")).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
-        rank = nodes.join(into, F.col("symbol") == F.col("dst"), "left").select("symbol", ((1 - damping) / max(n, 1) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-    return rank
+def hub_rank(dims: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+    """A fixed number of rounds over the ties of hubs; mass of symbols without a tie stays out, as the reference semantics have it.
+
+    A symbol gets what its peers' ranks sum to, through the hub: a round needs the industry's sum and the symbol's own rank,
+    so all rounds are one expression over an industry's size, and the ties are never laid out.
+    """
+    n = max(dims.count(), 1)
+    groups = dims.groupBy("industry").agg(F.count("*").cast("double").alias("m"))
+    base, m = (1 - damping) / n, F.col("m")
+
+    def step(s, _):
+        gets = F.when(m > 1, damping * (s.total - s.own) / (m - 1)).otherwise(0.0)
+        return F.struct((m * base + F.when(m > 1, damping * s.total).otherwise(0.0)).alias("total"), (base + gets).alias("own"))
+
+    ranks = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct((m / n).alias("total"), F.lit(1.0 / n).alias("own")), step, lambda s: s.own)
+    return dims.join(groups.select("industry", ranks.alias("rank")), "industry").select("symbol", "rank")
 
 
 def weighted(kinds: dict[float, DataFrame]) -> DataFrame:
@@ -49,7 +62,7 @@ SMALL = 1000
 def small_rank(nodes: DataFrame, e: DataFrame, rounds: int = 20, damping: float = 0.85, scale: float = 32.0) -> DataFrame:
     """Page rank of a small dimension's graph (k), scaled to 0..scale: its nodes are one array, and all rounds are one expression, without a join a round."""
     if nodes.count() > SMALL:
-        raise ValueError("for a larger graph take page_rank, which joins its edges each round")
+        raise ValueError("this form keeps a whole graph in one row; hub_rank has no such limit")
     into = e.groupBy(F.col("dst").alias("k")).agg(F.array_sort(F.collect_list(F.struct("src", "w"))).alias("into"))
     ks = nodes.join(into, "k", "left").select(F.struct("k", F.coalesce("into", F.array().cast("array<struct<src:bigint,w:double>>")).alias("into")).alias("n"))
     row = ks.agg(F.array_sort(F.collect_list("n")).alias("ns"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +88,19 @@ def heat(bars: DataFrame, dims: DataFrame) -> DataFrame:
     """Net flow by sector and industry with subtotals; an extension beyond parity is the rollup."""
     flow = fund_flow(bars).join(dims, "symbol").rollup("sector", "industry").agg(F.round(F.sum("net"), 0).alias("net"), F.countDistinct("symbol").alias("symbols"))
     return flow.select("sector", "industry", "net", "symbols", F.when(F.col("net") > 0, "hot").when(F.col("net") < 0, "cold").otherwise("flat").alias("level"))
+
+
+def board(code: Column) -> Column:
+    """The board of a listing by the prefix of its code."""
+    # fixed values: prefixes of boards
+    growth, innovation, small, north = ("300", "301"), ("688", "689"), ("002", "003"), ("8", "4")
+    starts = lambda known: reduce(or_, (code.startswith(k) for k in known))
+    return F.when(starts(innovation), "innovation").when(starts(growth), "growth").when(starts(small), "small").when(starts(north), "north").otherwise("main")
+
+
+def board_heat(bars: DataFrame, code: Column) -> DataFrame:
+    """Net flow of each board in percent of its amount, on a ladder; summed map-side, a row for each board."""
+    net = F.col("amount") * div(2 * F.col("outer_vol") - F.col("volume"), F.col("volume"), 0.0)
+    flow = bars.select(board(code).alias("board"), "amount", net.alias("net")).groupBy("board").agg(F.count("*").alias("bars"), div(100 * F.sum("net"), F.sum("amount"), 0.0).alias("flow"))
+    level = F.when(F.col("flow") > 30, "strong_inflow").when(F.col("flow") > 10, "moderate_inflow").when(F.col("flow") > -10, "neutral").when(F.col("flow") > -30, "moderate_outflow").otherwise("strong_outflow")
+    return flow.select("board", "bars", F.round("flow", 5).alias("flow"), level.alias("level"))

@@ -261,14 +261,14 @@ def s14(spark, d):
 EDGES = "e AS (SELECT a.symbol AS src, b.symbol AS dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY a.symbol) AS w FROM dims a JOIN dims b ON a.industry = b.industry AND a.symbol <> b.symbol)"
 
 
-@query("g01_industry_edges", f"WITH {DIMS}, {EDGES} SELECT src, dst, round(w, 6) AS w FROM e")
+@query("g01_industry_edges", f"WITH {DIMS}, q AS (SELECT symbol, industry, count(*) OVER (PARTITION BY industry) - 1 AS peers FROM dims) SELECT symbol, industry, peers, round(1.0::DOUBLE / nullif(peers, 0), 6) AS w FROM q")
 def g01(spark, d):
-    return graph.edges(m.industries(spark, d)).select("src", "dst", F.round("w", 6).alias("w"))
+    return graph.hubs(m.industries(spark, d)).select("symbol", "industry", "peers", F.round("w", 6).alias("w"))
 
 
 @query("g02_nearest", f"WITH {DIMS}, {EDGES}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS place FROM e) WHERE place <= 3) SELECT a.src, a.dst, round(a.w, 6) AS w FROM k a JOIN k b ON a.src = b.dst AND a.dst = b.src")
 def g02(spark, d):
-    return graph.nearest(graph.edges(m.industries(spark, d)), 3).select("src", "dst", F.round("w", 6).alias("w"))
+    return graph.nearest_of_hubs(m.industries(spark, d), 3).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 def _rank_sql(rounds: int = 10) -> str:
@@ -280,8 +280,7 @@ def _rank_sql(rounds: int = 10) -> str:
 
 @query("g03_page_rank", _rank_sql())
 def g03(spark, d):
-    dims = m.industries(spark, d)
-    return graph.page_rank(dims.select("symbol"), graph.edges(dims)).select("symbol", F.round("rank", 8).alias("rank"))
+    return graph.hub_rank(m.industries(spark, d)).select("symbol", F.round("rank", 8).alias("rank"))
 
 
 @query("m01_purged_folds", f"WITH {MONTHLY}, q AS (SELECT symbol, ts, ntile(5) OVER (PARTITION BY symbol ORDER BY ts) AS fold, row_number() {W} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), b AS (SELECT symbol, fold, min(i) AS lo, max(i) AS hi FROM q GROUP BY 1, 2) SELECT b.fold, count(*) FILTER (WHERE q.fold = b.fold) AS test, count(*) FILTER (WHERE q.i < b.lo - 5 OR q.i > b.hi + 5) AS train FROM q JOIN b USING (symbol) GROUP BY 1")
