@@ -43,6 +43,50 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Workspace:
+    """Intermediate tables of one operator: all go once its result is written as a table of its own.
+
+    with Workspace(spark) as space:
+        part = space.keep(frame, "part")
+        return space.result(frame_of_parts, "result")
+
+    On an error, too, the intermediate tables are removed.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+        self.names: list[str] = []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            discard(self.spark, path)
+
+    def path(self, name: str) -> str:
+        self.paths.append(fresh_path(self.spark, name))
+        return self.paths[-1]
+
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        path = self.path(name)
+        df.write.options(**options).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """The table in buckets by a key, so that joins by it leave it where it is."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names.append(f"tapeloom_{uuid.uuid4().hex}")
+        df.repartition(buckets, key).write.bucketBy(buckets, key).format("parquet").option("path", self.path(name)).saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return materialise(df, name)
+
+
 def mapped_dir(spark: SparkSession, name: str) -> str:
     """A new folder that workers can memory-map: the shared folder has to be a mounted file system for it."""
     path = urlparse(fresh_path(spark, name))
