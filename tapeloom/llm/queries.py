@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeloom.llm.audio import text_audio
 from tapeloom.llm.automaton import scan_digest
 from tapeloom.llm.digest import edit_query
-from tapeloom.llm import kneserney, toxicity, vafile
+from tapeloom.llm import kneserney, maxsketch, toxicity, vafile
 from tapeloom.llm.golay import simhash_query
 from tapeloom.llm.language import predict
 from tapeloom.llm.mixing import mix_query
@@ -58,6 +58,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.score(table(spark, sf_dir, "documents"))
 
 
+def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxsketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -73,7 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_kneser_ney": op10_kneser_ney,
+    "op12_max_sketch": op12_max_sketch,
     "op13_va_file": op13_va_file,
 }
 
-ORACLES: dict[str, str] = {"op13_va_file": vafile.ORACLE}
+ORACLES: dict[str, str] = {"op12_max_sketch": maxsketch.ORACLE, "op13_va_file": vafile.ORACLE}

@@ -109,9 +109,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((total[ends] - total[starts]) * _INV[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the words (runs of other than ASCII white space) of each row."""
-    ink = ~SPACE[data]
+def words(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the words (runs of bytes that are not `apart`: other than ASCII white space) of each row."""
+    ink = ~apart[data]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
