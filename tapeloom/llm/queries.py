@@ -14,6 +14,7 @@ from tapeloom.llm.golay import simhash_query
 from tapeloom.llm.language import predict
 from tapeloom.llm.mixing import mix_query
 from tapeloom.llm.packing import pack_query
+from tapeloom.llm.reshard import reshard_query
 from tapeloom.llm.shared import table
 from tapeloom.llm.template import extract
 
@@ -58,6 +59,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.score(table(spark, sf_dir, "documents"))
 
 
+def op11_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard_query(table(spark, sf_dir, "documents"))
+
+
 def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxsketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_reshard": op11_reshard,
     "op12_max_sketch": op12_max_sketch,
     "op13_va_file": op13_va_file,
 }
