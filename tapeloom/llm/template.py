@@ -8,17 +8,21 @@ the gaps of the class around it, so that classes nest: together they are the tem
 between them are slots.
 
 The main slot is that of an article element of the template, or else of the innermost of the template's elements
-that holds most of the text in slots. A page's text is what stands in its main slot and is not the template's: a
-text node of a class goes where the class's tokens come in the template's order on that page. Inside an article,
+that holds most of the text in slots; articles beside it in the same element belong to it. A page's text is what stands in its main slot and is not the template's: a
+text node of a class goes where the class's tokens come in the template's order on that page, if the class has elements as well. Inside an article,
 whose paragraphs may well be said on many pages, only those nodes go whose element holds the same words on each
 page that has it (text and element are of one class), and never the page's title. Parts that are not the article's
-own by HTML's elements or by a word list of class names (menus, adverts, forms, comments and so on) go as well.
+own by HTML's elements (menus, forms, footers and so on) go as well.
+
+Class names alone drop nothing. A name is plain if all its words are of a list of such parts ("advert", "comment-list"), and vague if only
+one of them is ("share-price"). A named part goes if at least half of its text is links; if its name is plain and it is a
+container, or its element is of a class of the template; and outside of articles if its name is vague and its element is of a class.
 
 Vectors over a single page tell nothing, so a host with one page has no template; its page is taken by its own elements.
 
 Defined results: a null or empty page has an empty text; a page without a host is taken alone; pages
-of a host with equal html count as one; a page of whose main slot more than half would be the template's is a copy,
-and keeps it; columns other than page_id, url and html are ignored.
+of a host with equal html count as one; a page of whose main slot all but the title would be the template's keeps it;
+columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ from tapeloom.llm.shared import materialise
 #: A token on fewer pages is of no class.
 LEAST = 2
 FEW_CONTENTS = 1_000_000
+#: Tokens of all templates that are broadcast, 12 bytes each; beyond that, pages go to their templates by host and salt.
+FEW_TOKENS = 1_000_000
+SALTS = 64
 SHARE = 0.5
 #: The main slot holds at least this share of the text of the slot around it.
 MOST = 0.8
@@ -56,6 +63,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NEVER = frozenset("ad ads adv advert adverts advertisement advertising advertorial adsense adslot adbox sponsor sponsored sponsors promo promos promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidebars comment comments commentlist disqus replies respond cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal overlay footer masthead pagination pager share sharing sharebar social related recommended recommendations copyright skiplink toolbar paywall banner banners".split())
 UNLESS = frozenset("header notice notices alert alerts side aside form search widget widgets links tags meta legal disclaimer".split())
 CONTENT = frozenset("article content main post entry story body text".split())
+# Words that leave a name plain, and elements that hold blocks.
+NEUTRAL = frozenset("a area articles bar block bottom box button buttons center column container first footer form header holder inner inline item items label large last left links list mobile module outer panel row section slot small space the thread title top unit right widget wrap wrapper".split())
+CONTAINER = frozenset("div section ul ol dl table figure details fieldset center".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
@@ -70,18 +80,32 @@ def _attributes(said: str) -> dict[str, str]:
     return out
 
 
+#: What an element's class and id say of it: nothing, a vague name, a plain one.
+UNNAMED, VAGUE, PLAIN = 0, 1, 2
+
+
 def _apart(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is not the article's own text."""
+    """Whether an element is not the article's own text by HTML itself."""
     if tag in ASIDE or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in ROLES:
         return True
-    if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    words = {w.lower() for name in ("class", "id") for w in WORD.findall(attributes.get(name, ""))}
-    return bool(words & NEVER) or (bool(words & UNLESS) and not words & CONTENT)
+    return "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def named(tag: str, attributes: dict[str, str]) -> int:
+    """How an element is named as a part that is not the article's."""
+    if tag in ("html", "body", "main", "article"):
+        return UNNAMED
+    out = UNNAMED
+    for name in (n for a in ("class", "id") for n in attributes.get(a, "").split()):
+        words = {w.lower() for w in WORD.findall(name)}
+        sure = words & NEVER
+        if sure or (words & UNLESS and not words & CONTENT):
+            out = max(out, PLAIN if words <= NEVER | UNLESS | NEUTRAL else VAGUE)
+    return out
 
 
 def key(said: str) -> int:
@@ -89,19 +113,43 @@ def key(said: str) -> int:
 
 
 class Page:
-    """A page's tokens and blocks. tags: (path key, path, position, text length inside); texts: (key, path, position, length outside of parts that are not the article's)."""
+    """A page's tokens and blocks. tags: (path key, path, position, text length inside); texts: (key, path, position, length), both without parts that are not the article's."""
 
     def __init__(self, source: str):
         self.tags: list[list] = []
-        self.texts: list[tuple[int, str, int, int]] = []
-        #: (text, places of the open elements, whether apart, keys of its text nodes, whether in an article)
-        self.blocks: list[tuple[str, tuple[int, ...], bool, tuple[int, ...], bool]] = []
+        self.texts: list[list] = []
+        #: by element, as in tags: the element around it, whether HTML sets it apart, its name, whether it is in an article, characters of all its text and of links in it
+        self.about: list[list] = []
+        #: (text, places of the open elements, keys of its text nodes, whether in an article)
+        self.blocks: list[tuple[str, tuple[int, ...], tuple[int, ...], bool]] = []
+        self.inside: list[tuple[int, ...]] = []  # of each text: places of its open elements
         self.title = ""
-        self.opened: list[tuple[str, str, bool, int]] = []  # tag, path, apart, place in tags
+        self.opened: list[tuple[str, str, int]] = []  # tag, path, place in tags
         self.run: list[str] = []
         self.nodes: list[int] = []
         self.position = 0
         self.parse(source)
+        self.gone = self.dropped(frozenset())
+        for said, places, *_ in self.blocks:
+            if not self.gone.intersection(places):
+                for place in places:
+                    self.tags[place][3] += len(said)
+        for entry, places in zip(self.texts, self.inside, strict=True):
+            if self.gone.intersection(places):
+                entry[3] = 0
+
+    def dropped(self, classed: frozenset[int] | set[int]) -> set[int]:
+        """Places of the elements that are not the article's own; `classed`: keys of the elements of the template."""
+        out = set()
+        for place, ((token, path, _, _), (_, apart, name, in_article, chars, linked)) in enumerate(zip(self.tags, self.about, strict=True)):
+            if apart:
+                out.add(place)
+            elif name and chars:
+                plain = name == PLAIN and (_name(path) in CONTAINER or token in classed)
+                vague = not in_article and token in classed
+                if 2 * linked >= chars or plain or vague:
+                    out.add(place)
+        return out
 
     def parse(self, source: str) -> None:
         at = 0
@@ -139,17 +187,19 @@ class Page:
             path = self.opened[-1][1] if self.opened else ""
             node = key(path + "\0" + " ".join(words))
             self.nodes.append(node)
-            self.texts.append((node, path, self.position, 0 if any(x[2] for x in self.opened) else len(said)))
+            self.texts.append([node, path, self.position, len(said)])
+            self.inside.append(tuple(x[2] for x in self.opened))
             self.position += 1
+            length = sum(map(len, words))
+            linked = length if any(x[0] == "a" for x in self.opened) else 0
+            for place in self.inside[-1]:
+                self.about[place][4] += length
+                self.about[place][5] += linked
 
     def flush(self) -> None:
         said = WHITE.sub(" ", "".join(self.run)).strip() if self.run else ""
         if said:
-            apart = any(x[2] for x in self.opened)
-            self.blocks.append((said, tuple(x[3] for x in self.opened), apart, tuple(self.nodes), any(x[0] == "article" for x in self.opened)))
-            if not apart:
-                for x in self.opened:
-                    self.tags[x[3]][3] += len(said)
+            self.blocks.append((said, tuple(x[2] for x in self.opened), tuple(self.nodes), any(x[0] == "article" for x in self.opened)))
         self.run, self.nodes = [], []
 
     def open(self, tag: str, said: str) -> None:
@@ -167,8 +217,9 @@ class Page:
         attributes = _attributes(said) if said.strip(" /") else {}
         names = ".".join(sorted(attributes.get("class", "").split()))
         path = f"{self.opened[-1][1] if self.opened else ''}>{tag}{'.' + names if names else ''}"
-        apart = _apart(tag, attributes, any(x[0] == "article" for x in self.opened))
-        self.opened.append((tag, path, apart, len(self.tags)))
+        in_article = any(x[0] == "article" for x in self.opened)
+        self.about.append([self.opened[-1][2] if self.opened else -1, _apart(tag, attributes, in_article), named(tag, attributes), in_article, 0, 0])
+        self.opened.append((tag, path, len(self.tags)))
         self.tags.append([key(path), path, self.position, 0])
         self.position += 1
         if said.rstrip().endswith("/") and tag in ("svg", "path", "use", "circle", "rect"):
@@ -185,14 +236,17 @@ class Page:
             if self.opened[i][0] in within:
                 return
 
-    def main(self, anchor: int | None) -> int | None:
-        """The place in tags of the element that holds the text: of the anchor's path, else an article, a main element or the body."""
-        apart = {b[1][-1] for b in self.blocks if b[2] and b[1]}
+    def main(self, anchor: int | None) -> set[int]:
+        """The places in tags of the elements that hold the text: of the anchor's path, else an article, a main element or the body; with an article, those beside it."""
         for wanted in (lambda t: t[0] == anchor, lambda t: _name(t[1]) == "article", lambda t: _name(t[1]) == "main", lambda t: _name(t[1]) == "body"):
-            found = [i for i, t in enumerate(self.tags) if wanted(t) and i not in apart and t[3]]
+            found = [i for i, t in enumerate(self.tags) if wanted(t) and i not in self.gone and t[3]]
             if found:
-                return max(found, key=lambda i: (self.tags[i][3], -i))
-        return None
+                root = max(found, key=lambda i: (self.tags[i][3], -i))
+                if _name(self.tags[root][1]) != "article":
+                    return {root}
+                around = self.about[root][0]
+                return {i for i, t in enumerate(self.tags) if self.about[i][0] == around and _name(t[1]) == "article"}
+        return set()
 
     def said_by(self, classes: list[dict]) -> tuple[set[int], set[int]]:
         """The text nodes of the template, and those of them that their elements hold on every page; of classes that come in the template's order here."""
@@ -201,6 +255,8 @@ class Page:
             place.setdefault(node, at)
         fixed, sure = set(), set()
         for c in classes:
+            if all(kind == TEXT for kind in c["kinds"]):
+                continue  # words that come together without an element of their own: pages that say the same, not a template
             order = [place[t] for t in c["tokens"] if t in place]
             if order == sorted(order):
                 fixed |= {t for t, kind in zip(c["tokens"], c["kinds"], strict=True) if kind != TAG}
@@ -209,12 +265,12 @@ class Page:
 
     def extract(self, anchor: int | None, classes: list[dict] | None = None) -> str:
         """The main element's blocks, without parts that are not its own and text nodes of the template."""
-        root = self.main(anchor)
-        kept = [b for b in self.blocks if not b[2] and (root is None or root in b[1])]
+        roots = self.main(anchor)
+        gone = self.dropped({t for c in classes or [] for t, kind in zip(c["tokens"], c["kinds"], strict=True) if kind == TAG})
+        kept = [b for b in self.blocks if not gone.intersection(b[1]) and (not roots or roots.intersection(b[1]))]
         fixed, sure = self.said_by(classes or [])
-        own = [b for b in kept if b[0] == self.title or not b[3] or not set(b[3]) <= (sure if b[4] else fixed)]
-        copy = 2 * sum(len(b[0]) for b in own) < sum(len(b[0]) for b in kept)
-        return "\n".join(b[0] for b in (kept if copy else own))
+        own = [b for b in kept if b[0] == self.title or not b[2] or not set(b[2]) <= (sure if b[3] else fixed)]
+        return "\n".join(b[0] for b in (own if any(b[0] != self.title for b in own) else kept))
 
 
 def _name(path: str) -> str:
@@ -334,9 +390,8 @@ def templates(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     classes = materialise(templates(pages), "templates")
-    # of a template: its main slot, and the classes that have words
-    words = F.expr("filter(collect_list(struct(tokens, kinds)), c -> exists(c.kinds, k -> k > 0))")
-    each = classes.groupBy("host").agg(F.first("main").alias("main"), words.alias("classes"))
+    # of a template: its main slot and its classes
+    each = classes.groupBy("host").agg(F.first("main").alias("main"), F.collect_list(F.struct("tokens", "kinds")).alias("classes"), F.sum(F.size("tokens")).alias("held"))
     each = materialise(each, "template-slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,5 +403,12 @@ def extract(pages: DataFrame) -> DataFrame:
                     texts.append(Page(source).extract(main, classes) if source else "")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = with_host(pages).join(each, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "classes")
+    hosted, each = with_host(pages), each.select("host", "main", "classes", "held")
+    if (each.agg(F.sum("held")).first()[0] or 0) <= FEW_TOKENS:
+        joined = hosted.join(F.broadcast(each), "host", "left")
+    else:
+        # pages of a host are dealt to SALTS tasks, each with the host's template
+        salted = each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "classes")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import pytest
+
 from tapeloom.llm import template
 
 SCHEMA = "page_id long, url string, html string"
@@ -88,3 +90,41 @@ def test_classes_are_those_of_vectors_laid_out(spark):
             around = sorted(first[t] for t in by[r.parent].tokens if t in first)
             own = [first[t] for t in r.tokens if t in first]
             assert len({sum(a < x for a in around) for x in own}) <= 1
+
+
+@pytest.mark.parametrize("name", ["ad-hoc", "related-work", "social-policy", "banner-story", "share-price"])
+@pytest.mark.parametrize("tag", ["p", "div"])
+def test_a_word_in_a_class_name_drops_no_text(spark, name, tag):
+    source = lambda n: f"<body><nav>Menu</nav><article><h1>T{n}</h1><p>First {n}.</p><{tag} class='{name}'>Second {n}.</{tag}><p>Third {n}.</p></article></body>"
+    assert template.Page(source(1)).extract(None) == "T1\nFirst 1.\nSecond 1.\nThird 1."
+    out = texts(spark, [(n, f"http://h.example/{n}", source(n)) for n in range(6)])
+    assert out == {n: f"T{n}\nFirst {n}.\nSecond {n}.\nThird {n}." for n in range(6)}
+
+
+def test_named_parts_go_by_a_second_sign():
+    page = lambda part: template.Page(f"<article><p>Own words.</p>{part}</article>").extract(None)
+    assert page("<div class='advert'>Buy</div>") == page("<section id='comments-list'><p>Nice</p></section>") == "Own words."
+    assert page("<p class='share-price'><a href='x'>one</a> <a href='y'>two</a></p>") == "Own words."
+    assert page("<p class='share-price'>It rose, <a href='x'>they</a> said.</p>") == "Own words.\nIt rose, they said."
+    assert page("<p class='ad'>A paragraph</p>") == "Own words.\nA paragraph"
+
+
+def test_a_short_article_under_a_long_notice(spark):
+    notice = "Read this before all else. " * 60
+    source = lambda n: f"<body><article><h1>Head {n}</h1><div class='n'>{notice}</div><p>Short {n}.</p></article></body>"
+    out = texts(spark, [(n, f"http://h.example/{n}", source(n)) for n in range(8)])
+    assert out == {n: f"Head {n}\nShort {n}." for n in range(8)}
+
+
+def test_articles_beside_each_other_are_kept(spark):
+    source = lambda n: f"<body><main><article><p>One {n}, the longer of both.</p></article><article><p>Two {n}.</p></article></main><div><article><p>Elsewhere</p></article></div></body>"
+    assert template.Page(source(1)).extract(None) == "One 1, the longer of both.\nTwo 1."
+    out = texts(spark, [(n, f"http://h.example/{n}", source(n)) for n in range(5)])
+    assert out[3] == "One 3, the longer of both.\nTwo 3."
+
+
+def test_large_templates_are_joined_by_salt(spark, monkeypatch):
+    rows = [(n, f"http://h{n % 2}.example/{n}", f"<body><div class='top'>Menu of the site</div><div class='c'><p>Words {n} of many.</p></div></body>") for n in range(20)]
+    want = texts(spark, rows)
+    monkeypatch.setattr(template, "FEW_TOKENS", 0)
+    assert texts(spark, rows) == want and want[7] == "Words 7 of many."
