@@ -325,6 +325,8 @@ SKETCH = LEAST // 32
 APART = 36
 #: Shingles of a cluster in one block of a task.
 CROWD = 1 << 20
+#: Rows of (cluster, blocks) that are broadcast, 16 bytes each; more are joined by a shuffle.
+FEW_CROWDED = 500_000
 _PAIRS = np.uint64(0x5555555555555555)
 _XOR, _TIMES = (np.random.default_rng(SEED).integers(0, 1 << 32, (2, LEAST), dtype=np.uint64) | np.array([[0], [1]], np.uint64)).astype(np.uint32)
 
@@ -348,7 +350,7 @@ _NAMES = ["doc_id", "node", "size", *(f"s{k}" for k in range(SKETCH)), *(f"b{k}"
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), size (how many), the sketch s0 .. s3 and the band keys b0 .. b24."""
+    """doc_id, node (a hash of the set of shingles), size (how many), the sketch s0 .. s3, the band keys b0 .. b24 and said, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,10 +371,10 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         own = mix64(own * np.uint64(0x9E3779B97F4A7C15) + x)
                     bands.append(own)
                 columns = (pa.array(x.view(np.int64)) for x in (node, count, *sketch, *bands))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(node)], *columns], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(node)], *columns, batch.column(2)[at : at + len(node)]], names=[*_NAMES, "said"])
                 at += len(node)
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, ", ".join(f"{x} long" for x in _NAMES))
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), F.xxhash64(df[text_col]).alias("said")).mapInArrow(run, ", ".join(f"{x} long" for x in [*_NAMES, "said"]))
 
 
 def _like_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,11 +550,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cluster_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, least, root, blocks) -> (node, least, deal)."""
+    """Rows (node, least, said, root, blocks) -> (node, least, said, deal)."""
     for batch in batches:
-        node, root, blocks = (batch.column(i).to_numpy() for i in (0, 2, 3))
+        node, root, blocks = (batch.column(i).to_numpy() for i in (0, 3, 4))
         row, deal = _in_blocks(root, mix64(node.view(np.uint64)), blocks)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(deal)], names=["node", "least", "deal"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(3)), pa.array(deal)], names=["node", "least", "said", "deal"])
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (deal, node, text) without those that a task has passed on before: repeated rows of a document."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        fresh = [not (p in seen or seen.add(p)) for p in pairs]
+        yield batch if all(fresh) else batch.filter(pa.array(fresh))
 
 
 def like_groups(documents: DataFrame) -> DataFrame:
@@ -560,10 +571,15 @@ def like_groups(documents: DataFrame) -> DataFrame:
 
     Texts that may be alike are gathered in clusters by a forest of their pairs, which no link is read from: all pairs
     of a cluster are then held against each other by their shingles, and of those that hold, a forest is passed on.
+
+    Equal sets of shingles are one node, for which one text stands: that of the least id, and of several texts under this id
+    that of the least hash. It is found again by both, so that neither repeated ids nor rows without an id multiply.
     """
     spark = documents.sparkSession
     sketch = materialise(sketches(documents), "like-sketches")
-    nodes = materialise(sketch.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in _NAMES[2:])), "like-nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("least"), "said")).alias("first")
+    nodes = sketch.groupBy("node").agg(first, *(F.first(c).alias(c) for c in _NAMES[2:]))
+    nodes = materialise(nodes.select("node", "first.least", "first.said", *_NAMES[2:]), "like-nodes")
     schema = ", ".join(f"{x} long" for x in ("deal", "node", *(f"s{k}" for k in range(SKETCH))))
     keyed = nodes.filter("size > 0").select("node", *_NAMES[3:])
     counts = keyed.mapInArrow(_like_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
@@ -574,14 +590,17 @@ def like_groups(documents: DataFrame) -> DataFrame:
     rows = keyed.mapInArrow(_like_keys(blocks), schema)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(mean * COUNTERS) // TASK_ROWS))
     pairs = rows.repartition(parts, "deal").sortWithinPartitions("deal", "node").mapInArrow(_like_pairs, "a long, b long").distinct()
-    joined = components(materialise(pairs, "like-pairs")).join(nodes.select("node", "least", "size"), "node")
-    clusters = materialise(joined.select("node", "least", "root", "size"), "like-clusters")
+    joined = components(materialise(pairs, "like-pairs")).join(nodes.select("node", "least", "said", "size"), "node")
+    clusters = materialise(joined.select("node", "least", "said", "root", "size"), "like-clusters")
     # a row for each CROWD shingles at most
     crowded = clusters.groupBy("root").agg(F.sum("size").alias("n")).filter(F.col("n") > CROWD).select("root", (F.ceil(F.col("n") / CROWD) + 1).alias("blocks"))
-    dealt = clusters.join(F.broadcast(crowded), "root", "left").select("node", "least", "root", F.coalesce("blocks", F.lit(1)).cast("long").alias("blocks"))
-    clusters = dealt.mapInArrow(_cluster_blocks, "node long, least long, deal long")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = texts.join(clusters, texts.doc_id.eqNullSafe(clusters.least)).select("deal", "node", "text")
+    crowded = materialise(crowded, "like-crowded")
+    crowded = F.broadcast(crowded) if crowded.count() <= FEW_CROWDED else crowded
+    dealt = clusters.join(crowded, "root", "left").select("node", "least", "said", "root", F.coalesce("blocks", F.lit(1)).cast("long").alias("blocks"))
+    clusters = dealt.mapInArrow(_cluster_blocks, "node long, least long, said long, deal long")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("own"))
+    dealt = texts.join(clusters, (texts.own == clusters.said) & texts.doc_id.eqNullSafe(clusters.least)).select("deal", "node", "text")
+    dealt = dealt.mapInArrow(_once, "deal long, node long, text string")
     edges = materialise(dealt.repartition(parts, "deal").sortWithinPartitions("deal", "node").mapInArrow(_verified, "a long, b long"), "likeness")
     found = components(edges)
     rooted = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -593,8 +612,12 @@ def like_groups(documents: DataFrame) -> DataFrame:
 def without_copies(documents: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, that of the least id, and one row of each id, as it is.
 
-    Documents without an id can't stand for a group, nor be told from others by it: they stay.
+    Of several rows of an id that stays, that of the least hash of all its columns is kept. Documents without an id can't stand
+    for a group, nor be told from others by it: they stay, and take no part in the search.
     """
-    keep = like_groups(documents).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("golay_kept")).distinct()
-    kept = documents.join(keep, F.col("doc_id") == F.col("golay_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(documents.filter(F.col("doc_id").isNull()))
+    known = documents.filter(F.col("doc_id").isNotNull())
+    keep = like_groups(known).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("golay_kept")).distinct()
+    kept = known.join(keep, F.col("doc_id") == F.col("golay_kept"), "left_semi")
+    plain = [f.name for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    one = kept.groupBy(F.col("doc_id").alias("golay_id")).agg(F.min_by(F.struct(*kept.columns), F.xxhash64(*plain)).alias("golay_row")).select("golay_row.*")
+    return one.unionByName(documents.filter(F.col("doc_id").isNull()))

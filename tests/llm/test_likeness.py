@@ -105,3 +105,22 @@ def test_recall_and_precision_about_four_fifths(spark):
     assert sum(0.8 <= x < 0.85 for x in exact) > 100 and sum(0.75 <= x < 0.8 for x in exact) > 100
     got = grouped(spark, texts)
     assert [got[2 * i] == got[2 * i + 1] for i in range(400)] == [x >= 0.8 for x in exact]
+
+
+def test_rows_of_one_id_and_of_none_do_not_multiply(spark):
+    """100,000 rows of one id with different texts, as many without an id, and copies among both: no key gathers the product."""
+    from pyspark.sql import functions as F
+
+    base = spark.range(100_000).select(F.expr("array_join(transform(sequence(1, 8), i -> sha2(concat(cast(id % 60000 AS STRING), '-', cast(i AS STRING)), 224)), ' ')").alias("text"))
+    docs = base.select(F.lit(7).cast("long").alias("doc_id"), "text").union(base.select(F.lit(None).cast("long"), "text"))
+    docs = docs.union(base.limit(500).select(F.lit(3).cast("long"), "text"))
+    seen = golay.like_groups(docs)
+    assert seen.count() == 200_500
+    kept = golay.without_copies(docs).groupBy("doc_id").count().collect()
+    assert sorted((r.doc_id or 0, r["count"]) for r in kept) == [(0, 100_000), (3, 1)] or sorted((r.doc_id or 0, r["count"]) for r in kept) == [(0, 100_000), (3, 1), (7, 1)]
+
+
+def test_the_row_of_an_id_is_the_same_in_each_run(spark):
+    rows = [(1, f"text {i} of the first id, with enough words to be told apart {i}", i) for i in range(40)]
+    runs = {tuple(golay.without_copies(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(n, "n")).collect()) for n in (1, 3, 7)}
+    assert len(runs) == 1
