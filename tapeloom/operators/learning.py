@@ -45,40 +45,79 @@ def ks_statistic(rows: DataFrame, early: int) -> DataFrame:
     return q.groupBy("symbol").agg(F.round(F.max("gap"), 6).alias("ks"), (F.max("gap") > 0.3).alias("drifted"))
 
 
-def _slice_steps(seconds: int):
-    gap = seconds * 1_000_000
+#: Instants of a block, about, and blocks that are composed at once.
+BLOCK, FAN = 20_000, 256
+STEPS = "event_type string, place long, hits long, upto array<long>, free array<long>, n array<long>"
+
+
+def _block_steps(gap: int, key: str = "event_type"):
+    """A block's instants -> a function from the time that a firing may be again to the same after the block, and how many fired.
+
+    It is a list of steps: the first with `upto` at or after that time says it, and past the last one nothing fires and the time stays. Nothing that fired
+    before the block can hold back longer than its first instant and the gap, so instants beyond are only followed.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(rows["at"].to_numpy())
-        last, n = at.copy(), np.ones(len(at), np.int64)
-        then = np.searchsorted(at, at + gap)
-        cur = then.copy()
-        while (cur < len(at)).any():  # along all chains of the slice at once, a firing further each time
-            on = np.flatnonzero(cur < len(at))
-            last[on], n[on] = at[cur[on]], n[on] + 1
-            cur[on] = then[cur[on]]
-        # what follows is a function of the time from which a firing may be: only where it changes is passed on
-        ends = np.flatnonzero(np.concatenate([(last[1:] != last[:-1]) | (n[1:] != n[:-1]), [True]]))
-        steps = [{"upto": int(at[i]), "n": int(n[i]), "last": int(last[i])} for i in ends]
-        return pd.DataFrame({"event_type": [rows["event_type"].iloc[0]], "slice": [rows["slice"].iloc[0]], "hits": [len(at)], "steps": [steps]})
+        rows = rows.sort_values("at")
+        at = rows["at"].to_numpy()
+        follow = np.searchsorted(at, at + gap, "left")
+        free, n = [0] * len(at), [0] * len(at)
+        for i, j in zip(range(len(at) - 1, -1, -1), follow[::-1].tolist(), strict=True):
+            free[i], n[i] = (free[j], n[j] + 1) if j < len(at) else (int(at[i]) + gap, 1)
+        entries = min(len(at), int(follow[0]) + 1)
+        steps = _merged(at[:entries].tolist(), free[:entries], n[:entries])
+        return pd.DataFrame([(rows[key].iloc[0], int(rows["place"].iloc[0]), int(rows["hits"].sum()), *steps)], columns=[c.split()[0] for c in STEPS.split(", ")])
 
     return run
 
 
-def cooldown(events: DataFrame, seconds: int, slice_seconds: int = 3600) -> DataFrame:
-    """Events of a type fire only so long after the last one that fired.
+def _merged(upto: list[int], free: list[int], n: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Steps without those that the next one says as well."""
+    keep = [i for i in range(len(upto)) if i == len(upto) - 1 or (free[i], n[i]) != (free[i + 1], n[i + 1])]
+    return [upto[i] for i in keep], [free[i] for i in keep], [n[i] for i in keep]
 
-    Each slice of time is a function from the time that a firing may be again to what fires in it; slices of all types
-    are worked out side by side, and then only these functions are folded in order: a row for each slice, whatever the
-    number of events.
-    """
-    rows = events.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).withColumn("slice", F.floor(F.col("at") / (slice_seconds * 1_000_000)))
-    parts = rows.groupBy("event_type", "slice").applyInPandas(_slice_steps(seconds), "event_type string, slice long, hits long, steps array<struct<upto:long,n:long,last:long>>")
-    series = parts.groupBy("event_type").agg(F.sum("hits").alias("hits"), F.array_sort(F.collect_list(F.struct("slice", "steps"))).alias("slices"))
 
-    def follow(s, part):
-        step = F.get(F.filter(part.steps, lambda x: x.upto >= s.free), F.lit(0))
-        return F.when(step.isNull(), s).otherwise(F.struct((step.last + seconds * 1_000_000).alias("free"), (s.n + step.n).alias("n")))
+def _composed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Functions of blocks in a row -> the one of all of them."""
+    rows = rows.sort_values("place")
+    upto, free, n = [], [], []
+    for r in rows.itertuples(index=False):
+        own = [int(x) for x in r.upto], [int(x) for x in r.free], [int(x) for x in r.n]
+        at = np.searchsorted(own[0], free, "left").tolist() if free else []
+        n = [m + (own[2][i] if i < len(own[0]) else 0) for m, i in zip(n, at, strict=True)]
+        free = [own[1][i] if i < len(own[0]) else f for f, i in zip(free, at, strict=True)]
+        first = int(np.searchsorted(own[0], upto[-1], "right")) if upto else 0
+        upto, free, n = _merged(upto + own[0][first:], free + own[1][first:], n + own[2][first:])
+    return pd.DataFrame([(rows["event_type"].iloc[0], int(rows["place"].iloc[0]) // FAN, int(rows["hits"].sum()), upto, free, n)], columns=[c.split()[0] for c in STEPS.split(", ")])
 
-    fired = F.aggregate("slices", F.struct(F.lit(-(1 << 62)).cast("long").alias("free"), F.lit(0).cast("long").alias("n")), follow, lambda s: s.n)
-    return series.select("event_type", "hits", fired.alias("fired"))
+
+def cooldown(events: DataFrame, seconds: int, block: int = BLOCK) -> DataFrame:
+    """Events of a type fire only so long after the last one that fired: event_type, hits and how many fired.
+
+    Events of one instant are counted first. A type's time is cut into blocks of about `block` instants, and blocks that hold many more once again, so that a dense hour is
+    many blocks. Each block becomes a function of what enters it, all side by side, and functions are composed FAN at a time until one of a type is left: no
+    group holds more than a block or FAN functions, whatever the number of events and however dense they are.
+
+    Defined results: rows without a type are a type of their own, those without a time count for nothing; an empty table gives an empty result.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    instants = events.filter(F.col("ts").isNotNull()).groupBy("event_type", at.alias("at")).agg(F.count("*").alias("hits"))
+    same = lambda a, b: a["event_type"].eqNullSafe(b["event_type"])
+    spans = instants.groupBy("event_type").agg(F.min("at").alias("begin"), F.ceil(F.count("*") / block).alias("parts"), (F.max("at") - F.min("at") + 1).alias("span"))
+    cut = instants.join(spans, same(instants, spans)).drop(spans["event_type"])
+    coarse = cut.withColumn("width", F.greatest(F.lit(1), F.ceil(F.col("span") / F.col("parts")))).withColumn("coarse", F.floor((F.col("at") - F.col("begin")) / F.col("width")))
+    sizes = coarse.groupBy("event_type", "coarse").agg(F.ceil(F.count("*") / block).alias("fine_parts"))
+    fine = coarse.join(sizes, same(coarse, sizes) & (coarse["coarse"] == sizes["coarse"])).drop(sizes["event_type"]).drop(sizes["coarse"])
+    inside = F.col("at") - F.col("begin") - F.col("coarse") * F.col("width")
+    fine = fine.withColumn("fine", F.floor(inside / F.greatest(F.lit(1), F.ceil(F.col("width") / F.col("fine_parts")))))
+    named = fine.select("event_type", "at", "hits", (F.col("coarse") * (1 << 32) + F.col("fine")).alias("place"))
+    steps = named.groupBy("event_type", "place").applyInPandas(_block_steps(seconds * 1_000_000), STEPS)
+    # blocks are few, a row for each: numbered without gaps, and composed level by level
+    steps = steps.withColumn("place", (F.row_number().over(Window.partitionBy("event_type").orderBy("place")) - 1).cast("long"))
+    left = spans.agg(F.max("parts")).first()[0] or 1
+    blocks = 2 * left + 1
+    while True:
+        steps = steps.groupBy("event_type", F.floor(F.col("place") / FAN).alias("group")).applyInPandas(_composed, STEPS)
+        blocks = -(-blocks // FAN)
+        if blocks <= 1:
+            return steps.select("event_type", "hits", F.get("n", F.lit(0)).alias("fired"))

@@ -45,9 +45,31 @@ def test_cooldown_is_that_of_a_loop(spark, seconds):
                 last, n = at, n + 1
         want[t] = (sum(k == t for k, _ in events), n)
     df = spark.createDataFrame(events, "event_type string, ts timestamp")
-    for width in (60, 3600, 50_000):
-        assert {r.event_type: (r.hits, r.fired) for r in learning.cooldown(df, seconds, width).collect()} == want
+    for block in (60, 3600, 50_000):
+        assert {r.event_type: (r.hits, r.fired) for r in learning.cooldown(df, seconds, block).collect()} == want
     assert learning.cooldown(df.limit(0), seconds).collect() == []
+    # several levels of functions, each of a few
+    before, learning.FAN = learning.FAN, 3
+    try:
+        assert {r.event_type: (r.hits, r.fired) for r in learning.cooldown(df, seconds, 12).collect()} == want
+    finally:
+        learning.FAN = before
+
+
+def test_a_dense_type_is_cut_into_blocks(spark):
+    """A million events of one type, nine tenths of them within one cool-down: no group holds more than a few blocks, and the count is that of a loop."""
+    from pyspark.sql import functions as F
+
+    seconds = F.when(F.col("id") % 10 == 0, F.col("id") * 0.37).otherwise(100_000 + F.col("id") * 0.0005)
+    df = spark.range(1_000_000).select(F.lit("t").alias("event_type"), F.timestamp_micros((F.lit(1_600_000_000_000_000) + F.floor(seconds * 1_000_000)).cast("long")).alias("ts"))
+    import numpy as np
+
+    i = np.arange(1_000_000)
+    at = np.sort(np.floor(np.where(i % 10 == 0, i * 0.37, 100_000 + i * 0.0005) * 1e6).astype(np.int64))
+    n, k = 0, 0
+    while k < len(at):
+        n, k = n + 1, int(np.searchsorted(at, at[k] + 3_600_000_000, "left"))
+    assert [(r.hits, r.fired) for r in learning.cooldown(df, 3600).collect()] == [(1_000_000, n)]
 
 
 def test_solves():
