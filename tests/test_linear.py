@@ -78,3 +78,38 @@ def test_one_row_and_none(spark):
     one = df.filter("ts = 0 AND symbol = 0")
     assert linear.orthogonal_factors(one, names).select("q").first()[0] == [0.0, 0.0, 0.0]
     assert linear.regressions(one, names, "y").collect() == [] and linear.orthogonal_factors(df.filter(F.lit(False)), names).collect() == []
+
+
+def plain_mixture(x, k, rounds):
+    z = (x - x.mean(0)) / x.std(0)
+    n, d = z.shape
+    w, m, c = np.full(k, 1 / k), np.zeros((k, d)), np.repeat(np.eye(d)[None], k, 0)
+    m[:, 0] = np.linspace(-1, 1, k)
+    seen = []
+    for _ in range(rounds):
+        p = np.stack([w[j] * np.exp(-0.5 * np.einsum("ni,ij,nj->n", z - m[j], np.linalg.inv(c[j]), z - m[j])) / np.sqrt((2 * np.pi) ** d * np.linalg.det(c[j])) for j in range(k)], 1)
+        seen.append(np.log(p.sum(1)).mean())
+        r = p / p.sum(1, keepdims=True)
+        w = r.mean(0)
+        m = r.T @ z / r.sum(0)[:, None]
+        c = np.stack([((z - m[j]) * r[:, [j]]).T @ (z - m[j]) / r[:, j].sum() + 1e-6 * np.eye(d) for j in range(k)])
+    return w, m, c, seen
+
+
+def test_mixture_is_that_of_a_loop_and_likelihood_does_not_fall(spark):
+    from tapeloom.operators import mixture
+
+    rng = np.random.default_rng(5)
+    true = rng.integers(0, 3, 900)
+    x = rng.normal(size=(900, 4)) @ (np.eye(4) + 0.3) + np.array([[-4, 1, 0, 0], [0, 0, 2, 0], [4, -1, 0, 3]])[true]
+    rows = [(i, i, *map(float, v)) for i, v in enumerate(x)] + [(1000, 0, float("nan"), 0.0, 0.0, 0.0), (1001, 0, None, 0.0, 0.0, 0.0), (1002, 0, float("inf"), 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "symbol int, ts int, a double, b double, c double, d double").repartition(5)
+    model = mixture.fit(df, list("abcd"), rounds=12, gain=-1)
+    w, m, c, seen = plain_mixture(x, 3, 12)
+    assert model.weights == pytest.approx(w) and model.means == pytest.approx(m, abs=1e-8) and model.covariances == pytest.approx(c, abs=1e-8)
+    assert model.likelihoods == pytest.approx(seen) and all(b >= a - 1e-9 for a, b in zip(seen, seen[1:], strict=False))
+    out = mixture.regimes(df, list("abcd"), mixture.fit(df, list("abcd"))).collect()
+    assert len(out) == 900 and np.mean([r.regime == true[r.symbol] for r in out]) > 0.9
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in out)
+    with pytest.raises(ValueError):
+        mixture.fit(df.filter("symbol > 999"), list("abcd"))
