@@ -94,11 +94,9 @@ def scores(table: np.ndarray, bias: float, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -60, 60)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """The folded table (a number for each bucket) and the bias, by AdaGrad on documents in a seeded order."""
-    if len(np.unique(labels)) < 2:
-        return np.zeros(BUCKETS, np.float32), -60.0
-    parts, seen, held = [], np.zeros(BUCKETS, np.int32), []
+def _pairs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of whole texts: the first one's number, and row, bucket and weight of all their different features."""
+    held = []
     for lo, hi, data, bounds, done in pieces(*buffers(flat(texts)), 1 << 18):
         found = list(subwords(data, bounds))
         if found:
@@ -110,19 +108,31 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
         count = np.bincount(which, np.concatenate([x[1] for x in held]), minlength=len(pair))
         held = []
         row, bucket = pair // BUCKETS, pair % BUCKETS
-        weight = count / np.bincount(row, count, minlength=hi - lo)[row]
-        seen += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
-        parts.append(((row + lo).astype(np.int32), bucket.astype(np.int32), weight.astype(np.float32)))
-    if not parts:
+        yield lo, row, bucket, count / np.bincount(row, count, minlength=hi - lo)[row]
+
+
+def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """The folded table (a number for each bucket) and the bias, by AdaGrad on documents in a seeded order.
+
+    The texts are gone through twice: what is in too few documents is known before anything is kept, and what is kept is written into
+    arrays of its size, so that the driver never holds more than that.
+    """
+    if len(np.unique(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), -60.0
-    # what is in too few documents is left out before the parts are put together, to keep the driver small
+    seen = np.zeros(BUCKETS, np.int32)
+    for _, _, bucket, _ in _pairs(texts):
+        seen += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
     common = seen >= max(2, len(labels) // MIN_SHARE)
-    for i, part in enumerate(parts):
-        parts[i] = tuple(x[common[part[1]]] for x in part)
-    row, bucket, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    if not len(row):
+    size = int(seen[common].sum())
+    if not size:
         return np.zeros(BUCKETS, np.float32), -60.0
+    row, bucket, weight = np.empty(size, np.int32), np.empty(size, np.int32), np.empty(size, np.float32)
+    at = 0
+    for lo, own, what, share in _pairs(texts):
+        use = common[what]
+        end = at + int(use.sum())
+        row[at:end], bucket[at:end], weight[at:end] = own[use] + lo, what[use], share[use]
+        at = end
     place = np.cumsum(common) - 1
     used, bucket = np.flatnonzero(common), place.astype(np.int32)[bucket]
     first = np.searchsorted(row, np.arange(len(labels) + 1))
