@@ -125,23 +125,30 @@ class Page:
         self.inside: list[tuple[int, ...]] = []  # of each text: places of its open elements
         self.title = ""
         self.opened: list[tuple[str, str, int]] = []  # tag, path, place in tags
+        self.around: tuple[int, ...] | None = ()  # their places, until one is opened or closed
+        self.articles = 0
+        self.suspects: list[int] = []  # places of elements that HTML sets apart or that are named
         self.run: list[str] = []
         self.nodes: list[int] = []
         self.position = 0
         self.parse(source)
-        self.gone = self.dropped(frozenset())
+        gone = self.gone = self.dropped(frozenset())
+        tags = self.tags
         for said, places, *_ in self.blocks:
-            if not self.gone.intersection(places):
+            if not gone or gone.isdisjoint(places):
                 for place in places:
-                    self.tags[place][3] += len(said)
-        for entry, places in zip(self.texts, self.inside, strict=True):
-            if self.gone.intersection(places):
-                entry[3] = 0
+                    tags[place][3] += len(said)
+        if gone:
+            for entry, places in zip(self.texts, self.inside, strict=True):
+                if not gone.isdisjoint(places):
+                    entry[3] = 0
 
     def dropped(self, classed: frozenset[int] | set[int]) -> set[int]:
         """Places of the elements that are not the article's own; `classed`: keys of the elements of the template."""
         out = set()
-        for place, ((token, path, _, _), (_, apart, name, in_article, chars, linked)) in enumerate(zip(self.tags, self.about, strict=True)):
+        for place in self.suspects:
+            token, path, _, _ = self.tags[place]
+            _, apart, name, in_article, chars, linked = self.about[place]
             if apart:
                 out.add(place)
             elif name and chars:
@@ -188,18 +195,26 @@ class Page:
             node = key(path + "\0" + " ".join(words))
             self.nodes.append(node)
             self.texts.append([node, path, self.position, len(said)])
-            self.inside.append(tuple(x[2] for x in self.opened))
+            self.inside.append(self.places())
             self.position += 1
-            length = sum(map(len, words))
-            linked = length if any(x[0] == "a" for x in self.opened) else 0
-            for place in self.inside[-1]:
-                self.about[place][4] += length
-                self.about[place][5] += linked
+            if self.suspects:
+                named = [x[2] for x in self.opened if self.about[x[2]][2]]
+                if named:
+                    length = sum(map(len, words))
+                    linked = length if any(x[0] == "a" for x in self.opened) else 0
+                    for place in named:
+                        self.about[place][4] += length
+                        self.about[place][5] += linked
+
+    def places(self) -> tuple[int, ...]:
+        if self.around is None:
+            self.around = tuple(x[2] for x in self.opened)
+        return self.around
 
     def flush(self) -> None:
         said = WHITE.sub(" ", "".join(self.run)).strip() if self.run else ""
         if said:
-            self.blocks.append((said, tuple(x[2] for x in self.opened), tuple(self.nodes), any(x[0] == "article" for x in self.opened)))
+            self.blocks.append((said, self.places(), tuple(self.nodes), self.articles > 0))
         self.run, self.nodes = [], []
 
     def open(self, tag: str, said: str) -> None:
@@ -217,13 +232,19 @@ class Page:
         attributes = _attributes(said) if said.strip(" /") else {}
         names = ".".join(sorted(attributes.get("class", "").split()))
         path = f"{self.opened[-1][1] if self.opened else ''}>{tag}{'.' + names if names else ''}"
-        in_article = any(x[0] == "article" for x in self.opened)
-        self.about.append([self.opened[-1][2] if self.opened else -1, _apart(tag, attributes, in_article), named(tag, attributes), in_article, 0, 0])
+        in_article = self.articles > 0
+        apart, name = _apart(tag, attributes, in_article), named(tag, attributes) if attributes else UNNAMED
+        if apart or name:
+            self.suspects.append(len(self.tags))
+        self.about.append([self.opened[-1][2] if self.opened else -1, apart, name, in_article, 0, 0])
         self.opened.append((tag, path, len(self.tags)))
+        self.articles += tag == "article"
+        self.around = None
         self.tags.append([key(path), path, self.position, 0])
         self.position += 1
         if said.rstrip().endswith("/") and tag in ("svg", "path", "use", "circle", "rect"):
             self.opened.pop()
+            self.around = None
 
     def close(self, tag: str, within: frozenset[str] = frozenset()) -> None:
         """Close the innermost open element of that name; not past an element of `within`."""
@@ -231,7 +252,9 @@ class Page:
             if self.opened[i][0] == tag:
                 if any(x[0] in BLOCK for x in self.opened[i:]):
                     self.flush()
+                self.articles -= sum(x[0] == "article" for x in self.opened[i:])
                 del self.opened[i:]
+                self.around = None
                 return
             if self.opened[i][0] in within:
                 return
@@ -263,11 +286,11 @@ class Page:
                 sure |= {t for t, kind in zip(c["tokens"], c["kinds"], strict=True) if kind == HELD}
         return fixed, sure
 
-    def extract(self, anchor: int | None, classes: list[dict] | None = None) -> str:
-        """The main element's blocks, without parts that are not its own and text nodes of the template."""
+    def extract(self, anchor: int | None, classes: list[dict] | None = None, classed: list[int] | None = None) -> str:
+        """The main element's blocks, without parts that are not its own and text nodes of the template; `classed`: keys of its named elements."""
         roots = self.main(anchor)
-        gone = self.dropped({t for c in classes or [] for t, kind in zip(c["tokens"], c["kinds"], strict=True) if kind == TAG})
-        kept = [b for b in self.blocks if not gone.intersection(b[1]) and (not roots or roots.intersection(b[1]))]
+        gone = self.dropped(set(classed)) if classed else self.gone
+        kept = [b for b in self.blocks if gone.isdisjoint(b[1]) and (not roots or not roots.isdisjoint(b[1]))]
         fixed, sure = self.said_by(classes or [])
         own = [b for b in kept if b[0] == self.title or not b[2] or not set(b[2]) <= (sure if b[3] else fixed)]
         return "\n".join(b[0] for b in (own if any(b[0] != self.title for b in own) else kept))
@@ -308,7 +331,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names=[x.split()[0] for x in TOKEN_SCHEMA.split(", ")])
 
 
-CLASS_SCHEMA = "host string, class int, parent int, pages long, tokens array<long>, kinds array<int>, paths array<string>, main long"
+CLASS_SCHEMA = "host string, class int, parent int, pages long, tokens array<long>, kinds array<int>, paths array<string>, main long, named array<long>"
 
 
 def nested(groups: list[pd.DataFrame]) -> list[tuple[pd.DataFrame, int]]:
@@ -363,7 +386,8 @@ def _nest(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for number, (g, parent) in enumerate(classes):
         kinds = [TAG if not text else HELD if (path, v, p, t) in of else TEXT for text, path, v, p, t in zip(g["text"], g["path"], g["vector"], g["pages"], g["times"], strict=True)]
-        out.append((host, number, parent, int(g["pages"].iloc[0]), g["token"].tolist(), kinds, g["path"].tolist(), main))
+        suspects = [t for t, path, kind in zip(g["token"], g["path"], kinds, strict=True) if kind == TAG and "." in path.rpartition(">")[2] and named(_name(path), {"class": path.rpartition(">")[2].partition(".")[2].replace(".", " ")})]
+        out.append((host, number, parent, int(g["pages"].iloc[0]), g["token"].tolist(), kinds, g["path"].tolist(), main, suspects))
     return pd.DataFrame(out, columns=[x.split()[0] for x in CLASS_SCHEMA.split(", ")]).astype({"main": "Int64"})
 
 
@@ -390,8 +414,9 @@ def templates(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     classes = materialise(templates(pages), "templates")
-    # of a template: its main slot and its classes
-    each = classes.groupBy("host").agg(F.first("main").alias("main"), F.collect_list(F.struct("tokens", "kinds")).alias("classes"), F.sum(F.size("tokens")).alias("held"))
+    # of a template: its main slot, the classes that have words, and elements with the name of a part that is not the article's
+    words = F.expr("filter(collect_list(struct(tokens, kinds)), c -> exists(c.kinds, k -> k > 0))")
+    each = classes.groupBy("host").agg(F.first("main").alias("main"), words.alias("classes"), F.flatten(F.collect_list("named")).alias("named"), F.sum(F.size("tokens")).alias("held"))
     each = materialise(each, "template-slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,16 +424,16 @@ def extract(pages: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 texts = []
-                for source, main, classes in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-                    texts.append(Page(source).extract(main, classes) if source else "")
+                for source, main, classes, classed in zip(*(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                    texts.append(Page(source).extract(main, classes, classed) if source else "")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    hosted, each = with_host(pages), each.select("host", "main", "classes", "held")
+    hosted, each = with_host(pages), each.select("host", "main", "classes", "named", "held")
     if (each.agg(F.sum("held")).first()[0] or 0) <= FEW_TOKENS:
         joined = hosted.join(F.broadcast(each), "host", "left")
     else:
         # pages of a host are dealt to SALTS tasks, each with the host's template
         salted = each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    joined = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "classes")
+    joined = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "classes", "named")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
