@@ -93,16 +93,6 @@ def preferences(spark: SparkSession, tried: dict[str, list[float]] | None = None
     return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), *tried)))
 
 
-def drift_status(rows: DataFrame, window: int = 40) -> DataFrame:
-    """symbol, ts, x: what is left of each symbol's last window after its first cut, and whether to train again."""
-    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
-    kept = rows.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= window).withColumn("place", F.row_number().over(W()))
-    cuts = engines.cut_scan(rows, window).select("symbol", "cut", "drifted")
-    after = kept.join(cuts, "symbol", "left").filter(F.col("place") > F.coalesce("cut", F.lit(0)))
-    out = after.groupBy("symbol").agg(F.max(F.coalesce("drifted", F.lit(0))).alias("splits"), F.count("*").alias("size"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
-    return out.withColumn("advice", F.when(F.col("splits") > 0, "train_again").otherwise("keep"))
-
-
 def event_equity(orders: DataFrame, shares: int = 10, capital: float = 1e5, worst: float = 0.15, share: float = 0.3) -> DataFrame:
     """symbol, ts, close, side and price, the fill's or null -> cash, quantity, trades and equity after each bar, by one scan.
 

@@ -6,7 +6,9 @@ one purse couples symbols: it is folded by date over the orders of that date, fo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import random
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +57,69 @@ def chosen(runs: DataFrame, train: int = 40) -> DataFrame:
     return runs.filter(F.col("rn") > train).join(best, ["symbol", "short"]).groupBy("symbol", "short").agg(F.count("*").alias("bars"), (F.exp(F.sum(F.log1p("gain"))) - 1).alias("after"))
 
 
+#: Stops, targets and lengths of the mean that the grid combines: fixed values.
+STOPS, TAKES, MEANS = (0.03, 0.05, 0.07), (0.06, 0.10, 0.15), (10, 20, 30)
+#: By number from 0: stop, target, length of the mean.
+Settings = Sequence[tuple[float, float, int]]
+
+
+def whole_grid() -> Settings:
+    """All combinations, the last part changing fastest."""
+    return list(itertools.product(STOPS, TAKES, MEANS))
+
+
+def drawn(n: int = 20, seed: int = 42) -> Settings:
+    """n settings drawn evenly from between the grid's least and greatest values, the same for a seed."""
+    rng = random.Random(seed)
+    return [(round(rng.uniform(STOPS[0], STOPS[-1]), 6), round(rng.uniform(TAKES[0], TAKES[-1]), 6), rng.randint(MEANS[0], MEANS[-1])) for _ in range(n)]
+
+
+def tried(bars: DataFrame, settings: Settings) -> DataFrame:
+    """symbol, run (no, stop, take, mean), ts, gain: what each bar brings a position that is entered at a close above the mean, and left at one past the stop or the target or below the mean.
+
+    A symbol's bars are gathered once and folded for each setting in the JVM. A mean of fewer bars than its length is that of the bars there are.
+    """
+    lengths = sorted({k for _, _, k in settings})
+    b = bars.select("symbol", "ts", "close", F.lag("close").over(W()).alias("prev"), F.array(*(F.avg("close").over(last(k)) for k in lengths)).alias("means"))
+    runs = F.array(*(F.struct(F.lit(no).alias("no"), F.lit(s).alias("stop"), F.lit(t).alias("take"), F.lit(k).alias("mean"), F.lit(lengths.index(k)).alias("at")) for no, (s, t, k) in enumerate(settings)))
+
+    def step(s: Column, x: Column) -> dict[str, Column]:
+        held, mean = s.entry > 0, F.get(x.means, F.col("run.at"))
+        made = F.coalesce(div(x.close, s.entry), F.lit(1.0)) - 1
+        leave = held & ((made < -F.col("run.stop")) | (made > F.col("run.take")) | (x.close < mean))
+        return {"entry": F.when(leave, 0.0).when(~held & (x.close > mean), x.close).otherwise(s.entry), "gain": F.when(held, F.coalesce(div(x.close, x.prev), F.lit(1.0)) - 1).otherwise(0.0)}
+
+    return fold(b, ["close", "prev", "means"], {"entry": zero(), "gain": zero()}, step, runs).select("symbol", "run", "ts", "gain")
+
+
+def walked(gains: DataFrame, train: int = 60, test: int = 20) -> DataFrame:
+    """symbol, window (from 0), run, of the setting that is best on the window's `train` bars by its ratio (the first of equals), with that ratio, and what it makes on the `test` bars after them.
+
+    Every window of every setting is a difference of running sums, so no bar is read once a window: one sort by symbol and setting.
+    """
+    w = Window.partitionBy("symbol", "run").orderBy("ts")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"logs": F.log1p("gain"), "ones": F.col("gain"), "squares": F.col("gain") * F.col("gain")}
+    q = gains.select("symbol", "run", "ts", F.row_number().over(w).alias("rn"), *(F.sum(v).over(so_far).alias(k) for k, v in sums.items()))
+    back = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.lit(0.0))
+    q = q.select("symbol", "run", "rn", F.expm1(F.col("logs") - back("logs", test)).alias("after"), *(((back(c, test) - back(c, train + test)) / train).alias(c) for c in ("ones", "squares")))
+    q = q.filter((F.col("rn") >= train + test) & ((F.col("rn") - train) % test == 0)).withColumn("window", ((F.col("rn") - train) / test - 1).cast("long"))
+    best = F.max_by(F.struct("run", "ratio", "after"), F.struct("ratio", (-F.col("run.no")).alias("first"))).alias("b")
+    return q.withColumn("ratio", ratio_of(F.col("ones"), F.col("squares"))).groupBy("symbol", "window").agg(best).select("symbol", "window", "b.run", "b.ratio", "b.after")
+
+
+def ratio_of(mean: Column, square: Column) -> Column:
+    """Mean over deviation, to nine digits; 0 where nothing varies."""
+    spread = square - mean * mean
+    return F.when(spread > 1e-14, F.round(mean / F.sqrt(spread), 9)).otherwise(0.0)
+
+
+def best_setting(gains: DataFrame) -> DataFrame:
+    """symbol, run, ratio, total: the setting that is best over all of a symbol's bars, the first of equals."""
+    one = gains.groupBy("symbol", "run").agg(ratio_of(F.avg("gain"), F.avg(F.col("gain") * F.col("gain"))).alias("ratio"), F.expm1(F.sum(F.log1p("gain"))).alias("total"))
+    return one.groupBy("symbol").agg(F.max_by(F.struct("run", "ratio", "total"), F.struct("ratio", (-F.col("run.no")).alias("first"))).alias("b")).select("symbol", "b.run", "b.ratio", "b.total")
+
+
 def order_fills(orders: DataFrame) -> DataFrame:
     """Orders (side, kind, price, level, open, high, low) -> fill price, or null: market at the open with slippage, limits and stops where the bar reaches their level."""
     buy = F.col("side") == "buy"

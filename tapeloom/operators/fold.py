@@ -19,8 +19,11 @@ from tapeloom.operators.timeseries import W, true_range
 CHUNK = 512
 
 
-def fold(bars: DataFrame, columns: list[str], start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
-    """symbol, ts and the state after each bar. step gets the state and the bar (with `i`, its place from 0)."""
+def fold(bars: DataFrame, columns: list[str], start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], runs: Column | None = None) -> DataFrame:
+    """symbol, ts and the state after each bar. step gets the state and the bar (with `i`, its place from 0).
+
+    runs is an array of settings: a series is gathered once and folded for each of them, which step reads as column `run`, and which the rows carry.
+    """
     series = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", *columns))).alias("bars"))
     series = series.withColumn("bars", F.transform("bars", lambda x, i: F.struct(i.alias("i"), *(x[c].alias(c) for c in ["ts", *columns]))))
     state = lambda values: F.struct(*(v.cast("double").alias(k) for k, v in values.items()))
@@ -29,11 +32,14 @@ def fold(bars: DataFrame, columns: list[str], start: dict[str, Column], step: Ca
     # one more state, worked out once and put at the end
     add = lambda acc, x: F.get(F.transform(F.array(state(step(acc.s, x))), lambda s: F.struct(s.alias("s"), F.concat(acc.out, F.array(s)).alias("out"))), F.lit(0))
     series = series.withColumn("bars", F.transform(F.sequence(F.lit(0), F.floor((F.size("bars") - 1) / CHUNK).cast("int")), lambda k: F.slice("bars", k * CHUNK + 1, CHUNK)))
+    if runs is not None:
+        series = series.withColumn("run", F.explode(runs))
+    kept = ["symbol"] if runs is None else ["symbol", "run"]
     # by chunks: a chunk's states are copied as it grows, and the chunks are joined at the end
     chunk = lambda acc, part: F.aggregate(part, F.struct(acc.s.alias("s"), none.alias("out")), add, lambda a: F.struct(a.s.alias("s"), F.concat(acc.outs, F.array(a.out)).alias("outs")))
     out = F.aggregate("bars", F.struct(state(start).alias("s"), F.array().cast(f"array<array<struct<{kind}>>>").alias("outs")), chunk, lambda acc: F.flatten(acc.outs))
-    series = series.select("symbol", F.flatten("bars").alias("bars"), out.alias("state"))
-    return series.select("symbol", F.explode(F.arrays_zip(F.col("bars.ts").alias("ts"), "state")).alias("row")).select("symbol", "row.ts", "row.state.*")
+    series = series.select(*kept, F.flatten("bars").alias("bars"), out.alias("state"))
+    return series.select(*kept, F.explode(F.arrays_zip(F.col("bars.ts").alias("ts"), "state")).alias("row")).select(*kept, "row.ts", "row.state.*")
 
 
 def zero() -> Column:

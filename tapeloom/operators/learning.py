@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.operators.drift import ks_p_value
 from tapeloom.operators.timeseries import W
 
 
@@ -36,13 +37,12 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 
 def ks_statistic(rows: DataFrame, early: int) -> DataFrame:
-    """The greatest gap between the distributions of a symbol's first returns and of its others; drift above 0.3."""
+    """The greatest gap between the distributions of a symbol's first returns and of its others, its chance if they were one, and drift: above 0.3."""
     q = rows.select("symbol", "ret", F.when(F.col("rn") <= early, 1).otherwise(0).alias("e"))
     w, whole = Window.partitionBy("symbol").orderBy("ret").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("symbol")
-    a, b = F.sum("e").over(whole), F.sum(1 - F.col("e")).over(whole)
-    gap = F.abs(F.sum("e").over(w) / a - F.sum(1 - F.col("e")).over(w) / b)
-    q = q.select("symbol", F.when((a > 0) & (b > 0), gap).alias("gap")).filter("gap is not null")
-    return q.groupBy("symbol").agg(F.round(F.max("gap"), 6).alias("ks"), (F.max("gap") > 0.3).alias("drifted"))
+    q = q.select("symbol", F.sum("e").over(w).alias("up"), F.sum(1 - F.col("e")).over(w).alias("other"), F.sum("e").over(whole).alias("a"), F.sum(1 - F.col("e")).over(whole).alias("b")).filter("a > 0 AND b > 0")
+    out = q.groupBy("symbol").agg(F.max(F.abs(F.col("up") / F.col("a") - F.col("other") / F.col("b"))).alias("gap"), F.max("a").alias("a"), F.max("b").alias("b"))
+    return out.select("symbol", F.round("gap", 6).alias("ks"), F.round(ks_p_value(F.col("gap"), F.col("a"), F.col("b")), 6).alias("p"), (F.col("gap") > 0.3).alias("drifted"))
 
 
 #: Instants of a block, about, and blocks that are composed at once.

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.operators import composites, fold
+from tapeloom.operators import composites, drift, fold
 from tapeloom.operators.steps import doubles
 from tapeloom.operators.timeseries import W as BY_SYMBOL
-from tapeloom.plans.engines import orders
+from tapeloom.plans.engines import orders, windows_sql
 from tapeloom.plans.ladders import FUNDAMENTALS, HELD, SNAP, held, register, snap, valued
 from tapeloom.plans.registry import ALL, DIMS, W, over, query
 from tapeloom.plans.series import _DIFFS, RECURSIVE, rounded, wilder_sql
@@ -54,14 +54,16 @@ def c19(spark, d):
     return composites.preferences(spark)
 
 
-@query("c10_drift_status", f"""WITH {SNAP}, e0 AS (SELECT symbol, ts, abs(ret - lag(ret_mean) {W}) AS x FROM snap), q AS (SELECT symbol, ts, x, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM e0 WHERE x IS NOT NULL),
-z AS (SELECT symbol, count(*) {ALL} AS n0, sum(x) {ALL} AS s0, count(*) OVER (PARTITION BY symbol) AS m, sum(x) OVER (PARTITION BY symbol) AS s FROM q WHERE back <= 40), y AS (SELECT symbol, n0, abs(s0 / n0 - (s - s0) / (m - n0)) AS gap, sqrt(m / (2.0::DOUBLE * n0 * (m - n0)) * ln(4 * ln(m) / 0.002::DOUBLE)) AS bound FROM z WHERE n0 >= 5 AND m - n0 >= 5 AND n0 <= floor(m / 2)),
-u AS (SELECT symbol, min(CASE WHEN gap > bound THEN n0 END) AS cut, max(CASE WHEN gap > bound THEN 1 ELSE 0 END) AS drifted FROM y GROUP BY 1), k AS (SELECT symbol, x, row_number() {W} AS place FROM q WHERE back <= 40), v AS (SELECT k.symbol, x, coalesce(drifted, 0) AS drifted FROM k LEFT JOIN u ON k.symbol = u.symbol WHERE place > coalesce(cut, 0))
-SELECT symbol, max(drifted)::INTEGER AS splits, count(*) AS size, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, CASE WHEN max(drifted) > 0 THEN 'train_again' ELSE 'keep' END AS advice FROM v GROUP BY 1""")
+_ERRORS = f"{SNAP}, e0 AS (SELECT symbol, ts, abs(ret - lag(ret_mean) {W}) AS x FROM snap)"
+
+
+@query("c10_drift_status", f"""WITH RECURSIVE {_ERRORS}, {windows_sql('e0', 'both_sides')}, o AS (SELECT symbol, max(i) AS n, max_by(i - start, i) AS size FROM f WHERE i > 0 GROUP BY 1)
+SELECT o.symbol, sum(CASE WHEN f.cut > 0 THEN 1 ELSE 0 END)::BIGINT AS splits, max(o.size) AS size, round(avg(CASE WHEN p.i > n - size THEN x END), 6) AS mean, round(stddev_pop(CASE WHEN p.i > n - size THEN x END), 6) AS std,
+CASE WHEN max(CASE WHEN p.i > n - size AND f.cut > 0 THEN 1 ELSE 0 END) > 0 THEN 'train_again' ELSE 'keep' END AS advice FROM o JOIN p USING (symbol) JOIN f ON f.symbol = p.symbol AND f.i = p.i WHERE p.i > 0 GROUP BY 1""")
 def c10(spark, d):
     """Errors of a forecast: the mean of the last twenty returns against the next one."""
     errors = snap(spark, d).select("symbol", "ts", F.abs(F.col("ret") - F.lag("ret_mean").over(BY_SYMBOL())).alias("x"))
-    return composites.drift_status(errors.filter("x IS NOT NULL"))
+    return drift.status(errors).select("symbol", "splits", "size", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "advice")
 
 
 def event_orders(spark: SparkSession, d: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators import engines, fold, optimise
+from tapeloom.operators import drift, engines, fold, optimise
 from tapeloom.operators.timeseries import W as BY_SYMBOL
 from tapeloom.operators.timeseries import last, returns, rsi_cutler
 from tapeloom.plans.ladders import SNAP, _cutler, snap
-from tapeloom.plans.registry import ALL, MONTHLY, RETURNS, WEEKLY, W, over, query
+from tapeloom.plans.registry import ALL, DIMS, MONTHLY, RETURNS, WEEKLY, W, over, query
 from tapeloom.plans.series import RECURSIVE
 from tapeloom.sources import market as m
 
@@ -44,6 +44,40 @@ def b05(spark, d):
     return engines.chosen(engines.grid(m.monthly_bars(spark, d))).select("symbol", "short", "bars", F.round("after", 5).alias("after"))
 
 
+def _tried_sql(bars: str, settings: engines.Settings) -> str:
+    """CTEs up to f: the gain of each bar of each setting."""
+    lengths = sorted({k for _, _, k in settings})
+    rows = ", ".join(f"({no}, {s}::DOUBLE, {t}::DOUBLE, {k})" for no, (s, t, k) in enumerate(settings))
+    mean = "CASE length " + " ".join(f"WHEN {k} THEN m{k}" for k in lengths) + " END"
+    keyed = f"{bars}, st AS (SELECT * FROM (VALUES {rows}) v(no, stop, take, length)), mb AS (SELECT symbol, ts, close, lag(close) {W} AS prev, {', '.join(f'avg(close) {over(k)} AS m{k}' for k in lengths)} FROM bars), tb AS MATERIALIZED (SELECT row(symbol, no) AS symbol, ts, close, prev, stop, take, {mean} AS mean FROM mb, st)"
+    held, made = "f.entry > 0", "(b.close / nullif(f.entry, 0) - 1)"
+    step = f"CASE WHEN {held} AND ({made} < -b.stop OR {made} > b.take OR b.close < b.mean) THEN 0.0 WHEN f.entry <= 0 AND b.close > b.mean THEN b.close ELSE f.entry END, CASE WHEN {held} THEN b.close / b.prev - 1 ELSE 0.0 END"
+    return RECURSIVE.format(bars=keyed, source="tb", first="CASE WHEN close > mean THEN close ELSE 0.0 END::DOUBLE AS entry, 0.0::DOUBLE AS gain", step=step).replace(" b AS (", " b AS MATERIALIZED (")
+
+
+_SUMS = ", ".join(f"sum({v}) OVER (PARTITION BY symbol ORDER BY ts) AS {k}" for k, v in (("logs", "ln(1 + gain)"), ("ones", "gain"), ("squares", "gain * gain")))
+_PAST = lambda c, k: f"coalesce(lag({c}, {k}) {W}, 0.0)"
+_RATIO = "CASE WHEN squares - ones * ones > 1e-14 THEN round(ones / sqrt(squares - ones * ones), 9) ELSE 0.0 END AS ratio"
+_CHOSEN = "no, st.stop, st.take, st.length AS mean, round(ratio, 6) AS ratio"
+
+
+def _settings(q: DataFrame, *more: str) -> DataFrame:
+    return q.select("symbol", *(["window"] if "window" in q.columns else []), "run.no", "run.stop", "run.take", "run.mean", F.round("ratio", 6).alias("ratio"), *(F.round(c, 6).alias(c) for c in more))
+
+
+@query("b05_rolling_walk_forward", f"{_tried_sql(WEEKLY, engines.whole_grid())}, s AS (SELECT symbol, ts, rn, {_SUMS} FROM f), q AS (SELECT symbol, rn, exp(logs - {_PAST('logs', 20)}) - 1 AS after, ({_PAST('ones', 20)} - {_PAST('ones', 80)}) / 60 AS ones, ({_PAST('squares', 20)} - {_PAST('squares', 80)}) / 60 AS squares FROM s), "
+f"k AS (SELECT symbol[1] AS symbol, symbol[2] AS no, (rn - 60) // 20 - 1 AS window, after, {_RATIO} FROM q WHERE rn >= 80 AND (rn - 60) % 20 = 0) SELECT symbol, window, {_CHOSEN}, round(after, 6) AS after FROM k JOIN st USING (no) QUALIFY row_number() OVER (PARTITION BY symbol, window ORDER BY ratio DESC, no) = 1".replace("window", '"window"'))
+def b05_rolling(spark, d):
+    """Windows of 60 weeks choose among 27 settings, and the 20 weeks after them show what the choice brings."""
+    return _settings(engines.walked(engines.tried(m.weekly_bars(spark, d), engines.whole_grid())), "after")
+
+
+@query("b06_random_search", f"{_tried_sql(MONTHLY, engines.drawn())}, q AS (SELECT symbol, avg(gain) AS ones, avg(gain * gain) AS squares, exp(sum(ln(1 + gain))) - 1 AS total FROM f GROUP BY 1), k AS (SELECT symbol[1] AS symbol, symbol[2] AS no, total, {_RATIO} FROM q) SELECT symbol, {_CHOSEN}, round(total, 6) AS total FROM k JOIN st USING (no) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ratio DESC, no) = 1")
+def b06_random(spark, d):
+    """Twenty settings drawn by a seed, tried on all months of each symbol."""
+    return _settings(engines.best_setting(engines.tried(m.monthly_bars(spark, d), engines.drawn())), "total")
+
+
 _EVENT = "ev AS (SELECT symbol, ts, open, high, low, prev, CASE WHEN rn % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CASE rn % 3 WHEN 0 THEN 'market' WHEN 1 THEN 'limit' ELSE 'stop' END AS kind, prev * (1 + ((rn % 5) - 2) * 0.05::DOUBLE) AS level FROM snap WHERE prev IS NOT NULL)"
 
 
@@ -76,6 +110,36 @@ def b12(spark, d):
     return engines.cut_scan(snap(spark, d).select("symbol", "ts", F.col("ret").alias("x")))
 
 
+def windows_sql(source: str, bound: str) -> str:
+    """CTEs p (sums of `source`'s x by symbol and place) and f: each place's window, its first value after `start`, and what was cut there."""
+    b = drift.BOUNDS[bound]
+    m = "(g.i - g.start)"
+    n0, d, high = "(c.i - g.start)", f"{b.delta}::DOUBLE", f"{m} // 2" if b.halves else f"{m} - {b.side + 1}"
+    share = f"({m} / ({n0} * ({m} - {n0}))::DOUBLE)"
+    gap = f"sqrt({share} / 2 * ln(4 * ln({m}) / {d}))" if b.halves else f"sqrt({share} * ln(4 / {d}) / 2 + ln(4 / {d}) * ln(4 / {d}) / (6 * {m}))"
+    most = f"CASE WHEN f.i + 1 - f.start > {b.most} THEN 1 ELSE 0 END" if b.most else "0"
+    return f"""p AS MATERIALIZED (SELECT symbol, ts, x, row_number() {W} AS i, sum(x) {ALL} AS s FROM {source} WHERE x IS NOT NULL UNION ALL SELECT DISTINCT symbol, NULL, NULL, 0, 0.0 FROM {source} WHERE x IS NOT NULL),
+f AS (SELECT symbol, 0::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS cut FROM p WHERE i = 0 UNION ALL SELECT g.symbol, g.i, g.start + coalesce(min({n0}), 0), coalesce(min({n0}), 0) FROM (SELECT f.symbol, f.i + 1 AS i, f.start + {most} AS start FROM f) g
+JOIN p e ON e.symbol = g.symbol AND e.i = g.i JOIN p a ON a.symbol = g.symbol AND a.i = g.start LEFT JOIN p c ON c.symbol = g.symbol AND {m} >= {b.least} AND {n0} BETWEEN {b.side} AND {high} AND abs((c.s - a.s) / {n0} - (e.s - c.s) / ({m} - {n0})) > {gap} GROUP BY g.symbol, g.i, g.start)"""
+
+
+_CUT = " SELECT p.symbol, p.ts, f.cut, p.i - f.start AS width, round((p.s - a.s) / (p.i - f.start), 6) AS mean FROM f JOIN p ON p.symbol = f.symbol AND p.i = f.i JOIN p a ON a.symbol = f.symbol AND a.i = f.start WHERE p.i > 0"
+_HITS = f"{MONTHLY}, {RETURNS}, e0 AS (SELECT symbol, ts, abs(ret) AS x FROM r WHERE logret IS NOT NULL)"
+
+
+@query("b12_adaptive_window", f"WITH RECURSIVE {_HITS}, {windows_sql('e0', 'halves')}{_CUT}")
+def b12_halves(spark, d):
+    """Each bar's window of moves, cut where its older side's mean is another."""
+    moves = returns(m.monthly_bars(spark, d)).filter("logret IS NOT NULL").select("symbol", "ts", F.abs("ret").alias("x"))
+    return drift.windows(moves, "halves").select("symbol", "ts", "cut", "width", F.round("mean", 6).alias("mean"))
+
+
+@query("b12_adaptive_window_both_sides", f"WITH RECURSIVE {_HITS}, {windows_sql('e0', 'both_sides')}{_CUT}")
+def b12_both(spark, d):
+    moves = returns(m.monthly_bars(spark, d)).filter("logret IS NOT NULL").select("symbol", "ts", F.abs("ret").alias("x"))
+    return drift.windows(moves, "both_sides").select("symbol", "ts", "cut", "width", F.round("mean", 6).alias("mean"))
+
+
 _LR = f"{WEEKLY}, {RETURNS}, e AS (SELECT * EXCLUDE rn, ret AS x, CASE WHEN abs(ret) > 0.05 THEN 1 ELSE 0 END AS drifted, CASE WHEN ret > 0 THEN 1 ELSE 0 END AS won FROM r)"
 
 
@@ -103,10 +167,19 @@ def _sectors(spark, d):
     return optimise.sector_returns(m.monthly_bars(spark, d), m.industries(spark, d))
 
 
-for _name, _how in {"o01_maximum_sharpe": "sharpe", "o02_minimum_variance": "minimum", "o03_risk_parity": "parity", "o04_black_litterman": "views", "o05_constrained": "constrained"}.items():
+for _name, _how in {"o01_maximum_sharpe": "sharpe", "o02_minimum_variance": "minimum", "o03_risk_parity": "parity", "o05_constrained": "constrained"}.items():
     query(_name)(lambda spark, d, how=_how: optimise.weights_table(_sectors(spark, d), how))
 
 
+def _views_sql(variance: str) -> str:
+    return f"""WITH {MONTHLY}, {RETURNS}, {DIMS}, sr AS (SELECT ts, sector, avg(ret) AS ret, avg(volume) AS size FROM r JOIN dims USING (symbol) GROUP BY 1, 2), a AS (SELECT sector, avg(size) AS size, avg(ret) AS mean, {variance} AS variance FROM sr GROUP BY 1),
+best AS (SELECT sector FROM a ORDER BY mean DESC, sector DESC LIMIT 1), q AS (SELECT sector, size / sum(size) OVER () * (2.0::DOUBLE / 0.05) + CASE WHEN sector IN (FROM best) THEN 0.1::DOUBLE / greatest((1 / 0.6::DOUBLE - 1) * 0.05 * variance, 1e-10) ELSE 0.0 END AS pull FROM a) SELECT sector, round(greatest(pull, 0.0) / sum(greatest(pull, 0.0)) OVER (), 6) AS weight FROM q"""
+
+
+for _name, _variance, _said in (("o04_black_litterman", optimise.VARIANCE, f"{optimise.VARIANCE}::DOUBLE"), ("o04_views_own_variance", None, "var_pop(ret)")):
+    query(_name, _views_sql(_said))(lambda spark, d, variance=_variance: optimise.view_table(_sectors(spark, d), variance=variance).select("sector", F.round("weight", 6).alias("weight")))
+
+
 _DECOMPOSED = f"{MONTHLY}, {RETURNS}, p AS (SELECT ts, avg(ret) AS p FROM r GROUP BY 1), t AS (SELECT var_pop(p) AS variance FROM p), k AS (SELECT count(DISTINCT symbol) AS symbols FROM r), c AS (SELECT symbol, count(*) AS bars, var_pop(ret) AS own, covar_pop(ret, p) AS cov FROM r JOIN p USING (ts) GROUP BY 1), dc AS (SELECT *, coalesce(cov / nullif(sqrt(variance), 0), 0.0) AS marginal, coalesce(cov / nullif(variance * symbols, 0), 0.0) AS component FROM c, t, k)"
 
 

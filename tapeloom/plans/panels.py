@@ -218,7 +218,10 @@ def a08(spark, d):
     return portfolio.value_at_risk(m.monthly_bars(spark, d))
 
 
-@query("a14_ks_statistic", f"WITH {MONTHLY}, {RETURNS}, q AS (SELECT symbol, ret, CASE WHEN rn <= 40 THEN 1 ELSE 0 END AS early FROM r WHERE logret IS NOT NULL), n AS (SELECT symbol, sum(early) AS a, sum(1 - early) AS b FROM q GROUP BY 1), z AS (SELECT q.symbol, abs(sum(early) OVER w / a::DOUBLE - sum(1 - early) OVER w / b::DOUBLE) AS gap FROM q JOIN n USING (symbol) WHERE a > 0 AND b > 0 WINDOW w AS (PARTITION BY q.symbol ORDER BY ret RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT symbol, round(max(gap), 6) AS ks, max(gap) > 0.3 AS drifted FROM z GROUP BY 1")
+_SERIES = " + ".join(f"({2 * (-1) ** (k - 1)}) * exp(-{2 * k * k} * lam * lam)" for k in range(1, 61))
+
+
+@query("a14_ks_statistic", f"WITH {MONTHLY}, {RETURNS}, q AS (SELECT symbol, ret, CASE WHEN rn <= 40 THEN 1 ELSE 0 END AS early FROM r WHERE logret IS NOT NULL), n AS (SELECT symbol, sum(early) AS a, sum(1 - early) AS b FROM q GROUP BY 1), z AS (SELECT q.symbol, a, b, abs(sum(early) OVER w / a::DOUBLE - sum(1 - early) OVER w / b::DOUBLE) AS gap FROM q JOIN n USING (symbol) WHERE a > 0 AND b > 0 WINDOW w AS (PARTITION BY q.symbol ORDER BY ret RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), g AS (SELECT symbol, max(gap) AS gap, max(gap) * sqrt(max(a) * max(b) / (max(a) + max(b))::DOUBLE) AS lam FROM z GROUP BY 1) SELECT symbol, round(gap, 6) AS ks, round(CASE WHEN lam < 0.2 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, {_SERIES})) END, 6) AS p, gap > 0.3 AS drifted FROM g")
 def a14(spark, d):
     return learning.ks_statistic(returns(m.monthly_bars(spark, d)).withColumn("rn", F.row_number().over(WINDOW())).filter("logret is not null"), 40)
 

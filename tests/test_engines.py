@@ -88,13 +88,34 @@ def test_solves():
     for _ in range(200):
         other = s + rng.normal(size=6) * 0.05
         assert other @ mean / np.sqrt(other @ cov @ other) <= abs(s @ mean) / np.sqrt(s @ cov @ s) + 1e-9
-    size = np.array([1.0, 2.0, 3.0])
-    assert optimise.black_litterman(size, {}).tolist() == pytest.approx([1 / 6, 2 / 6, 3 / 6])
-    assert optimise.black_litterman(size, {0: (0.5, 0.9)})[0] > 1 / 6
     capped = optimise.constrained(np.array([0.7, 0.2, 0.05, 0.03, 0.02]))
     assert capped.sum() == pytest.approx(1) and capped.max() <= 0.25 + 1e-9
 
 
+def test_views_tilt_the_market(spark):
+    def weights(sizes, views, variance):
+        assets = spark.createDataFrame([(i, s, float(v)) for i, (s, v) in enumerate(zip(sizes, variance, strict=True))], "name int, size double, variance double")
+        rows = optimise.view_weights(assets, spark.createDataFrame(views, "name int, ret double, confidence double")).collect()
+        return [r.weight for r in sorted(rows, key=lambda r: r.name)]
+
+    rng = np.random.default_rng(4)
+    half = rng.normal(size=(4, 4))
+    cov = half @ half.T * 0.05 + 0.02 * np.eye(4)
+    sizes, views = [4.0, 1.0, 3.0, 2.0], [(1, 0.3, 0.9), (3, -0.2, 0.3), (1, 0.1, 0.5), (9, 1.0, 1.0)]
+    # the long way, by the views' gain and a dense solve
+    pick = np.eye(4)[[1, 3, 1]]
+    doubt = np.diag([(1 / c - 1) * 0.05 * cov[i, i] for i, _, c in views[:3]])
+    gain = 0.05 * cov @ pick.T @ np.linalg.inv(pick @ (0.05 * cov) @ pick.T + doubt)
+    prior = 2 * cov @ (np.array(sizes) / 10)
+    mean = prior + gain @ (np.array([r for _, r, _ in views[:3]]) - pick @ prior)
+    want = np.maximum(np.linalg.solve(0.05 * cov - gain @ pick @ (0.05 * cov) + np.outer(mean, mean), mean), 0)
+    assert weights(sizes, views, np.diag(cov)) == pytest.approx(list(want / want.sum()), rel=1e-6)
+    assert weights([1.0, 2.0, 3.0], [], [0.09] * 3) == pytest.approx([1 / 6, 2 / 6, 3 / 6])
+    assert weights([0.0, None, -1.0], [], [0.09] * 3) == pytest.approx([1 / 3] * 3)
+    assert weights([1.0, 3.0], [(0, -9.0, 1.0), (1, -9.0, 1.0)], [0.09] * 2) == pytest.approx([0.25, 0.75])
+    assert weights([], [], []) == []
+
+
 def test_long_series_fold_in_chunks(spark):
     n = 3 * fold.CHUNK + 7
     rows = [(1, day(i), float(i % 17) + 1) for i in range(n)]
