@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.mixture import sound
 from tapeloom.operators.studies import labels
-from tapeloom.operators.timeseries import ml_row
+from tapeloom.operators.timeseries import W, ml_row
 
 LEAST = 30
+#: Fits that run side by side.
+AT_ONCE = 4
 #: Above this a stacked score is a rise, below its negative a fall.
 SURE = 0.33
 #: Of the ridge, on what is centred.
@@ -37,8 +40,9 @@ ALPHA = 1.0
 
 
 def learning_rows(bars: DataFrame, horizon: int = 5) -> tuple[DataFrame, list[str]]:
-    """symbol, ts, the features of each bar, and y: 1, 0 or -1, null where the future isn't known; with the features' names."""
+    """symbol, ts, the features of each bar that has 30 up to it (before, they are defaults), and y: 1, 0 or -1, null where the future isn't known; with the features' names."""
     x = ml_row(bars)
+    x = x.withColumn("rn", F.row_number().over(W())).filter("rn >= 30").drop("rn")
     y = labels(bars, horizon).select("symbol", "ts", F.col("label").cast("double").alias("y"))
     return x.join(y, ["symbol", "ts"], "left"), [c for c in x.columns if c not in ("symbol", "ts")]
 
@@ -110,7 +114,14 @@ class Table:
     def fit(self, made: dict[str, Estimator], folds: Sequence[Fold | None]) -> list[dict[str, Model | None]]:
         """For each fold, each learner fitted outside of it; None where there is too little."""
         use = [self.labelled.filter(f.fits(F.col("d"))) if f else self.labelled for f in folds]
-        return [{n: e.fit(u) if ok else None for n, e in made.items()} for u, ok in zip(use, self.enough(folds), strict=True)]
+        tasks = [(i, n) for i, ok in enumerate(self.enough(folds)) if ok for n in made]
+        out: list[dict[str, Model | None]] = [dict.fromkeys(made) for _ in folds]
+        # a fit is many small jobs one after another, so several fits share the cluster
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            fitted = pool.map(inheritable_thread_target(self.rows.sparkSession)(lambda task: made[task[1]].copy().fit(use[task[0]])), tasks)
+            for (i, n), model in zip(tasks, fitted, strict=True):
+                out[i][n] = model
+        return out
 
 
 def scored(rows: DataFrame, models: dict[str, Model | None]) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.operators import factors, linear
+from tapeloom.operators import factors, fusion, linear
 from tapeloom.operators.timeseries import W as BY_SYMBOL
+from tapeloom.operators.timeseries import ml_row
 from tapeloom.plans.factors import _RICH, rich
 from tapeloom.plans.registry import W, query
+from tapeloom.plans.series import _ml_sql
+from tapeloom.sources import market as m
 
 ORDER = [f"f_{c}" for c, _ in sorted(factors.WEIGHTS.items(), key=lambda x: -x[1])]
 K = len(ORDER)
@@ -113,3 +116,38 @@ def _kept(source: str) -> str:
 @query("x11_uncorrelated_all", f"WITH {_SCORES}, m1 AS (SELECT *, 0 AS whole FROM mf), zs AS ({standard_sql('m1', 'whole', 'whole')}), gm AS ({gram_sql('zs', 'whole')}), kp AS (SELECT * FROM {_kept('gm')}), l AS (SELECT unnest(range(1, {K + 1})) AS i, [" + ", ".join(f"k{j}" for j in range(1, K + 1)) + f"] AS kept FROM kp) SELECT {_NAMES}[i] AS factor, kept[i] AS kept FROM l")
 def x11(spark, d):
     return linear.uncorrelated(scores(spark, d), ORDER)
+
+
+def fused_rows(spark: SparkSession, d: str, width: int) -> DataFrame:
+    """The 21 scores and the learning row of each bar as one vector, v0 and so on."""
+    made = factors.MULTI_FACTOR.apply(rich(spark, d), "symbol", "ts", "close").select("symbol", "ts", *ORDER)
+    row = ml_row(m.monthly_bars(spark, d))
+    names = [c for c in row.columns if c not in ("symbol", "ts")]
+    both = made.join(row, ["symbol", "ts"])
+    v = fusion.fused([(fusion.spread([F.col(c) for c in ORDER]), K), (F.array(*(F.col(c).cast("double") for c in names)), len(names))], width)
+    return both.select("symbol", "ts", v.alias("v")).select("symbol", "ts", *(F.round(F.get("v", F.lit(i)) + 1e-9, 6).alias(f"v{i}") for i in range(width)))
+
+
+_ML = "mom_1 mom_3 mom_5 mom_10 volume_ratio vol_20 rsi_14 ma5_gap ma20_gap year_position outer_share turnover".split()
+
+
+def _fused_sql(width: int) -> str:
+    n = K + len(_ML)
+    value = lambda i: f"u[{i + 1}]" if i < n else "0.0::DOUBLE"
+    if n >= width:
+        value = lambda i: f"list_inner_product(u, [{', '.join(f'{x!r}::DOUBLE' for x in fusion.projection(n, width)[:, i].tolist())}])"
+    return f"""{_SCORES}, ml AS ({_ml_sql()}), fl AS (SELECT mf0.symbol, mf0.ts, [{', '.join(f'coalesce({c}, 0.0)::DOUBLE' for c in ORDER)}] AS f, [{', '.join(f'coalesce(ml.{c}, 0.0)::DOUBLE' for c in _ML)}] AS l FROM mf0 JOIN ml ON ml.symbol = mf0.symbol AND ml.ts = mf0.ts),
+fw AS (SELECT symbol, ts, list_concat(list_transform(f, lambda x: CASE WHEN list_max(f) > list_min(f) THEN (x - list_min(f)) / (list_max(f) - list_min(f)) ELSE 0.0 END), l) AS w FROM fl), fu AS (SELECT symbol, ts, list_transform(w, lambda x: CASE WHEN list_inner_product(w, w) > 1e-20 THEN x / sqrt(list_inner_product(w, w)) ELSE x END) AS u FROM fw)
+SELECT symbol, ts, {', '.join(f'round({value(i)} + 1e-9, 6) AS v{i}' for i in range(width))} FROM fu"""
+
+
+@query("c35_fused_factors", f"WITH {_fused_sql(64)}")
+def c35(spark, d):
+    """33 features filled up to 64."""
+    return fused_rows(spark, d, 64)
+
+
+@query("x28_projected_vector", f"WITH {_fused_sql(16)}")
+def x28_projected(spark, d):
+    """33 features projected to 16."""
+    return fused_rows(spark, d, 16)
