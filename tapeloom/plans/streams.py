@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.plans.registry import query
+from tapeloom.plans.series import RECURSIVE
 from tapeloom.sources import market as m
 from tapeloom.streaming import alerts as s
 
@@ -51,3 +52,18 @@ def s16(spark, d):
 @query("s17_retained_alerts", f"WITH {ALERTS} SELECT event_id, kind FROM a WHERE ts >= (SELECT max(ts) FROM a) - INTERVAL 7 DAY")
 def s17(spark, d):
     return s.retained(s.alerts(m.table(spark, d, "events"))).select("event_id", "kind")
+
+
+@query("s17_dropped_alerts", f"WITH {ALERTS} SELECT event_id, kind FROM a WHERE ts >= (SELECT max(ts) FROM a) - INTERVAL 7 DAY")
+def s17_dropped(spark, d):
+    """All alerts go to a table by day, of which the old ones are dropped."""
+    path = s.scratch(spark, "dated-alerts")
+    s.insert_dated(s.alerts(m.table(spark, d, "events")), path)
+    s.drop_old(spark, path, 7)
+    return spark.read.parquet(path).select("event_id", "kind")
+
+
+@query("st08_stream_throttle", RECURSIVE.format(bars="e AS (SELECT user_id, user_id AS symbol, row(ts, event_id) AS ts, event_id, ts AS moment, value FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)", source="e", first="event_id, moment AS last, value AS served, true AS fetched", step="b.event_id, CASE WHEN b.moment - f.last >= INTERVAL 3600 SECOND THEN b.moment ELSE f.last END, CASE WHEN b.moment - f.last >= INTERVAL 3600 SECOND THEN b.value ELSE f.served END, b.moment - f.last >= INTERVAL 3600 SECOND").replace(" b AS (", " b AS MATERIALIZED (") + " SELECT symbol AS user_id, event_id, fetched, round(served, 6) AS served FROM f")
+def st08(spark, d):
+    """What each request for a user's value is served when a fetched one is good for an hour."""
+    return s.to_table(s.throttled(s.events_stream(spark, d), 3600), "throttle").select("user_id", "event_id", "fetched", F.round("served", 6).alias("served"))

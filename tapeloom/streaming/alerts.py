@@ -72,6 +72,35 @@ def cooldown(alert_rows: DataFrame, seconds: int = 3600) -> DataFrame:
     return alert_rows.groupBy("event_type").applyInPandasWithState(run, "event_id long, ts timestamp, event_type string", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def throttled(requests: DataFrame, seconds: int = 10, late: str = "10 minutes") -> DataFrame:
+    """event_id, ts, user_id, value -> what each request is served: its own value if its key was last fetched so long ago, and then that is a fetch; else the last fetched one.
+
+    A stream's key holds its last fetch until the watermark has passed the time for which that is served; a request after that is a fetch in any case,
+    so results don't depend on when states go, and there are as many as keys asked for of late. A request that comes in a later batch with an earlier time is served the
+    last value. A key's requests of one batch are sorted together. Rows without a time or a key take no part.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, value = state.get if state.exists else (None, None)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        fetched, served = [], []
+        for at, own in zip((rows.ts.astype("datetime64[us]").astype("int64")).tolist(), rows.value.tolist(), strict=True):
+            fetched.append(last is None or at - last >= seconds * 1_000_000)
+            if fetched[-1]:
+                last, value = at, own
+            served.append(value)
+        state.update((last, value))
+        # a timer must be ahead of the watermark
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows.event_id, "ts": rows.ts, "user_id": key[0], "fetched": fetched, "served": served})
+
+    known = requests.select("event_id", "ts", "user_id", "value").filter("ts IS NOT NULL AND user_id IS NOT NULL").withWatermark("ts", late)
+    return known.groupBy("user_id").applyInPandasWithState(run, "event_id long, ts timestamp, user_id long, fetched boolean, served double", "last long, value double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def latch(events: DataFrame, level: float = 40.0) -> DataFrame:
     """One event above the level for each user, the first that the stream brings; the state is a row for each user that fired."""
     return events.filter(F.col("value") > level).dropDuplicates(["user_id"]).select("user_id", "event_id")
@@ -107,3 +136,39 @@ def retained(alert_rows: DataFrame, days: int = 7) -> DataFrame:
     """Alerts of the last days before the newest one."""
     newest = alert_rows.agg(F.max("ts").alias("newest"))
     return alert_rows.crossJoin(F.broadcast(newest)).filter(F.col("ts") >= F.col("newest") - F.expr(f"interval {days} days")).drop("newest")
+
+
+def insert_dated(alert_rows: DataFrame, path: str) -> None:
+    """Append alerts to a table with a folder for each day."""
+    alert_rows.withColumn("day", F.to_date("ts")).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def drop_old(spark: SparkSession, path: str, days: int = 7) -> list[str]:
+    """Deletes what is older than `days` before the newest alert from a table of `insert_dated`; the days that went, oldest first.
+
+    Whole days go as folders. The one day that the bound cuts is written aside and then put in place of itself by dynamic overwrite;
+    the files of all later days, and of alerts without a time, are not touched. A table without alerts stays as it is.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # a name for each day
+    names = sorted(s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory())
+    dated = [n for n in names if n.startswith("day=") and not n.endswith("__")]
+    if not dated:
+        return []
+    table = spark.read.option("basePath", path)
+    oldest = table.parquet(f"{path}/{dated[-1]}").agg((F.max("ts") - F.expr(f"interval {days} days")).alias("oldest")).select(F.col("oldest").cast("string").alias("at"), F.to_date("oldest").cast("string").alias("day")).first()
+    gone = [n[4:] for n in dated if n[4:] < oldest.day]
+    if f"day={oldest.day}" in dated:
+        aside = scratch(spark, "retained-day")
+        cut = table.parquet(f"{path}/day={oldest.day}")
+        young = F.col("ts") >= F.lit(oldest.at).cast(cut.schema["ts"].dataType)
+        if cut.filter(~young).limit(1).count():
+            cut.filter(young).write.parquet(aside)
+            spark.read.schema(cut.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+            if not spark.read.schema(cut.schema).parquet(aside).limit(1).count():
+                gone.append(oldest.day)
+            spark._jvm.org.apache.hadoop.fs.Path(aside).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
+    for day in gone:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}"), True)
+    return gone
