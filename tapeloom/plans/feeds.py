@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.operators import graph, sets, text
+from tapeloom.operators import graph, sets, spectral, text
 from tapeloom.operators.timeseries import returns
 from tapeloom.plans.ladders import SNAP, snap
 from tapeloom.plans.panels import _IN, CORR, DEGREES, NEGATIONS, NEGATIVE, POSITIVE
@@ -215,6 +215,14 @@ def g03(spark, d):
     return graph.small_rank(nodes, nations(spark, d), rounds=20, scale=32.0).select("k", F.round("rank", 5).alias("rank"))
 
 
+@query("g05_nation_embedding")
+def g05(spark, d):
+    """Four lowest eigenvectors of the nations' ties."""
+    nodes = m.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    v, _ = spectral.embedding(nodes, nations(spark, d), 4)
+    return v.select("k", *(F.round(F.get("v", F.lit(j)) + 1e-9, 5).alias(f"v{j}") for j in range(4)))
+
+
 @query("g04_g06_neighbourhoods", f"WITH {_NATION}, f0 AS (SELECT s_nationkey AS k, avg(s_acctbal) / 1000 AS f FROM supplier GROUP BY 1), f1 AS (SELECT n.k, coalesce(sum(w * f), 0.0) AS f FROM n LEFT JOIN e ON e.src = n.k LEFT JOIN f0 ON f0.k = e.dst GROUP BY 1), f2 AS (SELECT n.k, coalesce(sum(w * f), 0.0) AS f FROM n LEFT JOIN e ON e.src = n.k LEFT JOIN f1 ON f1.k = e.dst GROUP BY 1) SELECT n.k, round(coalesce(f0.f, 0.0), 5) AS own, round(f1.f, 5) AS near, round(f2.f, 5) AS far FROM n LEFT JOIN f0 USING (k) JOIN f1 USING (k) JOIN f2 USING (k)")
 def g04(spark, d):
     nodes = m.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))

@@ -31,6 +31,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tapeloom-stream/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of `scratch` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def events_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 1000) -> DataFrame:
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files_a_batch).parquet(sf_dir)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -168,7 +174,7 @@ def drop_old(spark: SparkSession, path: str, days: int = 7) -> list[str]:
             spark.read.schema(cut.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
             if not spark.read.schema(cut.schema).parquet(aside).limit(1).count():
                 gone.append(oldest.day)
-            spark._jvm.org.apache.hadoop.fs.Path(aside).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
+            discard(spark, aside)
     for day in gone:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}"), True)
+        discard(spark, f"{path}/day={day}")
     return gone
