@@ -57,6 +57,8 @@ def weighted(kinds: dict[float, DataFrame]) -> DataFrame:
 
 #: Nodes of a graph that fits in a row.
 SMALL = 1000
+#: Ranks closer than this share of the highest differ by rounding alone, and count as equal.
+EVEN = 1e-12
 
 
 def small_rank(nodes: DataFrame, e: DataFrame, rounds: int = 20, damping: float = 0.85, scale: float = 32.0) -> DataFrame:
@@ -72,7 +74,8 @@ def small_rank(nodes: DataFrame, e: DataFrame, rounds: int = 20, damping: float
     step = lambda ranks, _: F.transform("ns", lambda x: (1 - damping) / n + damping * F.aggregate(x["into"], F.lit(0.0), lambda s, y: s + y.w * F.get(ranks, y["at"])))
     ranks = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform("ns", lambda x: F.lit(1.0) / n), step)
     out = row.select("ns", ranks.alias("ranks")).select(F.explode(F.arrays_zip(F.col("ns.k").alias("k"), F.col("ranks").alias("rank"))).alias("r"), F.array_min("ranks").alias("lo"), F.array_max("ranks").alias("hi"))
-    return out.select("r.k", (F.coalesce(F.try_divide(F.col("r.rank") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * scale).alias("rank"))
+    spread = F.col("hi") - F.col("lo")
+    return out.select("r.k", (F.when(spread > EVEN * F.col("hi"), (F.col("r.rank") - F.col("lo")) / spread).otherwise(0.0) * scale).alias("rank"))
 
 
 def neighbourhoods(nodes: DataFrame, e: DataFrame, own: DataFrame) -> DataFrame:
