@@ -148,7 +148,7 @@ ORTHOGONAL = rules(_PROJECT, _SECOND, _THIRD, {"q1": FACTORS[0], "q2": f"{FACTOR
 
 def orthogonal(rows: DataFrame) -> DataFrame:
     """Each date's factors, each without its projection on those before it."""
-    return rows.join(gram(rows, "ts"), "ts")
+    return rows.join(F.broadcast(gram(rows, "ts")), "ts")  # a row for each date
 
 
 #: Over one row with the correlations of five factors, in their order: those kept that go with no kept one before above 0.7.
