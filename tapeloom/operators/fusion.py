@@ -6,7 +6,7 @@ handful of products in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cache
 
 import numpy as np
@@ -23,9 +23,12 @@ def projection(n: int, width: int, seed: int = 42) -> np.ndarray:
 def spread(values: Sequence[Column]) -> Column:
     """Values scaled to 0..1 among themselves, as an array; nulls count 0, and all are 0 where none differs."""
     made = F.array(*(F.coalesce(v.cast("double"), F.lit(0.0)) for v in values))
-    # the array is one value in a lambda, so that its ends are found once
-    scaled = lambda a: F.transform(a, lambda x: F.when(F.array_max(a) > F.array_min(a), (x - F.array_min(a)) / (F.array_max(a) - F.array_min(a))).otherwise(0.0))
-    return F.get(F.transform(F.array(made), scaled), F.lit(0))
+    return bound(made, lambda a: bound(F.struct(F.array_min(a).alias("lo"), F.array_max(a).alias("hi")), lambda e: F.transform(a, lambda x: F.when(e.hi > e.lo, (x - e.lo) / (e.hi - e.lo)).otherwise(0.0))))
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often it is used there: it is the argument of a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,11 +41,11 @@ def fused(parts: Sequence[tuple[Column, int]], width: int = 64, seed: int = 42)
     whole = F.transform(F.concat(*(F.coalesce(a, F.array_repeat(F.lit(0.0), k)) for a, k in parts)), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
 
     def finished(v: Column) -> Column:
-        norm = F.sqrt(dot(v, v))
-        unit = F.transform(v, lambda x: F.when(norm > 1e-10, x / norm).otherwise(x))
+        # the norm is bound outside of the loop over elements, which would work it out for each of them
+        unit = bound(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: F.when(norm > 1e-10, x / norm).otherwise(x)))
         if n < width:
             return F.concat(unit, F.array_repeat(F.lit(0.0), width - n))
-        table = F.lit(np.ascontiguousarray(projection(n, width, seed).T).reshape(-1))
-        return F.get(F.transform(F.array(unit), lambda u: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: dot(u, F.slice(table, j * n + 1, n)))), F.lit(0))
+        table = F.array(*(F.lit(row) for row in np.ascontiguousarray(projection(n, width, seed).T)))
+        return bound(unit, lambda u: F.transform(table, lambda column: dot(u, column)))
 
-    return F.get(F.transform(F.array(whole), finished), F.lit(0))
+    return bound(whole, finished)

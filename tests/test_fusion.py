@@ -39,3 +39,9 @@ def test_spread_and_nulls(spark):
     assert empty.shape == (2, 5) and not empty.any()
     none = spark.range(1).select(fusion.fused([(F.lit(None).cast("array<double>"), 3), (F.array(F.lit(2.0)), 1)], 5).alias("v")).first().v
     assert none == [0.0, 0.0, 0.0, 1.0, 0.0]
+
+
+def test_norm_and_ends_are_worked_out_once_a_row(spark):
+    v = F.array(*(F.lit(float(i)) for i in range(5)))
+    assert str(fusion.fused([(v, 5)], 8)).count("sqrt(") == 1
+    assert str(fusion.spread([F.lit(1.0), F.lit(2.0)])).count("array_max(") == 1
