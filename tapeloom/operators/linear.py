@@ -9,8 +9,10 @@ loadings and slope are none, and its inflation is infinite (null here). A date o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,44 @@ from tapeloom.functions.safe import div
 LEAST = 1e-6
 
 
+def _products(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, then k columns) -> by key, a task's rows, sums and products of all pairs of columns, each over the rows that have both, in the pairs' order."""
+    upper = np.triu_indices(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode()
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[1:]]).astype(float)
+            x = np.column_stack([c.fill_null(0.0).to_numpy() for c in batch.columns[1:]])
+            at = keys.indices.fill_null(len(keys.dictionary)).to_numpy()
+            for i in np.unique(at).tolist():
+                key = keys.dictionary[i].as_py() if i < len(keys.dictionary) else None
+                own, has = x[at == i], there[at == i]
+                new = np.concatenate([[len(own)], own.sum(0), has.sum(0), (own.T @ own)[upper], (has.T @ has)[upper]])
+                total[key] = total[key] + new if key in total else new
+        values = np.concatenate([np.zeros(0), *total.values()])
+        offsets = pa.array(np.linspace(0, len(values), len(total) + 1).round().astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), batch.schema.field(0).type if total else None), pa.ListArray.from_arrays(offsets, pa.array(values))], ["key", "sums"])
+
+    return run
+
+
 def gram(rows: DataFrame, columns: Sequence[str], *keys: str, y: str | None = None) -> DataFrame:
-    """By key: n, means and deviations of the columns, and s, their correlations and, as a last row and column, their covariances with y by a
-    column's deviation. A column that doesn't vary goes with nothing, not with itself either."""
+    """By key (one, or none): n, means and deviations of the columns, and s, their correlations and, as a last row and column, their covariances with y by a
+    column's deviation. A column that doesn't vary goes with nothing, not with itself either.
+
+    A task adds up its rows' products by key as matrices, and passes on a row for each key; those are added by place."""
     k, every = len(columns), [*columns, *([y] if y else [])]
     pairs = [(i, j) for i in range(len(every)) for j in range(i, len(every))]
-    # expressions as text: hundreds of them are parsed at once
-    made = [f"avg({c}) AS m{i}" for i, c in enumerate(every)] + [f"avg({every[i]} * {every[j]}) AS p{i}_{j}" for i, j in pairs]
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *map(F.expr, made))
+    source = rows.select(F.col(keys[0]).alias("key") if keys else F.lit(0).alias("key"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(every)))
+    parts = source.mapInArrow(_products(len(every)), f"key {source.schema['key'].dataType.simpleString()}, sums array<double>")
+    m, w = len(every), len(pairs)
+    summed = parts.select("key", F.posexplode("sums").alias("at", "v")).groupBy("key", "at").agg(F.sum("v").alias("v"))
+    out = summed.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda e: e.v).alias("t"))
+    mean = lambda total, count: f"try_divide(t[{total}], t[{count}])"
+    made = [f"{mean(1 + i, 1 + m + i)} AS m{i}" for i in range(m)] + [f"{mean(1 + 2 * m + q, 1 + 2 * m + w + q)} AS p{i}_{j}" for q, (i, j) in enumerate(pairs)]
+    out = out.selectExpr(*(f"key AS {c}" for c in keys), "cast(t[0] AS bigint) AS n", *made)
     # deviations of less than a millionth of the values are those of rounding
     spread = lambda i: f"(p{i}_{i} - m{i} * m{i})"
     out = out.selectExpr("*", *(f"CASE WHEN {spread(i)} > 1e-12 * p{i}_{i} THEN sqrt({spread(i)}) ELSE 0D END AS d{i}" if i < k else f"1D AS d{i}" for i in range(len(every))))
@@ -88,7 +120,7 @@ def orthogonal_factors(rows: DataFrame, columns: Sequence[str], key: str = "ts")
     """q: by row, the standardised columns in their order, each without its projection on those before it within the key."""
     k = len(columns)
     by = gram(rows, columns, key).select(key, "means", "sds", eliminated(F.col("s"), k).alias("u")).select(key, "means", "sds", loadings(F.col("u"), k).alias("by"))
-    z = rows.join(by, key).select(*rows.columns, "by", standard(columns).alias("z"))
+    z = rows.join(F.broadcast(by), key).select(*rows.columns, "by", standard(columns).alias("z"))
     return z.select(*rows.columns, orthogonal(F.col("z"), F.col("by"), k).alias("q"))
 
 

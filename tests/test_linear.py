@@ -113,3 +113,12 @@ def test_mixture_is_that_of_a_loop_and_likelihood_does_not_fall(spark):
     assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in out)
     with pytest.raises(ValueError):
         mixture.fit(df.filter("symbol > 999"), list("abcd"))
+
+
+def test_gram_adds_products_in_tasks_and_takes_pairs_that_are_there(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 3.0, None), (1, 2.0, 5.0), (None, 4.0, 1.0), (None, 6.0, 2.0)], "ts int, a double, b double")
+    out = linear.gram(df, ["a", "b"], "ts")
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.ts: r for r in out.collect()}
+    assert [got[1].n, got[None].n] == [3, 2] and got[1].means == [2.0, 3.5] and got[None].means == [5.0, 1.5]
+    assert got[1].s[0][1] == pytest.approx((12 / 2 - 7) / (math.sqrt(14 / 3 - 4) * 1.5)) and got[None].s[0][1] == pytest.approx(1.0)
