@@ -122,3 +122,21 @@ def test_gram_adds_products_in_tasks_and_takes_pairs_that_are_there(spark):
     got = {r.ts: r for r in out.collect()}
     assert [got[1].n, got[None].n] == [3, 2] and got[1].means == [2.0, 3.5] and got[None].means == [5.0, 1.5]
     assert got[1].s[0][1] == pytest.approx((12 / 2 - 7) / (math.sqrt(14 / 3 - 4) * 1.5)) and got[None].s[0][1] == pytest.approx(1.0)
+
+
+def test_mixture_reads_its_rows_once(spark):
+    """However many rounds: what a round reads are packed blocks, and all rows are in them."""
+    from tapeloom.operators import mixture
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    x = np.random.default_rng(5).normal(size=(5000, 2))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "symbol int, a double, b double").repartition(3)
+    model = mixture.fit(df.mapInArrow(told, df.schema), ["a", "b"], rounds=4, gain=-1)
+    assert seen.value == 5000
+    assert model.centre == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0)) and model.weights.sum() == pytest.approx(1)
