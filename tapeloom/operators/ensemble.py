@@ -4,7 +4,9 @@ A fold is a run of dates. `purged` folds are tested on one run and fitted on all
 fitted on what lies before the tested run alone. A label looks `horizon` bars ahead, so the embargo of both is that many dates.
 What comes to the driver are the models, a coefficient a fold, and one matrix of sums as wide as the number of learners.
 
-Rows are laid out by symbol and time before a fit, so that its draws and thus its trees are the same for a seed and number of partitions.
+Rows are laid out by symbol and time before a fit, in PARTS partitions whatever the session's own number, so that draws and thus trees are the
+same for a seed. A fit is some hundred jobs of a task a partition, each of which sends a few KB to the driver: few partitions keep that small, and
+above PARTS * PART_ROWS rows they grow with the rows.
 
 Defined results: rows with a feature that is null, NaN or infinite take no part; a fold with fewer than LEAST rows to fit or 5 to test,
 or with one class only, is left out, and its rows have no prediction; without any fold's coefficient above 0 learners weigh the same.
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 from tapeloom.operators.mixture import sound
 from tapeloom.operators.studies import labels
 from tapeloom.operators.timeseries import W, ml_row
+from tapeloom.streaming.alerts import scratch
 
 LEAST = 30
 #: Fits that run side by side.
 AT_ONCE = 4
+#: Partitions that fits go through, and rows of one, about, above which there are more.
+PARTS, PART_ROWS = 24, 2_000_000
 #: Above this a stacked score is a rise, below its negative a fall.
 SURE = 0.33
 #: Of the ridge, on what is centred.
@@ -90,13 +95,18 @@ class Table:
     """Rows ready to be fitted: numbered dates (d), features as one vector (v), the label (y) and whether it is a rise (up). Held until `close`."""
 
     def __init__(self, rows: DataFrame, features: Sequence[str]):
-        known = rows.filter("y IS NOT NULL").select("ts").distinct()
+        known = rows.filter("y IS NOT NULL").groupBy("ts").agg(F.count("*").alias("n"))
         # a row for each date
+        found = known.agg(F.count("*").alias("dates"), F.sum("n").alias("rows")).first()
+        self.dates, parts = found.dates, max(PARTS, -(-(found.rows or 0) // PART_ROWS))
         dates = known.select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("d"))
         joined = sound(rows.join(dates, "ts", "left"), features).withColumn("up", (F.col("y") > 0).cast("double"))
-        laid = VectorAssembler(inputCols=list(features), outputCol="v").transform(joined).repartition("symbol").sortWithinPartitions("symbol", "ts")
-        self.rows = laid.select("symbol", "ts", "d", "y", "up", "v").persist(StorageLevel.MEMORY_AND_DISK)
-        self.dates = dates.count()
+        laid = VectorAssembler(inputCols=list(features), outputCol="v").transform(joined).repartition(parts, "symbol").sortWithinPartitions("symbol", "ts")
+        # every task of a fit sends the counters of all steps in its lineage, so that ends here
+        context = rows.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(scratch(rows.sparkSession, "learning"))
+        self.rows = laid.select("symbol", "ts", "d", "y", "up", "v").checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
         self.labelled = self.rows.filter("y IS NOT NULL")
 
     def close(self) -> None:
