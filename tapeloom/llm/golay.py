@@ -157,13 +157,18 @@ UNPACKED = 1 << 17
 def fingerprint_column(column: pa.Array, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
     """The fingerprints of runs of rows: a bit is set if it is in over half of the shingles' hashes."""
     for hashed, count in _shingles(column, words, seed):
-        sums, row = np.zeros((len(count), 64), np.int64), np.repeat(np.arange(len(count)), count)
-        for lo in range(0, len(hashed), UNPACKED):
-            bits = np.unpackbits(hashed[lo : lo + UNPACKED].view(np.uint8), bitorder="little").reshape(-1, 64)
-            own = row[lo : lo + UNPACKED]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            sums[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        yield np.packbits(2 * sums > count[:, None], axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
+        yield majority(hashed, count)
+
+
+def majority(hashed: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row's hashes, of which it has `count`."""
+    sums, row = np.zeros((len(count), 64), np.int64), np.repeat(np.arange(len(count)), count)
+    for lo in range(0, len(hashed), UNPACKED):
+        bits = np.unpackbits(hashed[lo : lo + UNPACKED].view(np.uint8), bitorder="little").reshape(-1, 64)
+        own = row[lo : lo + UNPACKED]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        sums[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > count[:, None], axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -312,10 +317,11 @@ def simhash_query(documents: DataFrame) -> DataFrame:
 
 
 # Near-duplicates by likeness: texts alike in four fifths of their distinct five-word shingles, by the exact count.
-# Such texts differ in more SimHash bits than the code corrects, so they are looked for by least hashes of their
+# Those whose SimHash of the shingles differs in 3 bits at most are found by the Golay keys, all of them. Texts at
+# four fifths differ in more bits than the code corrects, so the rest is looked for by least hashes of the
 # shingles: a text has a key for each of 25 bands of 5, and two texts that share four fifths have one in common
-# but for a chance of 5 in 100,000. What may be alike by two bits of each least hash gathers in clusters; in a
-# cluster all pairs are held against each other by their shingles, and only links that hold are thinned.
+# but for a chance of 5 in 100,000. What may be alike by either gathers in clusters (by least hashes: by two bits of
+# each); in a cluster all pairs are held against each other by their shingles, and only links that hold are thinned.
 LIKE_WORDS = 5
 BANDS, BAND = 25, 5
 #: Least hashes of a text; each leaves two bits in the sketch.
@@ -346,11 +352,11 @@ def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield hashed, count, node
 
 
-_NAMES = ["doc_id", "node", "size", *(f"s{k}" for k in range(SKETCH)), *(f"b{k}" for k in range(BANDS))]
+_NAMES = ["doc_id", "node", "size", "print", *(f"s{k}" for k in range(SKETCH)), *(f"b{k}" for k in range(BANDS))]
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), size (how many), the sketch s0 .. s3, the band keys b0 .. b24 and said, a hash of the text."""
+    """doc_id, node (a hash of the set of shingles), size (how many), print (their SimHash), the sketch s0 .. s3, the band keys b0 .. b24 and said, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,7 +376,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     for x in wide[k * BAND : (k + 1) * BAND]:
                         own = mix64(own * np.uint64(0x9E3779B97F4A7C15) + x)
                     bands.append(own)
-                columns = (pa.array(x.view(np.int64)) for x in (node, count, *sketch, *bands))
+                columns = (pa.array(x.view(np.int64)) for x in (node, count, majority(hashed, count), *sketch, *bands))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(node)], *columns, batch.column(2)[at : at + len(node)]], names=[*_NAMES, "said"])
                 at += len(node)
 
@@ -566,10 +572,22 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch if all(fresh) else batch.filter(pa.array(fresh))
 
 
+def golay_pairs(nodes: DataFrame) -> DataFrame:
+    """node, print -> pairs (a, b) of nodes that connect all whose prints are connected by pairs of 3 differing bits at most.
+
+    The least node of a print stands for it in links between prints, and is linked to the print's other nodes.
+    """
+    firsts = materialise(nodes.groupBy("print").agg(F.min("node").alias("first"), F.count("*").alias("n")), "golay-firsts")
+    stand = lambda print_, node: firsts.select(F.col("print").alias(print_), F.col("first").alias(node))
+    between = links(firsts.select("print")).join(stand("a", "x"), "a").join(stand("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    within = nodes.select("node", "print").join(firsts.filter("n > 1"), "print").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return between.union(within)
+
+
 def like_groups(documents: DataFrame) -> DataFrame:
     """doc_id and component_id, the least id that links lead to: texts alike in four fifths of their five-word shingles.
 
-    Texts that may be alike are gathered in clusters by a forest of their pairs, which no link is read from: all pairs
+    Texts that may be alike, by the Golay keys of their prints or by least hashes, are gathered in clusters by a forest of their pairs, which no link is read from: all pairs
     of a cluster are then held against each other by their shingles, and of those that hold, a forest is passed on.
 
     Equal sets of shingles are one node, for which one text stands: that of the least id, and of several texts under this id
@@ -581,7 +599,7 @@ def like_groups(documents: DataFrame) -> DataFrame:
     nodes = sketch.groupBy("node").agg(first, *(F.first(c).alias(c) for c in _NAMES[2:]))
     nodes = materialise(nodes.select("node", "first.least", "first.said", *_NAMES[2:]), "like-nodes")
     schema = ", ".join(f"{x} long" for x in ("deal", "node", *(f"s{k}" for k in range(SKETCH))))
-    keyed = nodes.filter("size > 0").select("node", *_NAMES[3:])
+    keyed = nodes.filter("size > 0").select("node", *_NAMES[4:])
     counts = keyed.mapInArrow(_like_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     mean = counts.agg(F.sum("n") / COUNTERS).first()[0] or 0
     blocks = np.ones(COUNTERS, np.int64)
@@ -590,7 +608,8 @@ def like_groups(documents: DataFrame) -> DataFrame:
     rows = keyed.mapInArrow(_like_keys(blocks), schema)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(mean * COUNTERS) // TASK_ROWS))
     pairs = rows.repartition(parts, "deal").sortWithinPartitions("deal", "node").mapInArrow(_like_pairs, "a long, b long").distinct()
-    joined = components(materialise(pairs, "like-pairs")).join(nodes.select("node", "least", "said", "size"), "node")
+    pairs = materialise(pairs.unionByName(golay_pairs(nodes.filter("size > 0"))), "like-pairs")
+    joined = components(pairs).join(nodes.select("node", "least", "said", "size"), "node")
     clusters = materialise(joined.select("node", "least", "said", "root", "size"), "like-clusters")
     # a row for each CROWD shingles at most
     crowded = clusters.groupBy("root").agg(F.sum("size").alias("n")).filter(F.col("n") > CROWD).select("root", (F.ceil(F.col("n") / CROWD) + 1).alias("blocks"))

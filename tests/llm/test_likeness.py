@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from samples import words
 
 from tapeloom.llm import golay
@@ -124,3 +125,21 @@ def test_the_row_of_an_id_is_the_same_in_each_run(spark):
     rows = [(1, f"text {i} of the first id, with enough words to be told apart {i}", i) for i in range(40)]
     runs = {tuple(golay.without_copies(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(n, "n")).collect()) for n in (1, 3, 7)}
     assert len(runs) == 1
+
+
+def test_golay_keys_find_what_least_hashes_leave(spark, monkeypatch):
+    """With no pair by least hashes, texts within 3 bits are still grouped, by Golay keys, and held against each other by their shingles."""
+    monkeypatch.setattr(golay, "_like_pairs", lambda batches: iter(()))
+    rng = random.Random(9)
+    texts = []
+    for i in range(40):
+        a = [other(rng, i) for _ in range(2000)]
+        texts += [" ".join(a), " ".join([*a[:-1], other(rng, i)])]
+    prints = [int(golay.majority(*next(golay._sets(pa.array([t])))[:2])[0]) for t in texts]
+    bits = [(x ^ y).bit_count() for x, y in zip(prints[::2], prints[1::2], strict=True)]
+    assert sum(b <= 3 for b in bits) > 30
+    got = grouped(spark, texts)
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i, b in enumerate(bits) if b <= 3)
+    # equal prints of different sets are connected, and so are prints 3 bits apart, but not 4
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 0x78), (5, 0xF << 40)], "node long, print long")
+    assert sorted(tuple(sorted(r)) for r in golay.golay_pairs(nodes).collect()) == [(1, 2), (1, 3)]
