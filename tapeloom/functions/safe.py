@@ -21,8 +21,15 @@ def corr(x: Column, y: Column, window) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y).over(window), F.stddev_pop(x).over(window) * F.stddev_pop(y).over(window)), F.lit(0.0))
 
 
+def deviation_agg(x: Column) -> Column:
+    """The deviation of a group, exactly 0 where it doesn't vary: added up from parts, means are off by a rounding (50 / 11 * 11 is not 50), and a quotient by such a deviation is noise."""
+    low, high = F.min(x), F.max(x)
+    return F.when(low == high, high - low).otherwise(F.stddev_pop(x))
+
+
 def corr_agg(x: Column, y: Column) -> Column:
-    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
+    """Pearson's correlation of a group; 0 where either side does not vary."""
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), deviation_agg(x) * deviation_agg(y)), F.lit(0.0))
 
 
 def finite(x: Column) -> Column:

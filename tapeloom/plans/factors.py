@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.safe import deviation_agg, div
 from tapeloom.operators import crosssection as x
 from tapeloom.operators import factors, timeseries
 from tapeloom.operators.timeseries import W as BY_SYMBOL
@@ -158,7 +159,7 @@ _SCORED = f"sc AS (SELECT factor, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) *
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """A factor's score from how often and how much it is right, and its share of all; a row for each factor."""
-    one = factors.ics(factors.long_form(following(spark, d))).groupBy("factor").agg((F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)) * 40 + F.abs(F.coalesce(F.try_divide(F.avg("ic"), F.stddev_pop("ic")), F.lit(0.0))) * 20 + F.least(F.abs(F.avg("ic")) * 1000, F.lit(40.0))).alias("score"))
+    one = factors.ics(factors.long_form(following(spark, d))).groupBy("factor").agg((F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)) * 40 + F.abs(div(F.avg("ic"), deviation_agg(F.col("ic")), 0.0)) * 20 + F.least(F.abs(F.avg("ic")) * 1000, F.lit(40.0))).alias("score"))
     return one.withColumn("w", F.col("score") / F.sum("score").over(Window.partitionBy()))
 
 
