@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.safe import corr_agg, div
+from tapeloom.functions.safe import corr_agg, deviation_agg, div
 from tapeloom.operators.steps import rules
 from tapeloom.operators.timeseries import W
 
@@ -88,7 +88,7 @@ def ics(long: DataFrame, least: int = 5) -> DataFrame:
 
 def ranked(by_date: DataFrame) -> DataFrame:
     """Factors by the absolute information ratio; a row for each factor."""
-    one = by_date.groupBy("factor").agg(F.avg("ic").alias("ic"), F.stddev_pop("ic").alias("sd"))
+    one = by_date.groupBy("factor").agg(F.avg("ic").alias("ic"), deviation_agg(F.col("ic")).alias("sd"))
     one = one.withColumn("icir", div(F.col("ic"), F.col("sd"), 0.0))
     return one.select("factor", "ic", "icir", F.row_number().over(Window.orderBy(F.desc(F.abs("icir")), "factor")).alias("place"))
 
@@ -98,7 +98,7 @@ def regression_moments(rows: DataFrame) -> DataFrame:
     a, b, c = FACTORS
     y = F.col("ret_next")
     pair = lambda x, z: corr_agg(F.col(x), F.col(z))
-    along = lambda x: F.coalesce(F.try_divide(F.covar_pop(F.col(x), y), F.stddev_pop(x)), F.lit(0.0))
+    along = lambda x: F.coalesce(F.try_divide(F.covar_pop(F.col(x), y), deviation_agg(F.col(x))), F.lit(0.0))
     return rows.groupBy("ts").agg(F.count("*").alias("n"), pair(a, b).alias("r12"), pair(a, c).alias("r13"), pair(b, c).alias("r23"), along(a).alias("y1"), along(b).alias("y2"), along(c).alias("y3"), F.var_pop(y).alias("vy"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.safe import corr_agg
+
 
 def enriched(left: DataFrame, *sides: tuple[DataFrame, list[str]]) -> DataFrame:
     """Left joins one after the other; what is missing stays null."""
@@ -27,7 +29,7 @@ def pair_correlations(rows: DataFrame) -> DataFrame:
     """a < b of a bounded dimension (name, ts, x): how they go together. Rows by date are as many as the dimension has members, squared."""
     a, b = rows.select("ts", F.col("name").alias("a"), F.col("x").alias("xa")), rows.select("ts", F.col("name").alias("b"), F.col("x").alias("xb"))
     j = a.join(b, "ts").filter("a < b")
-    return j.groupBy("a", "b").agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.covar_pop("xa", "xb"), F.stddev_pop("xa") * F.stddev_pop("xb")), F.lit(0.0)).alias("corr"))
+    return j.groupBy("a", "b").agg(F.count("*").alias("n"), corr_agg(F.col("xa"), F.col("xb")).alias("corr"))
 
 
 def most_recent(rows: DataFrame, key: str, order: list[Column], size: int) -> DataFrame:
